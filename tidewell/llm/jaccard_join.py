@@ -3,16 +3,18 @@
 The distance 1 - J is a metric. Unrelated texts all lie at distance 1 from one another, so pivots that
 are whole documents would make every window hold everything. Regions are therefore seeded by shared rare
 shingles: two sets within the threshold share one of the first shingles of each in any
-common order (of ``probe`` for the larger set, ``index`` for the smaller), and the set with
-the least id that holds a shingle is the pivot of its region. Windows around the pivots' distances leave out
-pairs: the sizes (distance to the empty set) and the places in the order bound the overlap.
+common order (of ``probe`` for the larger set, ``index`` for the smaller), so the sets that hold such a
+shingle are a region. Windows by the triangle inequality leave out pairs: the sizes (distance to
+the empty set), the places in the order, and the counts of shingles in ``SLICES`` slices of the
+hash range (distances to the slices) all bound the overlap.
 
 The order puts shingles that very many documents hold last; how many do is estimated over all
 documents in a count sketch of fixed size. Any order gives the same links.
 
-Small regions list their pairs, which are then verified on the whole sets. Regions with more
-than ``REGION`` sets are merged where they overlap and joined recursively: they are cut into blocks around
-pivots, and each pair of blocks is one bounded task that reports only a spanning forest of its links.
+Regions list the pairs inside their windows, which are then verified on the whole sets. Dense regions
+(more than ``REGION`` sets with very many such pairs: large groups of near copies) are merged where they
+overlap and joined recursively: cells of like size, with the next cell replicated as boundary, are cut into
+blocks, and each pair of blocks is one bounded task that reports only a spanning forest of its links.
 
 Equal sets are one node throughout. Null and empty texts have empty sets and are linked with
 nothing, though equal to each other. Rows that repeat a doc_id form one row's worth of links.
@@ -32,7 +34,8 @@ from . import hashing
 from .common import map_batches, prepare, text_bytes
 from .components import components, forest
 
-REGION, BLOCK = 48, 256
+REGION, WIDEST, DENSE, BLOCK = 128, 1024, 16, 256
+SLICES = 64
 SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
 
 
@@ -54,10 +57,15 @@ def needed_overlap(a: int, b: int, num: int, den: int) -> int:
     return -(-num * (a + b) // (num + den))
 
 
+def slice_counts(s: np.ndarray) -> bytes:
+    """How many shingles fall in each slice of the hash range, 255 at most."""
+    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=SLICES), 255).astype(np.uint8).tobytes()
+
+
 def _names(k: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, k) for t in text_bytes(batch.column(2))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(set_keys(sets)), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "uid", "node", "n_shingles"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(set_keys(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([slice_counts(s) for s in sets], pa.binary())], ["doc_id", "uid", "node", "n_shingles", "slices"])
 
     return run
 
@@ -127,70 +135,102 @@ def _posts(k: int, num: int, den: int, frequent):
     return run
 
 
+def _fits(n_i: np.ndarray, n_j: np.ndarray, at_i: np.ndarray, at_j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of sizes n_i <= n_j may link if their first common shingle has these places."""
+    need = -(-num * (n_i + n_j) // (num + den))
+    index = n_i - (-(-2 * num * n_i // (num + den))) + 1
+    return (den * n_i >= num * n_j) & (at_i < index) & (np.minimum(n_i - at_i, n_j - at_j) >= need)
+
+
 def _run_pairs(n: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (smaller, larger) of the pairs of one region that its windows allow; rows sorted by size."""
-    i, j = np.triu_indices(len(n), 1)
-    need = -(-num * (n[i] + n[j]) // (num + den))
-    index = n[i] - (-(-2 * num * n[i] // (num + den))) + 1
-    fits = (den * n[i] >= num * n[j]) & (at[i] < index) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= need)
+    last = np.searchsorted(n, den * n // num, side="right")  # larger sets beyond are out of the size window
+    counts = np.maximum(last - np.arange(1, len(n) + 1), 0)
+    i = np.repeat(np.arange(len(n)), counts)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
+    fits = _fits(n[i], n[j], at[i], at[j], num, den)
     return i[fits], j[fits]
 
 
 def _regions(num: int, den: int):
-    """Runs of equal shingles in sorted posts: pairs of small regions, links to the pivot of large ones."""
+    """Runs of equal shingles in sorted posts: the pairs in a region's windows, or a forest of them if it is dense.
+
+    A region with more than ``WIDEST`` sets is not held: its sets are tied to its first one.
+    """
 
     def emit(nodes, n, at):
         order = np.lexsort((nodes, n))
         nodes, n, at = nodes[order], n[order].astype(np.int64), at[order].astype(np.int64)
         i, j = _run_pairs(n, at, num, den)
-        return nodes[i], nodes[j]
+        a, b, dense = nodes[i], nodes[j], len(nodes) > REGION and len(i) > DENSE * len(nodes)
+        if dense:
+            a, b = forest(a, b)
+        return a, b, np.full(len(a), dense)
+
+    def two(i, nodes, n, at):
+        """All regions of two sets at once."""
+        j = i + 1
+        i, j = np.where(n[i] <= n[j], i, j), np.where(n[i] <= n[j], j, i)
+        fits = (nodes[i] != nodes[j]) & _fits(n[i], n[j], at[i], at[j], num, den)
+        return nodes[i[fits]], nodes[j[fits]], np.full(fits.sum(), False)
 
     def run(batches):
-        held = None  # the open run: token, nodes, sizes, places; pivot once it is large
+        held = None  # the open run: token, nodes, sizes, places; pivot once it is too wide
         pivot = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             token, node, n, at = (batch.column(c).to_numpy() for c in range(4))
-            out_a, out_b, out_large = [], [], []
+            out = []
             cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             ends = np.append(cuts[1:], len(token))
-            single = ends - cuts == 1
-            keep = ~single
+            keep = ends - cuts > 2
             keep[0] = keep[-1] = True
+            twos = cuts[(ends - cuts == 2) & ~keep]
+            if len(twos):
+                out.append(two(twos, node, n.astype(np.int64), at.astype(np.int64)))
             for a, b in zip(cuts[keep].tolist(), ends[keep].tolist(), strict=True):
                 if held is not None and held[0] == token[a]:
                     rows = [np.concatenate([x, y[a:b]]) for x, y in zip(held[1:], (node, n, at), strict=True)]
                 else:
                     if held is not None and pivot is None and len(held[1]) > 1:
-                        x, y = emit(*held[1:])
-                        out_a.append(x), out_b.append(y), out_large.append(np.zeros(len(x), bool))
+                        out.append(emit(*held[1:]))
                     rows, pivot = [node[a:b], n[a:b], at[a:b]], None
                 _, first = np.unique(rows[0], return_index=True)
                 rows = [x[first] for x in rows]
-                if len(rows[0]) > REGION or pivot is not None:
+                if len(rows[0]) > WIDEST or pivot is not None:
                     pivot = int(rows[0][0]) if pivot is None else pivot
                     own = rows[0][rows[0] != pivot]
-                    out_a.append(np.full(len(own), pivot)), out_b.append(own), out_large.append(np.ones(len(own), bool))
+                    out.append((np.full(len(own), pivot), own, np.full(len(own), True)))
                     rows = [x[:0] for x in rows]
                 held = (token[a], *rows)
-            if held is not None and held[0] != token[-1]:
-                held = None
-            if out_a:
-                yield _pairs_batch(out_a, out_b, out_large)
+            if out:
+                yield _pairs_batch(out)
         if held is not None and pivot is None and len(held[1]) > 1:
-            x, y = emit(*held[1:])
-            yield _pairs_batch([x], [y], [np.zeros(len(x), bool)])
+            yield _pairs_batch([emit(*held[1:])])
 
     return run
 
 
-def _pairs_batch(a, b, large) -> pa.RecordBatch:
+def _pairs_batch(parts) -> pa.RecordBatch:
     """Distinct pairs of a batch."""
-    frame = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "large": np.concatenate(large)}).drop_duplicates()
+    a, b, large = (np.concatenate(x) for x in zip(*parts, strict=True))
+    frame = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "large": large}).drop_duplicates()
     return pa.RecordBatch.from_pandas(frame, preserve_index=False)
 
 
+def _windows(num: int, den: int):
+    """Pairs whose slice counts allow the overlap: they differ in at least the sum of the slices' differences."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts = [np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, SLICES).astype(np.int64) for i in (4, 5)]
+        sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        most = sizes - 2 * -(-num * sizes // (num + den))
+        return batch.select(["a", "b"]).filter(pa.array(np.abs(counts[0] - counts[1]).sum(1) <= most))
+
+    return run
+
+
 def _verify(k: int, num: int, den: int):
     def run(batches):
         known: dict[int, np.ndarray] = {}
@@ -237,7 +277,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 def _block_links(k: int, num: int, den: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
+        _, _, i, j = key
         sides = [rows[rows["own"] == x] for x in ((i,) if i == j else (i, j))]
         if any(s.empty for s in sides):
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
@@ -262,32 +302,35 @@ def jaccard_components(documents: DataFrame, k: int = 4, num: int = 85, den: int
     spark = documents.sparkSession
     prepare(spark)
     documents = documents.select("doc_id", F.xxhash64("text").alias("uid"), "text")
-    named = map_batches(documents, _names(k), "doc_id long, uid long, node long, n_shingles long").checkpoint()
+    named = map_batches(documents, _names(k), "doc_id long, uid long, node long, n_shingles long, slices binary").checkpoint()
     # a node's least document, whose text stands for it
-    nodes = named.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "uid")).alias("least"))
-    nodes = nodes.select("node", F.col("least.doc_id").alias("least"), F.col("least.uid").alias("uid"))
+    nodes = named.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "uid", "n_shingles", "slices")).alias("least"))
+    nodes = nodes.select("node", F.col("least.doc_id").alias("least"), F.col("least.uid").alias("uid"), F.col("least.n_shingles").alias("n"), F.col("least.slices").alias("slices")).checkpoint()
     frequent = spark.sparkContext.broadcast(np.packbits(frequent_buckets(documents, k)))
     posts = documents.select("text").mapInArrow(_posts(k, num, den, frequent), "token long, node long, n int, at int")
     found = posts.repartition("token").sortWithinPartitions("token").mapInArrow(_regions(num, den), "a long, b long, large boolean").distinct().checkpoint()
-    pairs = found.where("not large").select("a", "b")
     large = components(found.where("large").select("a", "b")).select("node", F.col("component").alias("region")).checkpoint()
-    # one text for each node that is in a pair or a large region
+    pairs = found.where("not large").select("a", "b")
+    for side in ("a", "b"):
+        own = nodes.join(large, "node", "left").select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("slices").alias(f"s_{side}"), F.col("region").alias(f"r_{side}"))
+        pairs = pairs.join(own, side)
+    pairs = pairs.where(F.col("r_a").isNull() | F.col("r_b").isNull() | (F.col("r_a") != F.col("r_b"))).select("a", "b", "n_a", "n_b", "s_a", "s_b")
+    pairs = map_batches(pairs, _windows(num, den), "a long, b long").checkpoint()
+    # one text for each node that is in a pair or a dense region
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
     chosen = wanted.join(nodes, "node").select(F.col("least").alias("doc"), F.col("uid").alias("of"), F.col("node").alias("chosen"))
     texts = documents.join(chosen, (documents.doc_id == chosen.doc) & (documents.uid == chosen.of)).select(F.col("chosen").alias("node"), "text").dropDuplicates(["node"]).checkpoint()
-    beside = pairs.join(large.select(F.col("node").alias("a"), F.col("region").alias("ra")), "a", "left").join(large.select(F.col("node").alias("b"), F.col("region").alias("rb")), "b", "left")
-    beside = beside.where(F.col("ra").isNull() | F.col("rb").isNull() | (F.col("ra") != F.col("rb"))).select("a", "b")
-    with_b = beside.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     with_a = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     links = with_a.mapInArrow(_verify(k, num, den), "a long, b long")
-    # large regions: blocks, and every pair of blocks a task
-    sizes = large.groupBy("region").agg(F.count("*").alias("members"))
-    member = large.join(sizes, "region").join(texts, "node")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    member = member.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "text")
-    dense = member.groupBy("region", "i", "j").applyInPandas(_block_links(k, num, den), "a long, b long")
+    # dense regions: cells of like size and their boundary, cut into blocks; every pair of blocks is a task
+    cell = F.floor(F.log(F.col("n")) / math.log(den / num) + 1e-9) if num < den else F.col("n")
+    placed = large.join(nodes.select("node", "n"), "node").withColumn("cell", F.explode(F.array(cell, cell - 1)))
+    sizes = placed.groupBy("region", "cell").agg(F.count("*").alias("members")).where("members > 1")
+    member = placed.join(sizes, ["region", "cell"]).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    member = member.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    member = member.join(texts, "node").select("region", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "text")
+    dense = member.groupBy("region", "cell", "i", "j").applyInPandas(_block_links(k, num, den), "a long, b long")
     groups = components(links.union(dense))
     merged = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     tops = merged.groupBy("component").agg(F.min("least").alias("top"))

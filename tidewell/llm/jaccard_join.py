@@ -11,10 +11,10 @@ hash range (distances to the slices) all bound the overlap.
 The order puts shingles that very many documents hold last; how many do is estimated over all
 documents in a count sketch of fixed size. Any order gives the same links.
 
-Regions list the pairs inside their windows, which are then verified on the whole sets. Dense regions
-(more than ``REGION`` sets with very many such pairs: large groups of near copies) are merged where they
-overlap and joined recursively: cells of like size, with the next cell replicated as boundary, are cut into
-blocks, and each pair of blocks is one bounded task that reports only a spanning forest of its links.
+Regions list the pairs inside their windows; dense ones (more than ``REGION`` sets with very many such
+pairs: large groups of near copies) only a spanning forest of them. What these pairs tie together is
+joined recursively on the whole sets: cells of like size, with the next cell replicated as boundary, are cut
+into blocks, and each pair of blocks is one bounded join that reports a spanning forest of its links.
 
 Equal sets are one node throughout. Null and empty texts have empty sets and are linked with
 nothing, though equal to each other. Rows that repeat a doc_id form one row's worth of links.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import map_batches, prepare, text_bytes
+from .common import map_batches, partitions_for, prepare, text_bytes
 from .components import components, forest
 
 REGION, WIDEST, DENSE, BLOCK = 128, 1024, 16, 256
@@ -231,28 +231,6 @@ def _windows(num: int, den: int):
     return run
 
 
-def _verify(k: int, num: int, den: int):
-    def run(batches):
-        known: dict[int, np.ndarray] = {}
-
-        def of(node: int, text: str) -> np.ndarray:
-            if node not in known:
-                if len(known) >= 500:
-                    known.clear()
-                known[node] = shingles(text.encode(), k)
-            return known[node]
-
-        for batch in batches:
-            a, b, ok = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for x, y, s, t in zip(a, b, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = of(x, s), of(y, t)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(den * both >= num * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
-
-
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Overlap of every left with every right set, over the shingles that both sides hold."""
     sides = []
@@ -276,18 +254,25 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _block_links(k: int, num: int, den: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, _, i, j = key
-        sides = [rows[rows["own"] == x] for x in ((i,) if i == j else (i, j))]
-        if any(s.empty for s in sides):
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        sets = [[shingles(t.encode(), k) for t in s["text"]] for s in sides]
-        names = [s["node"].to_numpy(np.int64) for s in sides]
+    """Links inside the pairs of blocks that a task holds."""
+
+    def join(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        own = rows["own"].to_numpy()
+        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
+        sides = [np.flatnonzero(own == x) for x in ((i,) if i == j else (i, j))]
+        if any(len(s) == 0 for s in sides):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        texts, nodes = rows["text"].tolist(), rows["node"].to_numpy(np.int64)
+        sets = [[shingles(texts[r].encode(), k) for r in s] for s in sides]
         both = overlaps(sets[0], sets[-1])
         sizes = [np.array([len(x) for x in s]) for s in sets]
         x, y = np.nonzero(den * both >= num * (sizes[0][:, None] + sizes[-1][None, :] - both))
-        a, b = names[0][x], names[-1][y]
-        a, b = forest(a[a != b], b[a != b])
+        a, b = nodes[sides[0]][x], nodes[sides[-1]][y]
+        return forest(a[a != b], b[a != b])
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = [join(part) for _, part in rows.groupby(["region", "cell", "i", "j"], sort=False)]
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         return pd.DataFrame({"a": a, "b": b})
 
     return run
@@ -309,29 +294,24 @@ def jaccard_components(documents: DataFrame, k: int = 4, num: int = 85, den: int
     frequent = spark.sparkContext.broadcast(np.packbits(frequent_buckets(documents, k)))
     posts = documents.select("text").mapInArrow(_posts(k, num, den, frequent), "token long, node long, n int, at int")
     found = posts.repartition("token").sortWithinPartitions("token").mapInArrow(_regions(num, den), "a long, b long, large boolean").distinct().checkpoint()
-    large = components(found.where("large").select("a", "b")).select("node", F.col("component").alias("region")).checkpoint()
     pairs = found.where("not large").select("a", "b")
     for side in ("a", "b"):
-        own = nodes.join(large, "node", "left").select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("slices").alias(f"s_{side}"), F.col("region").alias(f"r_{side}"))
-        pairs = pairs.join(own, side)
-    pairs = pairs.where(F.col("r_a").isNull() | F.col("r_b").isNull() | (F.col("r_a") != F.col("r_b"))).select("a", "b", "n_a", "n_b", "s_a", "s_b")
-    pairs = map_batches(pairs, _windows(num, den), "a long, b long").checkpoint()
-    # one text for each node that is in a pair or a dense region
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
-    chosen = wanted.join(nodes, "node").select(F.col("least").alias("doc"), F.col("uid").alias("of"), F.col("node").alias("chosen"))
-    texts = documents.join(chosen, (documents.doc_id == chosen.doc) & (documents.uid == chosen.of)).select(F.col("chosen").alias("node"), "text").dropDuplicates(["node"]).checkpoint()
-    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    with_a = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    links = with_a.mapInArrow(_verify(k, num, den), "a long, b long")
-    # dense regions: cells of like size and their boundary, cut into blocks; every pair of blocks is a task
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("slices").alias(f"s_{side}")), side)
+    pairs = map_batches(pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b"), _windows(num, den), "a long, b long")
+    tied = components(pairs.union(found.where("large").select("a", "b")))
+    # cells of like size and their boundary, cut into blocks; every pair of blocks is joined by one task
+    placed = tied.join(nodes, "node").select("node", F.col("component").alias("region"), "n", F.col("least").alias("doc"), F.col("uid").alias("of")).checkpoint()
+    texts = documents.join(placed.select(F.col("node").alias("chosen"), "doc", "of"), (documents.doc_id == F.col("doc")) & (documents.uid == F.col("of"))).select("chosen", "text").dropDuplicates(["chosen"])
     cell = F.floor(F.log(F.col("n")) / math.log(den / num) + 1e-9) if num < den else F.col("n")
-    placed = large.join(nodes.select("node", "n"), "node").withColumn("cell", F.explode(F.array(cell, cell - 1)))
-    sizes = placed.groupBy("region", "cell").agg(F.count("*").alias("members")).where("members > 1")
-    member = placed.join(sizes, ["region", "cell"]).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    celled = placed.select("node", "region", F.explode(F.array(cell, cell - 1)).alias("cell"))
+    sizes = celled.groupBy("region", "cell").agg(F.count("*").alias("members")).where("members > 1")
+    member = celled.join(sizes, ["region", "cell"]).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     member = member.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.join(texts, "node").select("region", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "text")
-    dense = member.groupBy("region", "cell", "i", "j").applyInPandas(_block_links(k, num, den), "a long, b long")
-    groups = components(links.union(dense))
+    member = member.select("region", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node").checkpoint()
+    tasks = partitions_for(member.count(), BLOCK)
+    member = member.join(texts, member.node == texts.chosen).drop("chosen").withColumn("task", F.pmod(F.xxhash64("region", "cell", "i", "j"), F.lit(tasks)))
+    links = member.groupBy("task").applyInPandas(_block_links(k, num, den), "a long, b long")
+    groups = components(links)
     merged = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     tops = merged.groupBy("component").agg(F.min("least").alias("top"))
     by_node = merged.join(tops, "component").select(F.col("node").alias("of_node"), "top").checkpoint()

@@ -14,7 +14,7 @@ def histogram(rows: DataFrame, key: str, value: str, bins: int = 50) -> DataFram
     ends = rows.groupBy(key).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / float(bins)
     bin_ = F.least(F.coalesce(F.floor(divide(F.col(value) - F.col("lo"), width)), F.lit(0)) + 1, F.lit(bins)).cast("long")
-    return rows.join(F.broadcast(ends), key).groupBy(key, bin_.alias("bin")).agg(F.count("*").alias("n"))
+    return rows.join(ends, key).groupBy(key, bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def ecdf(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -33,7 +33,7 @@ def kde(rows: DataFrame, key: str, value: str, points: int = 50) -> DataFrame:
     ends = x.groupBy(key).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), (F.stddev_samp("x") * F.pow(F.count("*").cast("double"), F.lit(-0.2))).alias("h"), F.count("*").alias("n"))
     ends = ends.where("h > 0")
     kernel = lambda i: F.exp(-0.5 * F.pow((F.col("lo") + (F.col("hi") - F.col("lo")) * i / float(points - 1) - F.col("x")) / F.col("h"), F.lit(2.0)))
-    sums = x.join(F.broadcast(ends), key).groupBy(key, "lo", "hi", "h", "n").agg(*(F.sum(kernel(i)).alias(f"k{i}") for i in range(points)))
+    sums = x.join(ends, key).groupBy(key, "lo", "hi", "h", "n").agg(*(F.sum(kernel(i)).alias(f"k{i}") for i in range(points)))
     each = F.posexplode(F.array(*(F.col(f"k{i}") for i in range(points)))).alias("i", "k")
     out = sums.select(key, "lo", "hi", "h", "n", each)
     return out.select(key, F.col("i").cast("long").alias("i"), (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / float(points - 1)).alias("x"), (F.col("k") / (F.col("n") * F.col("h") * 2.5066282746310002)).alias("density"))
@@ -46,4 +46,4 @@ def box(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     v = F.when(inside, F.col(value))
-    return rows.join(F.broadcast(q), keys).groupBy(*keys, "q1", "q2", "q3").agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count_if(~inside).alias("fliers"))
+    return rows.join(q, keys).groupBy(*keys, "q1", "q2", "q3").agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count_if(~inside).alias("fliers"))

@@ -255,9 +255,9 @@ def _fits(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("cluster", F.col("gene") % 5).withColumn("ok", compare.accepted())
 
 
-@query(f"WITH {FITS} SELECT model, gene, n, round(round(nrmse_range, 8), 6) AS nrmse_range, round(round(mase, 8), 6) AS mase, round(round(spearman, 8), 6) AS spearman FROM flagged WHERE ok")
+@query(f"WITH {FITS} SELECT model, gene, n, round(nrmse_range, 8) AS nrmse_range, round(mase, 8) AS mase, round(spearman, 8) AS spearman FROM flagged WHERE ok")
 def accept_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_fits(spark, sf).where("ok").select("model", "gene", "n", "nrmse_range", "mase", "spearman"))
+    return rounded(_fits(spark, sf).where("ok").select("model", "gene", "n", "nrmse_range", "mase", "spearman"), 8)
 
 
 @query(f"WITH {FITS} SELECT cluster, model, count(*) AS n FROM flagged WHERE ok GROUP BY 1, 2")
@@ -299,12 +299,12 @@ def venn_pairs_by_cluster(spark: SparkSession, sf: str) -> DataFrame:
     return compare.venn_pairs(_fits(spark, sf).where("ok"), "model", "gene", PRIORITIES, ["cluster"])
 
 
-@query(f"WITH {FITS} SELECT coalesce(a.gene, b.gene) AS gene, round(round(a.nrmse_range, 8), 6) AS urgent, round(round(b.nrmse_range, 8), 6) AS low FROM (SELECT * FROM fits WHERE model = '1-URGENT') a FULL JOIN (SELECT * FROM fits WHERE model = '5-LOW') b ON a.gene = b.gene")
+@query(f"WITH {FITS} SELECT coalesce(a.gene, b.gene) AS gene, round(a.nrmse_range, 8) AS urgent, round(b.nrmse_range, 8) AS low FROM (SELECT * FROM fits WHERE model = '1-URGENT') a FULL JOIN (SELECT * FROM fits WHERE model = '5-LOW') b ON a.gene = b.gene")
 def outer_align(spark: SparkSession, sf: str) -> DataFrame:
     """The same series under two models side by side, missing ones null."""
     fits = _fits(spark, sf).select("model", "gene", "nrmse_range")
     side = lambda m, name: fits.where(F.col("model") == m).select("gene", F.col("nrmse_range").alias(name))
-    return rounded(side("1-URGENT", "urgent").join(side("5-LOW", "low"), "gene", "full"))
+    return rounded(side("1-URGENT", "urgent").join(side("5-LOW", "low"), "gene", "full"), 8)
 
 
 @query(" UNION ALL ".join(f"SELECT '{p}' AS model, o_custkey, count(*) AS n, round(avg(o_totalprice), 6) AS mean, max(n_regionkey)::BIGINT AS cluster FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority = '{p}' GROUP BY o_custkey" for p in PRIORITIES))

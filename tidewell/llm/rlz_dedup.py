@@ -91,24 +91,24 @@ def _open(width: int, gram: int):
     return run
 
 
-def duplicate_spans(documents: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def spans_of(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, uid, spans (first word and number of words) of every document that repeats a smaller one.
 
-    ``uid`` is the xxhash64 of the text. Very common passages are aggregated to their least
-    holder before the shuffle; the join back is a plain equi-join that can split hot keys.
+    ``keyed`` are documents with ``uid``, the xxhash64 of the text. Very common passages are
+    aggregated to their least holder before the shuffle; the join back is a plain equi-join that can split hot
+    keys. The windows are left lazy: in one plan with the caller's join of ``keyed`` the texts are shuffled once.
     """
-    prepare(documents.sparkSession)
-    documents = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("uid"), "text")
-    segments = map_batches(documents, _segments(width, gram), SEGMENTS)
+    usable = keyed.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(*KEY, "text")
+    segments = map_batches(usable, _segments(width, gram), SEGMENTS)
     holders = segments.groupBy("anchor", "block").agg(F.min("doc_id").alias("least"), F.count("*").alias("held"))
-    holders = holders.checkpoint()
     split = holders.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", F.lit(True).alias("split"))
     index = holders.join(split, "anchor", "left").where("held > 1 OR split").select(F.col("anchor").alias("a"), F.col("block").alias("b"), "least", F.coalesce("split", F.lit(False)).alias("split")).checkpoint()
     factors = segments.join(index, (segments.anchor == index.a) & (segments.block == index.b)).where((F.col("least") < F.col("doc_id")) | F.col("split"))
     factors = factors.select(*KEY, "anchor", "start", "n", (F.col("least") < F.col("doc_id")).alias("whole")).checkpoint()
     listed = factors.where("not whole").groupBy(*KEY).agg(F.collect_list(F.struct("start", "n", "anchor")).alias("listed"))
-    windows = map_batches(documents.join(listed, KEY).select(*KEY, "text", "listed"), _open(width, gram), "doc_id long, uid long, anchor long, window long, start int").checkpoint()
-    least = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(F.col("anchor").alias("a"), F.col("window").alias("w"), "least").checkpoint()
+    rest = [c for c in keyed.columns if c not in (*KEY, "text")]
+    windows = map_batches(keyed.join(listed, KEY).select(*KEY, "text", "listed", *rest), _open(width, gram), "doc_id long, uid long, anchor long, window long, start int")
+    least = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(F.col("anchor").alias("a"), F.col("window").alias("w"), "least")
     matched = windows.join(least, (windows.anchor == least.a) & (windows.window == least.w)).where(F.col("least") < F.col("doc_id"))
     span = lambda words: F.struct(F.col("start"), words.cast("int").alias("words"))
     both = factors.where("whole").select(*KEY, span(F.col("n") + (width - 1)).alias("span")).union(matched.select(*KEY, span(F.lit(width)).alias("span")))
@@ -136,11 +136,10 @@ def _digest(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def with_spans(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``documents`` with the column spans, null where nothing repeats."""
-    spans = duplicate_spans(documents, width).withColumnsRenamed({"doc_id": "span_doc", "uid": "span_uid"})
-    keyed = documents.withColumn("span_of", F.xxhash64("text"))
-    joined = keyed.join(spans, (keyed.doc_id == spans.span_doc) & (keyed.span_of == spans.span_uid), "left")
-    return joined.drop("span_doc", "span_uid", "span_of")
+    """``documents`` with uid and the column spans, null where nothing repeats."""
+    prepare(documents.sparkSession)
+    keyed = documents.withColumn("uid", F.xxhash64("text"))
+    return keyed.join(spans_of(keyed, width), KEY, "left")
 
 
 def digest(documents: DataFrame, width: int = WIDTH) -> DataFrame:

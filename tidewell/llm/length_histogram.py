@@ -23,8 +23,8 @@ def lengths(documents: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        packed = cache_for(path).packed
-        return pa.RecordBatch.from_arrays([pa.array([len(packed(t)) // 4 for t in batch.column(0).to_pylist()], pa.int64())], ["length"])
+        packed = cache_for(path).packed(batch.column(0).to_pylist())
+        return pa.RecordBatch.from_arrays([pa.array([len(p) // 4 for p in packed], pa.int64())], ["length"])
 
     return map_batches(documents.select("text"), count, "length long")
 

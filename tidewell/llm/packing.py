@@ -34,9 +34,9 @@ def pieces(documents: DataFrame, size: int = SIZE, path: str | None = None, end_
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        packed, out = cache_for(path).packed, []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = packed(text) + end
+        out = []
+        for doc, packed in zip(batch.column(0).to_pylist(), cache_for(path).packed(batch.column(1).to_pylist()), strict=True):
+            ids = packed + end
             total = len(ids) // 4
             out += [(doc, n, at, min(size, total - at), zlib.crc32(ids[4 * at : 4 * (at + size)])) for n, at in enumerate(range(0, total, size))]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])

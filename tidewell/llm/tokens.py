@@ -51,12 +51,12 @@ class TokenCache(dict):
     def packed(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null has none."""
         parts = [_PARTS.findall(t) if t else [] for t in texts]
-        new = set().union(*parts).difference(self.keys())
+        new = [p for p in set().union(*parts) if p not in self]
         if len(self) + len(new) > _CACHE_PARTS:
             self.clear()
-            new = set().union(*parts)
+            new = list(set().union(*parts))
         plain = [(p, m[1].lower(), m[2]) for p, m in zip(new, map(_PLAIN.fullmatch, new), strict=True) if m and len(p) <= 64]
-        self.learn(list({w for _, w, _ in plain}.difference(self.keys())))
+        self.learn([w for w in {w for _, w, _ in plain} if w not in self])
         get = self.__getitem__
         for part, word, ending in plain:
             self[part] = get(word) + get(ending) if ending else get(word)

@@ -121,8 +121,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
         return stored.groupBy(*keys).cogroup(q.select(*keys, "vec_id", "v", "floor").groupBy(*keys)).applyInPandas(_search(k), FOUND)
 
     home = meet(asked.withColumn("shard", F.col("home")).withColumn("floor", F.lit(float("-inf")))).checkpoint()
-    floors = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-    others = asked.join(floors, asked.vec_id == floors.query_id, "left").withColumn("floor", F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf"))))
+    floors = home.groupBy(F.col("query_id").alias("asked_id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+    others = asked.join(floors, F.col("vec_id") == F.col("asked_id"), "left").withColumn("floor", F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf"))))
     others = others.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     found = home.union(meet(others)) if shards > 1 else home

@@ -86,8 +86,8 @@ def _search(k: int):
             return none
         stack = lambda s: np.array(s.tolist(), dtype=np.float64).reshape(len(s), -1)
         tree = BallTree(stack(shard["v"]), shard["vec_id"].to_numpy(np.int64))
-        asked = queries["vec_id"].to_numpy(np.int64)
-        best, ids = tree.search(stack(queries["v"]), asked, k, queries["floor"].to_numpy(np.float64))
+        asked = queries["asked"].to_numpy(np.int64)
+        best, ids = tree.search(stack(queries["q"]), asked, k, queries["q_floor"].to_numpy(np.float64))
         row, col = np.nonzero(ids != -1)
         return pd.DataFrame({"query_id": asked[row], "vec_id": ids[row, col], "score": best[row, col].astype(np.int64)})
 
@@ -118,7 +118,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     stored = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*keys, "vec_id", "v")
 
     def meet(q: DataFrame) -> DataFrame:
-        return stored.groupBy(*keys).cogroup(q.select(*keys, "vec_id", "v", "floor").groupBy(*keys)).applyInPandas(_search(k), FOUND)
+        named = q.select(*(F.col(c).alias(f"q_{c}") for c in keys), F.col("vec_id").alias("asked"), F.col("v").alias("q"), F.col("floor").alias("q_floor"))
+        return stored.groupBy(*keys).cogroup(named.groupBy(*(f"q_{c}" for c in keys))).applyInPandas(_search(k), FOUND)
 
     home = meet(asked.withColumn("shard", F.col("home")).withColumn("floor", F.lit(float("-inf")))).checkpoint()
     floors = home.groupBy(F.col("query_id").alias("asked_id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))

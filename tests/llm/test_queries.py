@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tests.llm import brute
-from tidewell.llm import host_reputation, packing
+from tidewell.llm import host_reputation, jaccard_join, packing
 from tidewell.llm.queries import QUERIES
 
 
@@ -111,3 +111,10 @@ def test_html_diff(spark, data):
         blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", body))
         want = "\n\n".join(b for b in blocks if b)
         assert got[page] == (url, want, len(want))
+
+
+def test_jaccard_join_small_blocks(spark, data, monkeypatch):
+    """The same classes if every group of more than three sets is divided into cells and blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    got = {r[0]: r[1:] for r in rows(QUERIES["op3_jaccard_join"](spark, data), "doc_id", "n_shingles", "component_id")}
+    assert got == brute.jaccard(read(data, "documents", "doc_id, text"), 4, 85, 100)

@@ -13,8 +13,9 @@ documents in a count sketch of fixed size. Any order gives the same links.
 
 Regions list the pairs inside their windows; dense ones (more than ``REGION`` sets with very many such
 pairs: large groups of near copies) only a spanning forest of them. What these pairs tie together is
-joined recursively on the whole sets: cells of like size, with the next cell replicated as boundary, are cut
-into blocks, and each pair of blocks is one bounded join that reports a spanning forest of its links.
+joined recursively on the whole sets. Small groups are joined at once; large ones are divided into cells of like
+size, with the next cell replicated as boundary, and cells into blocks. Each pair of blocks is one bounded join that
+reports a spanning forest of its links.
 
 Equal sets are one node throughout. Null and empty texts have empty sets and are linked with
 nothing, though equal to each other. Rows that repeat a doc_id form one row's worth of links.
@@ -27,7 +28,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -278,6 +279,23 @@ def _block_links(k: int, num: int, den: int):
     return run
 
 
+def _cells(homes: DataFrame) -> DataFrame:
+    """region, home, cells (cell, blocks) and shipped rows, of ``homes(region, home, held)``.
+
+    A region of at most ``BLOCK`` sets is one cell. In a larger one a cell holds the sets of one size class and,
+    as its boundary, those of the next; classes without sets of their own have no cell.
+    """
+    by_size = Window.partitionBy("region").orderBy("home")
+    beside = lambda f, step: F.coalesce(F.when(f("home").over(by_size) == F.col("home") + step, f("held").over(by_size)), F.lit(0))
+    homes = homes.select("*", F.sum("held").over(Window.partitionBy("region")).alias("total"), beside(F.lead, 1).alias("above"), beside(F.lag, -1).alias("below"))
+    one = lambda cell, sets: F.struct(cell.cast("long").alias("cell"), F.ceil(sets / BLOCK).cast("int").alias("blocks"))
+    own = F.when(F.col("held") + F.col("above") > 1, one(F.col("home"), F.col("held") + F.col("above")))
+    lower = F.when(F.col("below") > 0, one(F.col("home") - 1, F.col("held") + F.col("below")))
+    cells = F.when(F.col("total") <= BLOCK, F.array(one(F.lit(-1), F.lit(1)))).otherwise(F.array_compact(F.array(own, lower)))
+    shipped = F.col("held") * F.aggregate("cells", F.lit(0).cast("long"), lambda sum_, x: sum_ + x["blocks"])
+    return homes.select("region", "home", "held", cells.alias("cells")).select("region", "home", "cells", shipped.alias("shipped"))
+
+
 def jaccard_components(documents: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``documents(doc_id, text)``.
 
@@ -299,17 +317,17 @@ def jaccard_components(documents: DataFrame, k: int = 4, num: int = 85, den: int
         pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("slices").alias(f"s_{side}")), side)
     pairs = map_batches(pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b"), _windows(num, den), "a long, b long")
     tied = components(pairs.union(found.where("large").select("a", "b")))
-    # cells of like size and their boundary, cut into blocks; every pair of blocks is joined by one task
-    placed = tied.join(nodes, "node").select("node", F.col("component").alias("region"), "n", F.col("least").alias("doc"), F.col("uid").alias("of")).checkpoint()
-    texts = documents.join(placed.select(F.col("node").alias("chosen"), "doc", "of"), (documents.doc_id == F.col("doc")) & (documents.uid == F.col("of"))).select("chosen", "text").dropDuplicates(["chosen"])
     cell = F.floor(F.log(F.col("n")) / math.log(den / num) + 1e-9) if num < den else F.col("n")
-    celled = placed.select("node", "region", F.explode(F.array(cell, cell - 1)).alias("cell"))
-    sizes = celled.groupBy("region", "cell").agg(F.count("*").alias("members")).where("members > 1")
-    member = celled.join(sizes, ["region", "cell"]).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    member = member.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("region", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node").checkpoint()
-    tasks = partitions_for(member.count(), BLOCK)
-    member = member.join(texts, member.node == texts.chosen).drop("chosen").withColumn("task", F.pmod(F.xxhash64("region", "cell", "i", "j"), F.lit(tasks)))
+    placed = tied.join(nodes, "node").select("node", F.col("component").alias("region"), cell.alias("home"), F.col("least").alias("doc"), F.col("uid").alias("of")).checkpoint()
+    plan = _cells(placed.groupBy("region", "home").agg(F.count("*").alias("held"))).checkpoint()
+    tasks = partitions_for(plan.agg(F.sum("shipped")).first()[0] or 0, BLOCK)
+    # the text of each node's least document, shuffled once to its node and once to every pair of blocks that joins it
+    placed = placed.join(plan.drop("shipped"), ["region", "home"])
+    texts = documents.join(placed, (documents.doc_id == F.col("doc")) & (documents.uid == F.col("of"))).dropDuplicates(["doc_id", "uid"])
+    member = texts.select("region", "node", "text", F.inline("cells")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    member = member.select("region", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "text")
+    member = member.withColumn("task", F.pmod(F.xxhash64("region", "cell", "i", "j"), F.lit(tasks)))
     links = member.groupBy("task").applyInPandas(_block_links(k, num, den), "a long, b long")
     groups = components(links)
     merged = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -35,7 +35,9 @@ from . import hashing
 from .common import map_batches, partitions_for, prepare, text_bytes
 from .components import components, forest
 
-REGION, WIDEST, DENSE, BLOCK = 128, 1024, 16, 256
+REGION, WIDEST, DENSE = 128, 1024, 16
+#: A block holds about so many sets and shingles; a task, about a quarter as many shingles unless a pair of blocks has more.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 SLICES = 64
 SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
 
@@ -280,20 +282,23 @@ def _block_links(k: int, num: int, den: int):
 
 
 def _cells(homes: DataFrame) -> DataFrame:
-    """region, home, cells (cell, blocks) and shipped rows, of ``homes(region, home, held)``.
+    """region, home, cells (cell, blocks) and shipped shingles, of ``homes(region, home, held, words)``.
 
-    A region of at most ``BLOCK`` sets is one cell. In a larger one a cell holds the sets of one size class and,
+    A region that fits in a block is one cell. In a larger one a cell holds the sets of one size class and,
     as its boundary, those of the next; classes without sets of their own have no cell.
     """
-    by_size = Window.partitionBy("region").orderBy("home")
-    beside = lambda f, step: F.coalesce(F.when(f("home").over(by_size) == F.col("home") + step, f("held").over(by_size)), F.lit(0))
-    homes = homes.select("*", F.sum("held").over(Window.partitionBy("region")).alias("total"), beside(F.lead, 1).alias("above"), beside(F.lag, -1).alias("below"))
-    one = lambda cell, sets: F.struct(cell.cast("long").alias("cell"), F.ceil(sets / BLOCK).cast("int").alias("blocks"))
-    own = F.when(F.col("held") + F.col("above") > 1, one(F.col("home"), F.col("held") + F.col("above")))
-    lower = F.when(F.col("below") > 0, one(F.col("home") - 1, F.col("held") + F.col("below")))
-    cells = F.when(F.col("total") <= BLOCK, F.array(one(F.lit(-1), F.lit(1)))).otherwise(F.array_compact(F.array(own, lower)))
-    shipped = F.col("held") * F.aggregate("cells", F.lit(0).cast("long"), lambda sum_, x: sum_ + x["blocks"])
-    return homes.select("region", "home", "held", cells.alias("cells")).select("region", "home", "cells", shipped.alias("shipped"))
+    by_size, all_sizes = Window.partitionBy("region").orderBy("home"), Window.partitionBy("region")
+    beside = lambda f, step, what: F.coalesce(F.when(f("home").over(by_size) == F.col("home") + step, f(what).over(by_size)), F.lit(0))
+    near = [beside(f, step, what).alias(f"{what}_{name}") for f, step, name in ((F.lead, 1, "above"), (F.lag, -1, "below")) for what in ("held", "words")]
+    homes = homes.select("*", *near, *(F.sum(what).over(all_sizes).alias(f"{what}_all") for what in ("held", "words")))
+    blocks = lambda held, words: F.greatest(F.ceil(held / BLOCK), F.ceil(words / BLOCK_SHINGLES)).cast("int")
+    one = lambda cell, count: F.struct(cell.cast("long").alias("cell"), count.alias("blocks"))
+    held, words = F.col("held"), F.col("words")
+    own = F.when(held + F.col("held_above") > 1, one(F.col("home"), blocks(held + F.col("held_above"), words + F.col("words_above"))))
+    lower = F.when(F.col("held_below") > 0, one(F.col("home") - 1, blocks(held + F.col("held_below"), words + F.col("words_below"))))
+    whole = blocks(F.col("held_all"), F.col("words_all")) == 1
+    homes = homes.withColumn("cells", F.when(whole, F.array(one(F.lit(-1), F.lit(1)))).otherwise(F.array_compact(F.array(own, lower))))
+    return homes.select("region", "home", "cells", (words * F.aggregate("cells", F.lit(0).cast("long"), lambda total, x: total + x["blocks"])).alias("shipped"))
 
 
 def jaccard_components(documents: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -318,11 +323,11 @@ def jaccard_components(documents: DataFrame, k: int = 4, num: int = 85, den: int
     pairs = map_batches(pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b"), _windows(num, den), "a long, b long")
     tied = components(pairs.union(found.where("large").select("a", "b")))
     cell = F.floor(F.log(F.col("n")) / math.log(den / num) + 1e-9) if num < den else F.col("n")
-    placed = tied.join(nodes, "node").select("node", F.col("component").alias("region"), cell.alias("home"), F.col("least").alias("doc"), F.col("uid").alias("of")).checkpoint()
-    plan = _cells(placed.groupBy("region", "home").agg(F.count("*").alias("held"))).checkpoint()
-    tasks = partitions_for(plan.agg(F.sum("shipped")).first()[0] or 0, BLOCK)
+    placed = tied.join(nodes, "node").select("node", F.col("component").alias("region"), cell.alias("home"), "n", F.col("least").alias("doc"), F.col("uid").alias("of")).checkpoint()
+    plan = _cells(placed.groupBy("region", "home").agg(F.count("*").alias("held"), F.sum("n").alias("words"))).checkpoint()
+    tasks = partitions_for(plan.agg(F.sum("shipped")).first()[0] or 0, BLOCK_SHINGLES // 4)
     # the text of each node's least document, shuffled once to its node and once to every pair of blocks that joins it
-    placed = placed.join(plan.drop("shipped"), ["region", "home"])
+    placed = placed.drop("n").join(plan.drop("shipped"), ["region", "home"])
     texts = documents.join(placed, (documents.doc_id == F.col("doc")) & (documents.uid == F.col("of"))).dropDuplicates(["doc_id", "uid"])
     member = texts.select("region", "node", "text", F.inline("cells")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

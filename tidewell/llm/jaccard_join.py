@@ -38,6 +38,8 @@ from .components import components, forest
 REGION, WIDEST, DENSE = 128, 1024, 16
 #: A block holds about so many sets and shingles; a task, about a quarter as many shingles unless a pair of blocks has more.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: In a pair of blocks, a shingle is counted pair by pair if it has fewer than this part of all pairs; so many pairs at once.
+FEW, PAIRS = 512, 1 << 22
 SLICES = 64
 SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
 
@@ -234,6 +236,25 @@ def _windows(num: int, den: int):
     return run
 
 
+def _few_overlaps(sides, lists, few: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """What the shingles marked few, whose lists of holders are short, add to each overlap."""
+    total = np.zeros(shape[0] * shape[1], dtype=np.int64)
+    (rows, at), (others, _) = sides
+    begin = np.cumsum(lists[1]) - lists[1]
+    rows, at = rows[few[at]], at[few[at]]
+    counts = lists[1][at]
+    ends = np.cumsum(counts)
+    low = 0
+    while low < len(at):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PAIRS, side="right")))
+        n = counts[low:high]
+        mine = np.repeat(rows[low:high], n)
+        place = np.repeat(begin[at[low:high]], n) + np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n)
+        total += np.bincount(mine * shape[1] + others[place], minlength=len(total))
+        low = high
+    return total.reshape(shape)
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Overlap of every left with every right set, over the shingles that both sides hold."""
     sides = []
@@ -244,16 +265,20 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         here = common[at] == flat if len(common) else np.zeros(len(flat), bool)
         order = np.argsort(at[here], kind="stable")
         sides.append((rows[here][order], at[here][order]))
-    total = np.zeros((len(left), len(right)), dtype=np.float32)
-    for low in range(0, len(common), 4096):
+    lists = [np.bincount(at, minlength=len(common)) for _, at in sides]
+    few = lists[0] * lists[1] <= len(left) * len(right) // FEW
+    total = _few_overlaps(sides, lists, few, (len(left), len(right)))
+    many = np.cumsum(~few) - 1
+    sides = [(rows[~few[at]], many[at[~few[at]]]) for rows, at in sides]
+    for low in range(0, int((~few).sum()), 4096):
         parts = []
         for (rows, at), sets in zip(sides, (left, right), strict=True):
             a, b = np.searchsorted(at, [low, low + 4096])
             m = np.zeros((len(sets), 4096), dtype=np.float32)
             m[rows[a:b], at[a:b] - low] = 1
             parts.append(m)
-        total += parts[0] @ parts[1].T
-    return total.astype(np.int64)
+        total += (parts[0] @ parts[1].T).astype(np.int64)
+    return total
 
 
 def _block_links(k: int, num: int, den: int):

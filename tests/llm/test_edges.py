@@ -4,6 +4,7 @@ import random
 from zlib import crc32
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tidewell.llm import ball_tree, boosted_trees, byte_cnn, host_reputation, html_diff, jaccard_join, length_histogram, packing, rlz_dedup, tokens, wu_manber
@@ -189,3 +190,15 @@ def test_null_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.component_id or -1) for r in jaccard_join.jaccard_components(docs).collect()) == [1, 1, 1, 1, 1]
     assert rlz_dedup.digest(docs).count() == 5 and packing.pack(docs).count() == 5
+
+
+def test_maybe_among(spark):
+    frame = spark.createDataFrame([(i, i * 7, f"text {i}") for i in range(3000)] + [(None, 5, None)], "doc_id long, uid long, text string")
+    key = F.xxhash64("doc_id", "uid")
+    some = frame.where("doc_id % 50 = 0 OR doc_id IS NULL")
+    left = jaccard_join.maybe_among(frame, some, key)
+    assert left.schema == frame.schema
+    got = {tuple(r) for r in left.collect()}
+    assert {tuple(r) for r in some.collect()} <= got <= {tuple(r) for r in frame.collect()}
+    assert len(got) < 100  # the sketch errs rarely on so few
+    assert jaccard_join.maybe_among(frame, some.where("false"), key).count() == 0

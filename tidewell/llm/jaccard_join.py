@@ -75,16 +75,14 @@ def _names(k: int):
     return run
 
 
-def _sketch(k: int):
-    """One count sketch of the shingles' documents for each task, in chunks."""
+def _sketch(add, size: int):
+    """One sketch of ``size`` counts for each task, in chunks; ``add`` counts a batch into it."""
 
     def run(batches):
-        total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for text in text_bytes(batch.column(0)):
-                s = shingles(text, k)
-                np.add.at(total, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        for at in range(0, len(total), SKETCH_CHUNK):
+            add(total, batch)
+        for at in range(0, size, SKETCH_CHUNK):
             part = total[at : at + SKETCH_CHUNK]
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([at // SKETCH_CHUNK], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary())], ["chunk", "counts"])
@@ -97,17 +95,50 @@ def _add_sketches(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": [key[0]], "counts": [total.astype("<i8").tobytes()]})
 
 
+def sketch_of(rows: DataFrame, add, bits: int) -> np.ndarray:
+    """The summed sketch of all rows: 2**bits counts, whatever the number of rows."""
+    parts = rows.mapInArrow(_sketch(add, 1 << bits), "chunk int, counts binary")
+    counts = np.zeros(1 << bits, dtype=np.int64)
+    for row in parts.groupBy("chunk").applyInPandas(_add_sketches, "chunk int, counts binary").collect():
+        counts[row["chunk"] * SKETCH_CHUNK : (row["chunk"] + 1) * SKETCH_CHUNK] = np.frombuffer(bytes(row["counts"]), dtype="<i8")
+    return counts
+
+
 def frequent_buckets(documents: DataFrame, k: int) -> np.ndarray:
     """Which sketch buckets hold shingles of very many documents: far above the mean (6 deviations)."""
-    parts = documents.select("text").mapInArrow(_sketch(k), "chunk int, counts binary")
-    rows = parts.groupBy("chunk").applyInPandas(_add_sketches, "chunk int, counts binary").collect()
-    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for row in rows:
-        counts[row["chunk"] * SKETCH_CHUNK : (row["chunk"] + 1) * SKETCH_CHUNK] = np.frombuffer(bytes(row["counts"]), dtype="<i8")
+
+    def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        for text in text_bytes(batch.column(0)):
+            np.add.at(total, (shingles(text, k) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+
+    counts = sketch_of(documents.select("text"), add, SKETCH_BITS)
     middle = np.median(counts)
     return counts > middle + 6 * math.sqrt(middle + 1) + 8
 
 
+def _bucket(keys: pa.Array) -> np.ndarray:
+    return (keys.to_numpy().view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def maybe_among(rows: DataFrame, chosen: DataFrame, key) -> DataFrame:
+    """``rows`` without most of those whose ``key``, a 64-bit hash, is not among that of ``chosen``.
+
+    A bit sketch of fixed size is broadcast; a row that it lets through in error falls in the join that follows.
+    """
+
+    def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        total[_bucket(batch.column(0))] = 1
+
+    there = rows.sparkSession.sparkContext.broadcast(np.packbits(sketch_of(chosen.select(key), add, SKETCH_BITS) > 0))
+
+    def run(batches):
+        bits = np.unpackbits(there.value).astype(bool)
+        for batch in batches:
+            yield batch.select(batch.schema.names[1:]).filter(pa.array(bits[_bucket(batch.column(0))]))
+
+    return rows.select(key.alias("sketch_key"), *rows.columns).mapInArrow(run, rows.schema)
+
+
 def ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The set in the common order: frequent shingles last."""
     late = frequent[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
@@ -353,7 +384,8 @@ def jaccard_components(documents: DataFrame, k: int = 4, num: int = 85, den: int
     tasks = partitions_for(plan.agg(F.sum("shipped")).first()[0] or 0, BLOCK_SHINGLES // 4)
     # the text of each node's least document, shuffled once to its node and once to every pair of blocks that joins it
     placed = placed.drop("n").join(plan.drop("shipped"), ["region", "home"])
-    texts = documents.join(placed, (documents.doc_id == F.col("doc")) & (documents.uid == F.col("of"))).dropDuplicates(["doc_id", "uid"])
+    wanted = maybe_among(documents, placed.select(F.col("doc").alias("doc_id"), F.col("of").alias("uid")), F.xxhash64("doc_id", "uid"))
+    texts = wanted.join(placed, (wanted.doc_id == F.col("doc")) & (wanted.uid == F.col("of"))).dropDuplicates(["doc_id", "uid"])
     member = texts.select("region", "node", "text", F.inline("cells")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     member = member.select("region", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "text")

@@ -105,6 +105,19 @@ def test_decontamination(docs, spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, w in want.items() if not w[4]}
 
 
+@pytest.mark.parametrize("per_pass", [1, 100])
+def test_decontamination_in_passes(spark, per_pass):
+    """Null and repeated doc_ids with texts of one length stay rows of their own in any number of passes."""
+    texts = [(None, "a b"), (None, "c d"), (None, "a b"), (1, "c d"), (1, "e f"), (1, "e f"), (2, None), (2, "")]
+    documents = spark.createDataFrame(texts, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "a b"), (None, "d"), (3, "c"), (5, None)], "item_id long, text string")
+    out = wu_manber.occurrences(documents, benchmark, items_per_pass=per_pass).collect()
+    want = {"a b": ([0, 1], ["1", "2", "4"]), "c d": ([0, 1], ["3", "3", None]), "e f": ([], [])}
+    assert sorted(((r.doc_id, r.n_words, r.hits, sorted(r.item_ids, key=str)) for r in out), key=str) == sorted(
+        ((d, len((t or "").split()), *(want[t] if t else ([], []))) for d, t in texts), key=str
+    )
+
+
 def test_packing(docs):
     import numpy as np
 

@@ -122,17 +122,18 @@ def search(words: np.ndarray, starts: np.ndarray, stops: np.ndarray, table: Tabl
     return np.concatenate([a for a, _ in found]), np.concatenate([p for _, p in found])
 
 
-HITS = "doc_id long, n_words long, hits array<int>, items array<int>"
+HITS = "n_words long, hits array<int>"
 
 
 def _scan(items: list[tuple[object, bytes]], width: int):
+    """Searches the last column; the columns before it are passed on."""
     built: list = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not built:
             built.append(build(items, width))
         number, tables = built[0]
-        texts = [words_of(t) for t in text_bytes(batch.column(1))]
+        texts = [words_of(t) for t in text_bytes(batch.column(batch.num_columns - 1))]
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         stops = np.cumsum(sizes)
         get = number.get
@@ -148,7 +149,8 @@ def _scan(items: list[tuple[object, bytes]], width: int):
         where = np.flatnonzero(np.cumsum(hit)[:-1] > 0)
         doc = np.searchsorted(stops, where, side="right")
         own = np.split((where - (stops - sizes)[doc]).astype(np.int32), np.searchsorted(doc, np.arange(1, len(texts))))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), list_array(own, pa.int32()), list_array([np.array(sorted(o), dtype=np.int32) for o in owners], pa.int32())], ["doc_id", "n_words", "hits", "items"])
+        found = [pa.array(sizes), list_array(own, pa.int32()), list_array([np.array(sorted(o), dtype=np.int32) for o in owners], pa.int32())]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], [*batch.schema.names[:-1], "n_words", "hits", "items"])
 
     return run
 
@@ -157,32 +159,42 @@ def occurrences(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH,
     """doc_id, n_words, hits (word positions inside occurrences), item_ids (of the items that occur).
 
     The benchmark is read in passes of ``items_per_pass`` items, which bounds what a task holds;
-    with more than one pass the passes' results meet by a row number.
+    with more than one pass the documents are numbered and checkpointed, so that every pass reads
+    the same numbers, and the passes' results meet by that number.
     """
     prepare(documents.sparkSession)
     total = benchmark.count()
     passes = max(1, -(-total // items_per_pass))
     documents = documents.select("doc_id", "text")
+    keys = {"doc_id": documents.schema["doc_id"].dataType.simpleString()}
+    if passes > 1:
+        documents = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").checkpoint()
+        keys = {"row": "long"} | keys
+    schema = ", ".join(f"{k} {t}" for k, t in keys.items()) + f", {HITS}"
     out = None
     for n in range(passes):
         some = benchmark if passes == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == n)
         items = [(r[0], (r[1] or "").encode()) for r in some.select("item_id", "text").toLocalIterator()]
         names = [None if i is None else str(i) for i, _ in items]
-        found = map_batches(documents, _scan(items, width), HITS)
+        found = map_batches(documents, _scan(items, width), f"{schema}, items array<int>")
         literal = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
-        found = found.select("doc_id", "n_words", "hits", F.transform("items", lambda i: F.element_at(literal, i + 1)).alias("item_ids")) if len(names) <= 1000 else _named(found, names)
+        found = found.select(*keys, "n_words", "hits", F.transform("items", lambda i: F.element_at(literal, i + 1)).alias("item_ids")) if len(names) <= 1000 else _named(found, names, schema)
         out = found if out is None else out.union(found)
     if passes == 1:
         return out
-    return out.groupBy("doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.flatten(F.collect_list("item_ids")).alias("item_ids"))
+    merged = out.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.flatten(F.collect_list("item_ids")).alias("item_ids"),
+    )
+    return merged.drop("row")
 
 
-def _named(found: DataFrame, names: list[str | None]) -> DataFrame:
+def _named(found: DataFrame, names: list[str | None], schema: str) -> DataFrame:
     def name(batch: pa.RecordBatch) -> pa.RecordBatch:
-        said = [[names[i] for i in x] for x in batch.column(3).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(said, pa.list_(pa.string()))], ["doc_id", "n_words", "hits", "item_ids"])
+        said = [[names[i] for i in x] for x in batch.column(batch.num_columns - 1).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(said, pa.list_(pa.string()))], [*batch.schema.names[:-1], "item_ids"])
 
-    return map_batches(found, name, "doc_id long, n_words long, hits array<int>, item_ids array<string>")
+    return map_batches(found, name, f"{schema}, item_ids array<string>")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -83,6 +83,24 @@ def test_models_agree(spark):
     assert np.allclose([r.y for r in rows], infer.predict("rep_m", p, 4.0, t, n=1000), rtol=1e-6)
 
 
+def test_fit_is_whole(spark, data, monkeypatch):
+    """All models with the reference's chains, warm-up, draws and quadrature; failed chains stay as rows."""
+    import inspect
+
+    from tidewell.functions.models import PRIORS
+    from tidewell.jobs import queries
+
+    set_ = {k: p.default for k, p in inspect.signature(infer.sample).parameters.items()}
+    assert (set_["warmup"], set_["draws"]) == (1000, 2000) and inspect.signature(infer.fit).parameters["chains"].default == 4
+    assert inspect.signature(infer.predict).parameters["n"].default == 1000
+    series = spark.createDataFrame([(g, float(i), 5.0 + i) for g, n in (("long", 5), ("short", 2)) for i in range(n)], "gene string, time double, y double")
+    monkeypatch.setattr(queries, "table", lambda *_: None)
+    monkeypatch.setattr(queries, "daily_series", lambda _: series)
+    rows = queries.mcmc_fit(spark, data).collect()
+    assert sorted((r.model, r.param) for r in rows if r.gene == "long") == sorted((m, p) for m in PRIORS for p in PRIORS[m])
+    assert sorted((r.model, r.chain, r.error) for r in rows if r.gene == "short") == sorted((m, c, "fewer than three observations") for m in PRIORS for c in range(4))
+
+
 def test_sampler_recovers_decay(spark):
     import numpy as np
 

@@ -13,12 +13,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.models import PRIORS, STEEPNESS
+from ..functions.models import N, PRIORS, STEEPNESS
+from ..operators.posterior import estimates
 
+PARTITIONS = 10_000
 DRAWS = "gene string, model string, chain int, draw int, param string, value double, error string"
 
 
-def predict(model: str, p: dict[str, float], m0: float, t: np.ndarray, forcing: np.ndarray | None = None, n: int = 200) -> np.ndarray:
+def predict(model: str, p: dict[str, float], m0: float, t: np.ndarray, forcing: np.ndarray | None = None, n: int = N) -> np.ndarray:
     """The model's curve at times t, by the same quadrature as the column expressions."""
     if model == "basic":
         return m0 * np.exp(-p["delta"] * t) + p["beta"] / p["delta"] * (1 - np.exp(-p["delta"] * t))
@@ -38,7 +40,7 @@ def predict(model: str, p: dict[str, float], m0: float, t: np.ndarray, forcing:
     return m0 * np.exp(-p["delta_m"] * exposure) + z
 
 
-def sample(model: str, t: np.ndarray, y: np.ndarray, seed: int, warmup: int = 500, draws: int = 500) -> dict[str, np.ndarray]:
+def sample(model: str, t: np.ndarray, y: np.ndarray, seed: int, warmup: int = 1000, draws: int = 2000) -> dict[str, np.ndarray]:
     """Posterior draws of the free parameters."""
     known = {"beta0": y[-3:].mean() * 0.1 + 1e-8, "alpha0": (y[2:-2].max() if len(y) > 4 else y.max()) * 0.1 + 1e-8}
     names = list(PRIORS[model])
@@ -83,7 +85,16 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"gene": [gene], "model": [model], "chain": [chain], "draw": [None], "param": [None], "value": [None], "error": [str(problem)]})
 
 
-def fit(series: DataFrame, models: list[str], chains: int = 2) -> DataFrame:
-    """Draws of every series, model and chain; failed fits are rows with an error."""
+def fit(series: DataFrame, models: list[str], chains: int = 4) -> DataFrame:
+    """Draws of every series, model and chain; failed fits are rows with an error.
+
+    The partitions are counted, since Spark would merge such small ones and fit all in one task.
+    """
+    parts = min(PARTITIONS, max(1, series.select("gene").distinct().count() * len(models) * chains))
     runs = series.select("gene", "time", "y", F.explode(F.array(*map(F.lit, models))).alias("model")).withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
-    return runs.groupBy("gene", "model", "chain").applyInPandas(_fit, DRAWS)
+    return runs.repartition(parts, "gene", "model", "chain").groupBy("gene", "model", "chain").applyInPandas(_fit, DRAWS)
+
+
+def summary(draws: DataFrame) -> DataFrame:
+    """A row for each series, model and parameter, and one with the error for each chain that failed."""
+    return estimates(draws.withColumn("chain", F.when(F.col("error").isNotNull(), F.col("chain"))), ["gene", "model", "param", "chain", "error"])

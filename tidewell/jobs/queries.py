@@ -402,8 +402,5 @@ def box_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def mcmc_fit(spark: SparkSession, sf: str) -> DataFrame:
-    """Posterior mean and deviation of two models' parameters for each series."""
-    draws = infer.fit(daily_series(table(spark, sf, "events")), ["basic", "zga_m"])
-    return posterior.estimates(draws.where("error IS NULL"), ["gene", "model", "param"])
-
-
+    """Posterior mean and deviation of all models' parameters for each series; a failed chain is a row with its error."""
+    return infer.summary(infer.fit(daily_series(table(spark, sf, "events")), list(models.PRIORS)))

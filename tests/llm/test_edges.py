@@ -79,6 +79,16 @@ def test_keep_first(docs):
     assert sorted(r.doc_id for r in out.collect()) == sorted(d for d, (_, top) in want.items() if d == top)
 
 
+def test_keep_first_repeated_ids(spark):
+    """A doc_id on unlinked texts keeps each; linked texts with one doc_id, and repeated rows, keep one."""
+    far, near, other = "a b c d e f g h", " ".join(f"w{i}" for i in range(60)), "p q r s t u v w"
+    rows = [(1, "x y z"), (1, "u v"), (1, far), (1, far), (0, other), (1, other), (2, near), (2, near + " w60"), (3, near)]
+    out = jaccard_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()
+    got = sorted((r.doc_id, r.text) for r in out)
+    assert [x for x in got if x[0] != 2] == sorted([(1, "x y z"), (1, "u v"), (1, far), (0, other)])
+    assert len([x for x in got if x[0] == 2]) == 1
+
+
 def test_dedup(docs, spark):
     want = brute.repeats(plain())
     assert got(rlz_dedup.digest(docs.drop("uid")), "doc_id", "n_words", "n_removed", "kept_sha256") == want

@@ -363,6 +363,11 @@ def jaccard_components(documents: DataFrame, k: int = 4, num: int = 85, den: int
     Two documents link when den * overlap >= num * union of their k-word shingle sets;
     component_id is the least doc_id that links reach, itself included.
     """
+    return _grouped(documents, k, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(documents: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, uid (hash of the text), n_shingles, component_id and component_uid: the least (doc_id, uid) that links reach."""
     spark = documents.sparkSession
     prepare(spark)
     documents = documents.select("doc_id", F.xxhash64("text").alias("uid"), "text")
@@ -393,16 +398,20 @@ def jaccard_components(documents: DataFrame, k: int = 4, num: int = 85, den: int
     links = member.groupBy("task").applyInPandas(_block_links(k, num, den), "a long, b long")
     groups = components(links)
     merged = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    tops = merged.groupBy("component").agg(F.min("least").alias("top"))
-    by_node = merged.join(tops, "component").select(F.col("node").alias("of_node"), "top").checkpoint()
+    tops = merged.groupBy("component").agg(F.min(F.struct("least", "uid")).alias("top"))
+    by_node = merged.join(tops, "component").select(F.col("node").alias("of_node"), F.col("top.least").alias("top"), F.col("top.uid").alias("top_uid")).checkpoint()
     out = named.join(by_node, named.node == by_node.of_node, "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("top"))
-    return out.select("doc_id", "n_shingles", F.coalesce(own, "doc_id").alias("component_id"))
+    own = lambda top: F.when(F.col("n_shingles") > 0, F.col(top))
+    return out.select("doc_id", "uid", "n_shingles", F.coalesce(own("top"), "doc_id").alias("component_id"), F.coalesce(own("top_uid"), "uid").alias("component_uid"))
 
 
 def keep_first(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row for each group of linked documents, the one with the least doc_id; rows without doc_id stay."""
-    found = jaccard_components(documents, k, num, den)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("first")).distinct()
-    kept = documents.join(first, documents.doc_id == F.col("first"), "left_semi").dropDuplicates(["doc_id"])
+    """One row for each group of linked documents, the one with the least doc_id (of these, the least hash of the text).
+
+    Rows without doc_id stay. A doc_id on several unlinked texts keeps each of them; only rows that repeat both are one.
+    """
+    found = _grouped(documents, k, num, den).where("doc_id = component_id AND uid = component_uid")
+    first = found.select(F.col("doc_id").alias("first"), F.col("uid").alias("first_uid")).distinct()
+    own = documents.withColumn("_text_uid", F.xxhash64("text"))
+    kept = own.join(first, (own.doc_id == F.col("first")) & (own["_text_uid"] == F.col("first_uid")), "left_semi").dropDuplicates(["doc_id", "_text_uid"])
     return kept.select(*documents.columns).union(documents.where("doc_id IS NULL"))

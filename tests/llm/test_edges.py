@@ -52,12 +52,50 @@ def test_jaccard(docs, k, num, den):
     assert got(jaccard_join.jaccard_components(docs, k, num, den), "doc_id", "n_shingles", "component_id") == brute.jaccard(plain(), k, num, den)
 
 
-def test_jaccard_dense_regions(docs, monkeypatch):
-    """Regions that are dense or too wide to hold, and blocks of a few sets, give the same groups."""
-    want = brute.jaccard(plain(), 4, 85, 100)
-    for name, value in (("BLOCK", 4),):
+@pytest.mark.parametrize(
+    "limits",
+    [
+        {"REGION": 2, "DENSE": 0},  # dense neighbourhoods
+        {"WIDEST": 3},  # neighbourhoods too wide to hold
+        {"CELL_SETS": 6, "PIVOTS": 3},  # groups divided by pivots
+        {"CELL_SHINGLES": 900, "PIVOTS": 2, "ROUNDS": 2},
+        {"CELL_SETS": 4, "ROUNDS": 0},  # pairs of blocks
+        {"MANY": 1},  # every pivot fetches its wider ball
+    ],
+)
+@pytest.mark.parametrize("k,num,den", [(4, 85, 100), (2, 40, 100)])
+def test_jaccard_limits(docs, monkeypatch, limits, k, num, den):
+    """No limit of size changes the groups."""
+    for name, value in limits.items():
         monkeypatch.setattr(jaccard_join, name, value)
-    assert got(jaccard_join.jaccard_components(docs, 4, 85, 100), "doc_id", "n_shingles", "component_id") == want
+    assert got(jaccard_join.jaccard_components(docs, k, num, den), "doc_id", "n_shingles", "component_id") == brute.jaccard(plain(), k, num, den)
+
+
+def test_jaccard_region_against_all_pairs():
+    """Links inside a region, with and without its triangle windows, against all pairs; chains of near copies among strangers."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets, base = [], rng.integers(0, 1 << 60, 200, dtype=np.uint64)
+    for i in range(150):
+        if i % 30 == 0:
+            base = rng.integers(0, 1 << 60, 200, dtype=np.uint64)
+        base = base.copy()
+        base[rng.integers(0, 200, 6)] = rng.integers(0, 1 << 60, 6, dtype=np.uint64)
+        sets.append(np.unique(base))
+    sets += [np.unique(rng.integers(0, 1 << 60, n, dtype=np.uint64)) for n in (1, 2, 3, 500)]
+    top = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = top[i], top[j]
+                top = [min(a, b) if t in (a, b) else t for t in top]
+    a, b = jaccard_join.Region(sets, 85, 100).links()
+    found = list(range(len(sets)))
+    for x, y in zip(a.tolist(), b.tolist()):
+        found[y] = x
+    assert found == top
 
 
 def test_jaccard_runs():

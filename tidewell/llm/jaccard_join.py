@@ -1,21 +1,23 @@
-"""Exact Jaccard join of shingle sets: pivot regions, triangle-inequality windows, recursion.
-
-The distance 1 - J is a metric. Unrelated texts all lie at distance 1 from one another, so pivots that
-are whole documents would make every window hold everything. Regions are therefore seeded by shared rare
-shingles: two sets within the threshold share one of the first shingles of each in any
-common order (of ``probe`` for the larger set, ``index`` for the smaller), so the sets that hold such a
-shingle are a region. Windows by the triangle inequality leave out pairs: the sizes (distance to
-the empty set), the places in the order, and the counts of shingles in ``SLICES`` slices of the
-hash range (distances to the slices) all bound the overlap.
-
-The order puts shingles that very many documents hold last; how many do is estimated over all
-documents in a count sketch of fixed size. Any order gives the same links.
-
-Regions list the pairs inside their windows; dense ones (more than ``REGION`` sets with very many such
-pairs: large groups of near copies) only a spanning forest of them. What these pairs tie together is
-joined recursively on the whole sets. Small groups are joined at once; large ones are divided into cells of like
-size, with the next cell replicated as boundary, and cells into blocks. Each pair of blocks is one bounded join that
-reports a spanning forest of its links.
+"""Exact Jaccard join of shingle sets in the metric 1 - J: pivot regions, triangle-inequality windows, recursion.
+
+Unrelated texts all lie at distance 1 from one another, so whole documents can't serve as the first
+pivots: every window would hold everything. The space is therefore divided in two ways.
+
+Neighbourhoods. Two sets within the threshold share one of the first shingles of each in any common
+order (prefixes). The sets that hold such a shingle are a neighbourhood; windows by size (distance to the empty
+set), by place in the order and by the counts of shingles in ``SLICES`` slices of the hash range (distances to
+the slices) leave out pairs. The order puts shingles that many documents hold last, the more the later; how many
+do is estimated over all documents in a sketch of fixed size. Any order gives the same links. Wide
+neighbourhoods don't list their pairs, they only tie their sets together.
+
+Regions. What is tied together lies close, and there the metric works. A group is a region; one that is too large for a task
+gets pivots from its own members. Each set goes to its nearest pivot (its Voronoi region); a set is
+replicated to a region before its own if d(set, pivot) <= d(set, own pivot) + 2r and <= radius of the
+region + r. Sets farther than 1 - 2r from every pivot are a region of their own, joined again
+with other pivots, so regions are divided recursively. A region that no longer shrinks is
+joined in pairs of blocks, so there is an exact way for every input. Inside a region pivots work once more: a set whose
+window around its pivot holds only sets already in one component needs no comparison. Regions
+report spanning forests of their links.
 
 Equal sets are one node throughout. Null and empty texts have empty sets and are linked with
 nothing, though equal to each other. Rows that repeat a doc_id form one row's worth of links.
@@ -24,11 +26,12 @@ nothing, though equal to each other. Rows that repeat a doc_id form one row's wo
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -36,12 +39,12 @@ from .common import map_batches, partitions_for, prepare, text_bytes
 from .components import components, forest
 
 REGION, WIDEST, DENSE = 128, 1024, 16
-#: A block holds about so many sets and shingles; a task, about a quarter as many shingles unless a pair of blocks has more.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
-#: In a pair of blocks, a shingle is counted pair by pair if it has fewer than this part of all pairs; so many pairs at once.
-FEW, PAIRS = 512, 1 << 22
+#: A region is joined in one task up to so many sets and shingles; a task holds about ``TASK_SHINGLES``.
+CELL_SETS, CELL_SHINGLES, TASK_SHINGLES = 8192, 1 << 21, 1 << 20
+#: Pivots of a region that is divided, rounds of dividing, and how many neighbours make a pivot's wider ball worth its cost.
+PIVOTS, ROUNDS, MANY = 16, 8, 8
 SLICES = 64
-SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
+SKETCH_BITS, SKETCH_CHUNK, BIT_SKETCH = 22, 1 << 14, 23
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
@@ -54,10 +57,11 @@ def shingles(text: bytes, k: int) -> np.ndarray:
 
 def set_keys(sets: list[np.ndarray]) -> np.ndarray:
     """A 63-bit name of each set."""
-    return np.array([int(hashing.mix(np.array([np.add.reduce(hashing.mix(s ^ np.uint64(0x5BD1E995))) + np.uint64(len(s))], dtype=np.uint64))[0] >> np.uint64(1)) for s in sets], dtype=np.int64)
+    sums = [np.add.reduce(hashing.mix(s ^ np.uint64(0x5BD1E995))) + np.uint64(len(s)) for s in sets]
+    return (hashing.mix(np.array(sums, dtype=np.uint64)) >> np.uint64(1)).astype(np.int64)
 
 
-def needed_overlap(a: int, b: int, num: int, den: int) -> int:
+def needed_overlap(a, b, num: int, den: int):
     """Least overlap of sets of these sizes with den * overlap >= num * union."""
     return -(-num * (a + b) // (num + den))
 
@@ -67,57 +71,86 @@ def slice_counts(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=SLICES), 255).astype(np.uint8).tobytes()
 
 
-def _names(k: int):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, k) for t in text_bytes(batch.column(2))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(set_keys(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([slice_counts(s) for s in sets], pa.binary())], ["doc_id", "uid", "node", "n_shingles", "slices"])
-
-    return run
+NAMED = "doc_id long, uid long, node long, n_shingles long, slices binary"
 
 
-def _sketch(add, size: int):
-    """One sketch of ``size`` counts for each task, in chunks; ``add`` counts a batch into it."""
+def _scan(k: int):
+    """The set name, size and slices of each row; at the end of a task, chunks of its sketch of shingle counts."""
 
     def run(batches):
-        total = np.zeros(size, dtype=np.int64)
+        held = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
         for batch in batches:
-            add(total, batch)
-        for at in range(0, size, SKETCH_CHUNK):
-            part = total[at : at + SKETCH_CHUNK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at // SKETCH_CHUNK], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary())], ["chunk", "counts"])
+            if not batch.num_rows:
+                continue
+            sets = [shingles(t, k) for t in text_bytes(batch.column(2))]
+            flat = np.concatenate(sets)
+            bucket, count = np.unique(_bucket(flat, SKETCH_BITS), return_counts=True)
+            held[bucket] = np.minimum(held[bucket] + count, 255)
+            sizes, none = pa.array([len(s) for s in sets], pa.int64()), len(sets)
+            slices = pa.array([slice_counts(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(set_keys(sets)), sizes, slices, pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())],
+                ["doc_id", "uid", "node", "n_shingles", "slices", "chunk", "counts"],
+            )
+        parts = [(at // SKETCH_CHUNK, held[at : at + SKETCH_CHUNK]) for at in range(0, len(held), SKETCH_CHUNK)]
+        parts = [(n, zlib.compress(p.tobytes(), 1)) for n, p in parts if p.any()]
+        if parts:
+            none = [pa.nulls(len(parts), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays(
+                [*none, pa.array([n for n, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())],
+                ["doc_id", "uid", "node", "n_shingles", "slices", "chunk", "counts"],
+            )
 
     return run
 
 
-def _add_sketches(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, dtype="<u4").astype(np.int64) for x in rows["counts"])
-    return pd.DataFrame({"chunk": [key[0]], "counts": [total.astype("<i8").tobytes()]})
+def _add_chunks(least: float):
+    """Sums of equal chunks that follow each other, as levels: 0 up to ``least``, then one more for each half power of two."""
+
+    def levels(chunk: int, total: np.ndarray) -> pa.RecordBatch:
+        level = np.where(total > least, np.minimum(1 + np.floor(2 * np.log2(np.maximum(total, 1) / least)), 255), 0)
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(level.astype(np.uint8).tobytes(), 1)], pa.binary())], ["chunk", "counts"])
+
+    def run(batches):
+        chunk, total = None, np.zeros(SKETCH_CHUNK, dtype=np.int64)
+        for batch in batches:
+            for at, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if at != chunk:
+                    if chunk is not None:
+                        yield levels(chunk, total)
+                    chunk, total = at, np.zeros(SKETCH_CHUNK, dtype=np.int64)
+                total += np.frombuffer(zlib.decompress(part), dtype=np.uint8)
+        if chunk is not None:
+            yield levels(chunk, total)
 
+    return run
 
-def sketch_of(rows: DataFrame, add, bits: int) -> np.ndarray:
-    """The summed sketch of all rows: 2**bits counts, whatever the number of rows."""
-    parts = rows.mapInArrow(_sketch(add, 1 << bits), "chunk int, counts binary")
-    counts = np.zeros(1 << bits, dtype=np.int64)
-    for row in parts.groupBy("chunk").applyInPandas(_add_sketches, "chunk int, counts binary").collect():
-        counts[row["chunk"] * SKETCH_CHUNK : (row["chunk"] + 1) * SKETCH_CHUNK] = np.frombuffer(bytes(row["counts"]), dtype="<i8")
-    return counts
 
+def frequency_levels(scanned: DataFrame) -> np.ndarray:
+    """How common the shingles of each sketch bucket are: 0 unless far above the mean (6 deviations).
 
-def frequent_buckets(documents: DataFrame, k: int) -> np.ndarray:
-    """Which sketch buckets hold shingles of very many documents: far above the mean (6 deviations)."""
+    The sketch has a fixed size, whatever the number of documents: only the levels, one byte a bucket, reach the driver.
+    """
+    mean = (scanned.agg(F.sum("n_shingles")).first()[0] or 0) / (1 << SKETCH_BITS)
+    parts = scanned.where("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").sortWithinPartitions("chunk")
+    out = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
+    for row in parts.mapInArrow(_add_chunks(mean + 6 * math.sqrt(mean + 1) + 8), "chunk int, counts binary").collect():
+        out[row["chunk"] * SKETCH_CHUNK : (row["chunk"] + 1) * SKETCH_CHUNK] = np.frombuffer(zlib.decompress(bytes(row["counts"])), dtype=np.uint8)
+    return out
 
-    def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
-        for text in text_bytes(batch.column(0)):
-            np.add.at(total, (shingles(text, k) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
 
-    counts = sketch_of(documents.select("text"), add, SKETCH_BITS)
-    middle = np.median(counts)
-    return counts > middle + 6 * math.sqrt(middle + 1) + 8
+def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _bucket(keys: pa.Array) -> np.ndarray:
-    return (keys.to_numpy().view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _bits(batches):
+    """Which buckets of a bit sketch the keys of a task fall in, in chunks."""
+    held = np.zeros(1 << BIT_SKETCH, dtype=bool)
+    for batch in batches:
+        held[_bucket(batch.column(0).to_numpy().view(np.uint64), BIT_SKETCH)] = True
+    for at in range(0, len(held), SKETCH_CHUNK * 8):
+        if (part := held[at : at + SKETCH_CHUNK * 8]).any():
+            yield pa.RecordBatch.from_arrays([pa.array([at // (SKETCH_CHUNK * 8)], pa.int32()), pa.array([np.packbits(part).tobytes()], pa.binary())], ["chunk", "bits"])
 
 
 def maybe_among(rows: DataFrame, chosen: DataFrame, key) -> DataFrame:
@@ -126,31 +159,44 @@ def maybe_among(rows: DataFrame, chosen: DataFrame, key) -> DataFrame:
     A bit sketch of fixed size is broadcast; a row that it lets through in error falls in the join that follows.
     """
 
-    def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
-        total[_bucket(batch.column(0))] = 1
-
-    there = rows.sparkSession.sparkContext.broadcast(np.packbits(sketch_of(chosen.select(key), add, SKETCH_BITS) > 0))
+    def unite(batches):
+        chunk, total = None, None
+        for batch in batches:
+            for at, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                new = np.frombuffer(part, dtype=np.uint8)
+                if at == chunk:
+                    total = total | new
+                    continue
+                if chunk is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "bits"])
+                chunk, total = at, new
+        if chunk is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "bits"])
+
+    parts = chosen.select(key).mapInArrow(_bits, "chunk int, bits binary").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(unite, "chunk int, bits binary")
+    packed = np.zeros((1 << BIT_SKETCH) // 8, dtype=np.uint8)
+    for row in parts.collect():
+        packed[row["chunk"] * SKETCH_CHUNK : (row["chunk"] + 1) * SKETCH_CHUNK] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
+    there = rows.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches):
-        bits = np.unpackbits(there.value).astype(bool)
         for batch in batches:
-            yield batch.select(batch.schema.names[1:]).filter(pa.array(bits[_bucket(batch.column(0))]))
+            at = _bucket(batch.column(0).to_numpy().view(np.uint64), BIT_SKETCH)
+            yield batch.select(batch.schema.names[1:]).filter(pa.array((there.value[at >> 3] >> (7 - (at & 7))) & 1 == 1))
 
     return rows.select(key.alias("sketch_key"), *rows.columns).mapInArrow(run, rows.schema)
 
 
-def ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The set in the common order: frequent shingles last."""
-    late = frequent[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    return np.concatenate([s[~late], s[late]])
+def ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The set in the common order: by level, then by hash."""
+    return s[np.argsort(levels[_bucket(s, SKETCH_BITS)], kind="stable")]
 
 
-def _posts(k: int, num: int, den: int, frequent):
+def _posts(k: int, num: int, den: int, levels):
     """The first shingles of each set; a set that a task has sent already is not sent again."""
 
     def run(batches):
         seen: set[int] = set()
-        often = np.unpackbits(frequent.value).astype(bool)
         for batch in batches:
             tokens, nodes, sizes, places = [], [], [], []
             sets = [shingles(t, k) for t in text_bytes(batch.column(0))]
@@ -158,10 +204,10 @@ def _posts(k: int, num: int, den: int, frequent):
                 n = len(s)
                 if not n or node in seen:
                     continue
-                if len(seen) < 500_000:
+                if len(seen) < 200_000:
                     seen.add(node)
                 probe = n - (-(-num * n // den)) + 1
-                tokens.append(ordered(s, often)[:probe].view(np.int64))
+                tokens.append(ordered(s, levels.value)[:probe].view(np.int64))
                 nodes.append(np.full(probe, node))
                 sizes.append(np.full(probe, n, dtype=np.int32))
                 places.append(np.arange(probe, dtype=np.int32))
@@ -266,95 +312,222 @@ def _windows(num: int, den: int):
 
     return run
 
+class Region:
+    """Sets joined in one task: an index of their first shingles, rarest first, and overlaps with a pivot."""
+
+    def __init__(self, sets: list[np.ndarray], num: int, den: int):
+        self.num, self.den = num, den
+        self.n = np.array([len(s) for s in sets], dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.n)])
+        flat = np.concatenate(sets)
+        _, ids, held = np.unique(flat, return_inverse=True, return_counts=True)
+        rows = np.repeat(np.arange(len(sets)), self.n)
+        self.ids = ids[np.lexsort((ids, held[ids], rows))]
+        self.marked = np.zeros(len(held), dtype=bool)
+        # the index goes as far as the wider of both balls needs
+        at = np.arange(len(flat)) - np.repeat(self.starts[:-1], self.n)
+        first = at < np.repeat(self.prefix(2), self.n)
+        token, order = self.ids[first], np.argsort(self.ids[first], kind="stable")
+        self.holders, self.places = rows[first][order], at[first][order]
+        self.begin = np.searchsorted(token[order], np.arange(len(held) + 1))
+
+    def bound(self, reach: int) -> tuple[int, int]:
+        """The similarity of sets ``reach`` times the threshold's distance apart, as a fraction (0 at least)."""
+        return max(self.den - reach * (self.den - self.num), 0), self.den
+
+    def prefix(self, reach: int) -> np.ndarray:
+        num, den = self.bound(reach)
+        return np.minimum(self.n - (-(-num * self.n // den)) + 1, self.n)
+
+    def near(self, p: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """All sets other than p within ``reach`` times the threshold's distance, and their overlaps with p."""
+        num, den = self.bound(reach)
+        own = self.ids[self.starts[p] : self.starts[p] + min(self.n[p], self.n[p] - (-(-num * self.n[p] // den)) + 1)]
+        low, size = self.begin[own], self.begin[own + 1] - self.begin[own]
+        which = np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        rows = self.holders[which]
+        rows = rows[self.places[which] < (self.n[rows] - (-(-num * self.n[rows] // den)) + 1)]
+        rows = np.unique(rows)
+        rows = rows[(rows != p) & (den * np.minimum(self.n[rows], self.n[p]) >= num * np.maximum(self.n[rows], self.n[p]))]
+        both = self.overlaps(p, rows)
+        close = den * both >= num * (self.n[rows] + self.n[p] - both)
+        return rows[close], both[close]
+
+    def overlaps(self, p: int, rows: np.ndarray) -> np.ndarray:
+        """How many shingles each of ``rows`` shares with p."""
+        if not len(rows):
+            return np.empty(0, dtype=np.int64)
+        own = self.ids[self.starts[p] : self.starts[p + 1]]
+        self.marked[own] = True
+        out = np.empty(len(rows), dtype=np.int64)
+        for low in range(0, len(rows), 512):
+            some = rows[low : low + 512]
+            size = self.n[some]
+            ends = np.cumsum(size)
+            flat = self.marked[self.ids[np.repeat(self.starts[some] - (ends - size), size) + np.arange(ends[-1])]]
+            out[low : low + 512] = np.add.reduceat(flat, ends - size, dtype=np.int64)
+        self.marked[own] = False
+        return out
+
+    def linked(self, p: int, rows: np.ndarray, both: np.ndarray) -> np.ndarray:
+        return self.den * both >= self.num * (self.n[rows] + self.n[p] - both)
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """A spanning forest of the links.
+
+        Every set is a pivot p in turn. Where p has many neighbours, all sets within twice the
+        radius are fetched, and any neighbour x is settled at once: its links lie among the sets y with
+        |d(y, p) - d(x, p)| <= r, of which only those not yet in p's component are compared.
+        """
+        root = list(range(len(self.n)))
+        radius = 1 - self.num / self.den + 1e-9
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        def unite(x: int, others: np.ndarray) -> None:
+            for y in others.tolist():
+                a, b = find(x), find(y)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+
+        settled = np.zeros(len(self.n), dtype=bool)
+        for p in range(len(self.n)):
+            if settled[p]:
+                continue
+            settled[p] = True
+            ball, _ = self.near(p, 1)
+            unite(p, ball)
+            if len(ball) < MANY or not self.bound(2)[0] or settled[ball].all():
+                continue
+            wide, both = self.near(p, 2)
+            distance = 1 - both / (self.n[wide] + self.n[p] - both)
+            inside = np.isin(wide, ball)
+            for x in np.flatnonzero(inside & ~settled[wide]).tolist():
+                top = find(p)
+                outside = np.flatnonzero(~inside & (np.abs(distance - distance[x]) <= radius))
+                some = wide[outside]
+                some = some[[find(y) != top for y in some.tolist()]]
+                if len(some):
+                    unite(int(wide[x]), some[self.linked(wide[x], some, self.overlaps(wide[x], some))])
+                settled[wide[x]] = True
+        tops = np.array([find(x) for x in range(len(self.n))], dtype=np.int64)
+        own = np.flatnonzero(tops != np.arange(len(self.n)))
+        return tops[own], own
+
+
+def _unpack(column: pd.Series) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=np.uint64) for x in column]
 
-def _few_overlaps(sides, lists, few: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
-    """What the shingles marked few, whose lists of holders are short, add to each overlap."""
-    total = np.zeros(shape[0] * shape[1], dtype=np.int64)
-    (rows, at), (others, _) = sides
-    begin = np.cumsum(lists[1]) - lists[1]
-    rows, at = rows[few[at]], at[few[at]]
-    counts = lists[1][at]
-    ends = np.cumsum(counts)
-    low = 0
-    while low < len(at):
-        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PAIRS, side="right")))
-        n = counts[low:high]
-        mine = np.repeat(rows[low:high], n)
-        place = np.repeat(begin[at[low:high]], n) + np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n)
-        total += np.bincount(mine * shape[1] + others[place], minlength=len(total))
-        low = high
-    return total.reshape(shape)
-
-
-def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Overlap of every left with every right set, over the shingles that both sides hold."""
-    sides = []
-    common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
-    for sets in (left, right):
-        flat, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        at = np.minimum(np.searchsorted(common, flat), max(len(common) - 1, 0))
-        here = common[at] == flat if len(common) else np.zeros(len(flat), bool)
-        order = np.argsort(at[here], kind="stable")
-        sides.append((rows[here][order], at[here][order]))
-    lists = [np.bincount(at, minlength=len(common)) for _, at in sides]
-    few = lists[0] * lists[1] <= len(left) * len(right) // FEW
-    total = _few_overlaps(sides, lists, few, (len(left), len(right)))
-    many = np.cumsum(~few) - 1
-    sides = [(rows[~few[at]], many[at[~few[at]]]) for rows, at in sides]
-    for low in range(0, int((~few).sum()), 4096):
-        parts = []
-        for (rows, at), sets in zip(sides, (left, right), strict=True):
-            a, b = np.searchsorted(at, [low, low + 4096])
-            m = np.zeros((len(sets), 4096), dtype=np.float32)
-            m[rows[a:b], at[a:b] - low] = 1
-            parts.append(m)
-        total += (parts[0] @ parts[1].T).astype(np.int64)
-    return total
-
-
-def _block_links(k: int, num: int, den: int):
-    """Links inside the pairs of blocks that a task holds."""
-
-    def join(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        own = rows["own"].to_numpy()
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        sides = [np.flatnonzero(own == x) for x in ((i,) if i == j else (i, j))]
-        if any(len(s) == 0 for s in sides):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        texts, nodes = rows["text"].tolist(), rows["node"].to_numpy(np.int64)
-        sets = [[shingles(texts[r].encode(), k) for r in s] for s in sides]
-        both = overlaps(sets[0], sets[-1])
-        sizes = [np.array([len(x) for x in s]) for s in sets]
-        x, y = np.nonzero(den * both >= num * (sizes[0][:, None] + sizes[-1][None, :] - both))
-        a, b = nodes[sides[0]][x], nodes[sides[-1]][y]
-        return forest(a[a != b], b[a != b])
+
+def _region_links(num: int, den: int):
+    """Links inside the regions that a task holds."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = [join(part) for _, part in rows.groupby(["region", "cell", "i", "j"], sort=False)]
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pd.DataFrame({"a": a, "b": b})
+        rows = rows.drop_duplicates("node").sort_values("node", ignore_index=True)
+        nodes = rows["node"].to_numpy(np.int64)
+        a, b = Region(_unpack(rows["tokens"]), num, den).links()
+        return pd.DataFrame({"a": nodes[a], "b": nodes[b]})
+
+    return run
+
+
+def _distances(num: int, den: int):
+    """Distance of each set to each pivot of its region, and the region that it goes to: the nearest, or -1 if all are far."""
+    far = 1 - 2 * (1 - num / den)
+
+    def run(members: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        pivots = pivots.sort_values("pivot", ignore_index=True)
+        centres, sets = _unpack(pivots["pivot_tokens"]), _unpack(members["tokens"])
+        out = np.ones((len(sets), len(centres)))
+        for i, s in enumerate(sets):
+            for j, c in enumerate(centres):
+                both = np.intersect1d(s, c, assume_unique=True).size
+                out[i, j] = 1 - both / (len(s) + len(c) - both)
+        home = np.where(out.min(1) > far, -1, out.argmin(1)) if len(centres) and len(sets) else np.full(len(sets), -1)
+        members = members.reset_index(drop=True)
+        return pd.DataFrame({"cell": members["cell"], "node": members["node"], "home": home, "distances": pd.Series(list(out), dtype=object)})
 
     return run
 
 
-def _cells(homes: DataFrame) -> DataFrame:
-    """region, home, cells (cell, blocks) and shipped shingles, of ``homes(region, home, held, words)``.
+def _divided(cells: DataFrame, sizes: DataFrame, sets: DataFrame, round_no: int, num: int, den: int) -> DataFrame:
+    """(cell, node, held): the members of the regions into which ``cells(cell, node)`` divide, held being the size before.
 
-    A region that fits in a block is one cell. In a larger one a cell holds the sets of one size class and,
-    as its boundary, those of the next; classes without sets of their own have no cell.
+    Pivots are members with small hashes, about ``PIVOTS`` a region. Sets meet them in salted parts of a region.
     """
-    by_size, all_sizes = Window.partitionBy("region").orderBy("home"), Window.partitionBy("region")
-    beside = lambda f, step, what: F.coalesce(F.when(f("home").over(by_size) == F.col("home") + step, f(what).over(by_size)), F.lit(0))
-    near = [beside(f, step, what).alias(f"{what}_{name}") for f, step, name in ((F.lead, 1, "above"), (F.lag, -1, "below")) for what in ("held", "words")]
-    homes = homes.select("*", *near, *(F.sum(what).over(all_sizes).alias(f"{what}_all") for what in ("held", "words")))
-    blocks = lambda held, words: F.greatest(F.ceil(held / BLOCK), F.ceil(words / BLOCK_SHINGLES)).cast("int")
-    one = lambda cell, count: F.struct(cell.cast("long").alias("cell"), count.alias("blocks"))
-    held, words = F.col("held"), F.col("words")
-    own = F.when(held + F.col("held_above") > 1, one(F.col("home"), blocks(held + F.col("held_above"), words + F.col("words_above"))))
-    lower = F.when(F.col("held_below") > 0, one(F.col("home") - 1, blocks(held + F.col("held_below"), words + F.col("words_below"))))
-    whole = blocks(F.col("held_all"), F.col("words_all")) == 1
-    homes = homes.withColumn("cells", F.when(whole, F.array(one(F.lit(-1), F.lit(1)))).otherwise(F.array_compact(F.array(own, lower))))
-    return homes.select("region", "home", "cells", (words * F.aggregate("cells", F.lit(0).cast("long"), lambda total, x: total + x["blocks"])).alias("shipped"))
+    radius = 1 - num / den + 1e-9
+    members = cells.join(sizes, "cell").join(sets, "node")
+    lot = F.pmod(F.xxhash64("node", F.lit(round_no)), F.lit(1 << 30)) * F.col("held") < F.lit(PIVOTS * (1 << 30))
+    pivots = members.where(lot).select("cell", "held", F.col("node").alias("pivot"), F.col("tokens").alias("pivot_tokens"))
+    salts = F.ceil(F.greatest(F.col("held") / (CELL_SETS // 8 or 1), F.col("words") / (CELL_SHINGLES // 8 or 1))).cast("int")
+    parts = members.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(-1)), salts).cast("int"))
+    spread = pivots.join(sizes.select("cell", "words"), "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    spread = spread.select(F.col("cell").alias("pivot_cell"), F.col("salt").alias("pivot_salt"), "pivot", "pivot_tokens")
+    keyed = parts.select("cell", "salt", "node", "tokens").groupBy("cell", "salt").cogroup(spread.groupBy("pivot_cell", "pivot_salt"))
+    found = keyed.applyInPandas(_distances(num, den), "cell long, node long, home int, distances array<double>").checkpoint()
+    reach = found.where("home >= 0").groupBy("cell", "home").agg(F.max(F.get("distances", F.col("home"))).alias("radius"))
+    reach = reach.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("home", "radius"))).alias("radii"))
+    placed = found.join(reach, "cell", "left").join(sizes.select("cell", "held"), "cell")
+    own = F.when(F.col("home") >= 0, F.get("distances", F.col("home"))).otherwise(F.lit(1.0))
+    last = F.when(F.col("home") >= 0, F.col("home")).otherwise(F.size("distances"))
+
+    def window(i):
+        d = F.get("distances", i)
+        return (i < last) & (d <= own + F.lit(2 * radius)) & (d <= F.coalesce(F.element_at("radii", i), F.lit(-1.0)) + F.lit(radius))
+
+    places = F.when(F.size("distances") > 0, F.filter(F.sequence(F.lit(0), F.size("distances") - 1), window)).otherwise(F.array().cast("array<int>"))
+    spots = placed.select("cell", "node", "held", F.explode(F.array_union(F.array("home"), places)).alias("spot"))
+    return spots.select(F.xxhash64("cell", "spot", F.lit(round_no)).alias("cell"), "node", "held")
+
+
+def _joined(cells: DataFrame, sets: DataFrame, tasks: int, num: int, den: int) -> DataFrame:
+    return cells.withColumn("task", F.pmod(F.xxhash64("cell"), F.lit(tasks))).join(sets, "node").groupBy("task").applyInPandas(_region_links(num, den), "a long, b long")
+
+
+def region_links(cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) inside the groups ``cells(cell, node)`` of ``sets(node, n, tokens)``, as spanning forests."""
+    cells = cells.withColumn("held", F.lit(None).cast("long"))
+    out = None
+    for round_no in range(ROUNDS + 1):
+        counted = cells.join(sets.select("node", "n"), "node").groupBy("cell").agg(F.count("*").alias("now"), F.sum("n").alias("words"), F.max("held").alias("before")).where("now > 1").checkpoint()
+        fits = (F.col("now") <= CELL_SETS) & (F.col("words") <= CELL_SHINGLES)
+        stuck = F.lit(round_no == ROUNDS) | (F.col("now") > 0.9 * F.coalesce("before", F.lit(1 << 60)))
+        total, large, over = counted.agg(F.sum(F.when(fits, F.col("words"))), F.count(F.when(~fits, 1)), F.count(F.when(~fits & stuck, 1))).first()
+        parts = []
+        if total:
+            parts.append(_joined(cells.join(counted.where(fits).select("cell"), "cell").select("cell", "node"), sets, partitions_for(total, TASK_SHINGLES), num, den))
+        if over:
+            parts.append(_in_blocks(cells, counted.where(~fits & stuck), sets, num, den))
+        for links in parts:
+            links = links.checkpoint()
+            out = links if out is None else out.union(links)
+        if large == over:
+            break
+        left = counted.where(~fits & ~stuck).select("cell", F.col("now").alias("held"), "words")
+        cells = _divided(cells.select("cell", "node"), left, sets, round_no, num, den).checkpoint()
+    return out if out is not None else cells.sparkSession.createDataFrame([], "a long, b long")
+
+
+def _in_blocks(cells: DataFrame, counted: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The join of regions that no longer shrink: every pair of blocks of half a region's size is one."""
+    blocks = F.ceil(2 * F.greatest(F.col("now") / CELL_SETS, F.col("words") / CELL_SHINGLES)).cast("int")
+    member = cells.select("cell", "node").join(counted.select("cell", blocks.alias("blocks")), "cell")
+    member = member.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = member.select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node")
+    total = counted.agg(F.sum(F.col("words") * blocks)).first()[0]
+    return _joined(pairs, sets, partitions_for(total, TASK_SHINGLES), num, den)
+
+
+def _token_sets(k: int):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(t, k) for t in text_bytes(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "tokens"])
+
+    return run
 
 
 def jaccard_components(documents: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -366,37 +539,33 @@ def jaccard_components(documents: DataFrame, k: int = 4, num: int = 85, den: int
     return _grouped(documents, k, num, den).select("doc_id", "n_shingles", "component_id")
 
 
+def _ties(documents: DataFrame, scanned: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(node, component) of the sets that neighbourhoods tie together."""
+    levels = documents.sparkSession.sparkContext.broadcast(frequency_levels(scanned))
+    posts = documents.select("text").mapInArrow(_posts(k, num, den, levels), "token long, node long, n int, at int")
+    found = posts.repartition("token").sortWithinPartitions("token").mapInArrow(_regions(num, den), "a long, b long, large boolean").distinct().checkpoint()
+    pairs = found.where("not large").select("a", "b")
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("slices").alias(f"s_{side}")), side)
+    pairs = map_batches(pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b"), _windows(num, den), "a long, b long")
+    return components(pairs.union(found.where("large").select("a", "b")))
+
+
 def _grouped(documents: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """doc_id, uid (hash of the text), n_shingles, component_id and component_uid: the least (doc_id, uid) that links reach."""
-    spark = documents.sparkSession
-    prepare(spark)
+    prepare(documents.sparkSession)
     documents = documents.select("doc_id", F.xxhash64("text").alias("uid"), "text")
-    named = map_batches(documents, _names(k), "doc_id long, uid long, node long, n_shingles long, slices binary").checkpoint()
+    scanned = documents.mapInArrow(_scan(k), f"{NAMED}, chunk int, counts binary").checkpoint()
+    named = scanned.where("chunk IS NULL").drop("chunk", "counts")
     # a node's least document, whose text stands for it
     nodes = named.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "uid", "n_shingles", "slices")).alias("least"))
     nodes = nodes.select("node", F.col("least.doc_id").alias("least"), F.col("least.uid").alias("uid"), F.col("least.n_shingles").alias("n"), F.col("least.slices").alias("slices")).checkpoint()
-    frequent = spark.sparkContext.broadcast(np.packbits(frequent_buckets(documents, k)))
-    posts = documents.select("text").mapInArrow(_posts(k, num, den, frequent), "token long, node long, n int, at int")
-    found = posts.repartition("token").sortWithinPartitions("token").mapInArrow(_regions(num, den), "a long, b long, large boolean").distinct().checkpoint()
-    pairs = found.where("not large").select("a", "b")
-    for side in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("slices").alias(f"s_{side}")), side)
-    pairs = map_batches(pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b"), _windows(num, den), "a long, b long")
-    tied = components(pairs.union(found.where("large").select("a", "b")))
-    cell = F.floor(F.log(F.col("n")) / math.log(den / num) + 1e-9) if num < den else F.col("n")
-    placed = tied.join(nodes, "node").select("node", F.col("component").alias("region"), cell.alias("home"), "n", F.col("least").alias("doc"), F.col("uid").alias("of")).checkpoint()
-    plan = _cells(placed.groupBy("region", "home").agg(F.count("*").alias("held"), F.sum("n").alias("words"))).checkpoint()
-    tasks = partitions_for(plan.agg(F.sum("shipped")).first()[0] or 0, BLOCK_SHINGLES // 4)
-    # the text of each node's least document, shuffled once to its node and once to every pair of blocks that joins it
-    placed = placed.drop("n").join(plan.drop("shipped"), ["region", "home"])
+    placed = _ties(documents, scanned, nodes, k, num, den).join(nodes, "node").select("node", F.col("component").alias("cell"), F.col("least").alias("doc"), F.col("uid").alias("of")).checkpoint()
+    # the set of each node's least document, made once more from its text and stored once
     wanted = maybe_among(documents, placed.select(F.col("doc").alias("doc_id"), F.col("of").alias("uid")), F.xxhash64("doc_id", "uid"))
-    texts = wanted.join(placed, (wanted.doc_id == F.col("doc")) & (wanted.uid == F.col("of"))).dropDuplicates(["doc_id", "uid"])
-    member = texts.select("region", "node", "text", F.inline("cells")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("region", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "text")
-    member = member.withColumn("task", F.pmod(F.xxhash64("region", "cell", "i", "j"), F.lit(tasks)))
-    links = member.groupBy("task").applyInPandas(_block_links(k, num, den), "a long, b long")
-    groups = components(links)
+    texts = wanted.join(placed, (wanted.doc_id == F.col("doc")) & (wanted.uid == F.col("of"))).dropDuplicates(["doc_id", "uid"]).select("node", "text")
+    sets = map_batches(texts, _token_sets(k), "node long, n long, tokens binary").checkpoint()
+    groups = components(region_links(placed.select("cell", "node"), sets, num, den))
     merged = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     tops = merged.groupBy("component").agg(F.min(F.struct("least", "uid")).alias("top"))
     by_node = merged.join(tops, "component").select(F.col("node").alias("of_node"), F.col("top.least").alias("top"), F.col("top.uid").alias("top_uid")).checkpoint()
@@ -411,7 +580,7 @@ def keep_first(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     Rows without doc_id stay. A doc_id on several unlinked texts keeps each of them; only rows that repeat both are one.
     """
     found = _grouped(documents, k, num, den).where("doc_id = component_id AND uid = component_uid")
-    first = found.select(F.col("doc_id").alias("first"), F.col("uid").alias("first_uid")).distinct()
+    first = found.select(F.col("doc_id").alias("_first_doc"), F.col("uid").alias("_first_uid")).distinct()
     own = documents.withColumn("_text_uid", F.xxhash64("text"))
-    kept = own.join(first, (own.doc_id == F.col("first")) & (own["_text_uid"] == F.col("first_uid")), "left_semi").dropDuplicates(["doc_id", "_text_uid"])
+    kept = own.join(first, (own["doc_id"] == F.col("_first_doc")) & (own["_text_uid"] == F.col("_first_uid")), "left_semi").dropDuplicates(["doc_id", "_text_uid"])
     return kept.select(*documents.columns).union(documents.where("doc_id IS NULL"))

@@ -1,10 +1,10 @@
-"""Token ids of whole texts, with the tokenizer run once for each distinct word.
+"""Token ids of whole texts, with the tokenizer run once for each distinct unit.
 
-The tokenizer drops white space and never merges over it, so a text's ids are those of its
-parts between ASCII blanks. It lower-cases, and splits letters from punctuation (apostrophes and angle
-brackets, which start longer units, aside), so a plain word shares its ids in any case and with any ending.
-Parts are cached as packed ids; new plain words of a batch are encoded together and cut apart at
-the tokens that end a word. A text then costs one join of bytes.
+The tokenizer lower-cases, cuts a text into units (letters, single digits, runs of other characters) and never
+merges over a unit's edge, so a text's ids are those of its units. Texts of Latin-1 characters only are cut here, by the
+same rule; other texts, and those that may hold a special token or an odd blank, are cut at ASCII blanks, and
+each part is encoded by the tokenizer. Ids are cached as packed bytes; new units of a batch are encoded
+together and cut apart at the tokens that end a unit. A text then costs one join of bytes.
 """
 
 from __future__ import annotations
@@ -13,15 +13,19 @@ import re
 
 import numpy as np
 
+#: Blanks, ASCII without control characters, and the printable part of Latin-1.
+_LATIN = bytes([9, 10, 11, 12, 13, *range(32, 127), *range(0xA1, 256)])
+#: The units of lower-case Latin-1 text: contractions, letters, one digit, or a run of anything else.
+_UNITS = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-z\xAA\xB5\xBA\xDF-\xF6\xF8-\xFF]+|[0-9\xB2\xB3\xB9\xBC-\xBE]|[^\t-\r a-z0-9\xAA\xB5\xBA\xDF-\xF6\xF8-\xFF\xB2\xB3\xB9\xBC-\xBE]+")
 _PARTS = re.compile(r"[^ \t\n\r]+")
-_PLAIN = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([!-&(-/:;=?@\[-`{-~]*)")
-_CACHE_PARTS = 600_000
+_CACHE_UNITS = 400_000
 _AT_ONCE = 20_000
+_LONGEST = 64
 _WORD_END = "</w>"
 
 
 class TokenCache(dict):
-    """part -> its ids as little-endian unsigned 32-bit integers."""
+    """unit -> its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -32,16 +36,16 @@ class TokenCache(dict):
         self.ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
         self.ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith(_WORD_END)]] = True
 
-    def __missing__(self, part: str) -> bytes:
-        packed = np.array(self.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(part) <= 64:
-            self[part] = packed
+    def __missing__(self, unit: str) -> bytes:
+        packed = np.array(self.encode(unit, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(unit) <= _LONGEST:
+            self[unit] = packed
         return packed
 
-    def learn(self, words: list[str]) -> None:
-        """Encode plain words as one text; they part at the tokens that end a word."""
-        for low in range(0, len(words), _AT_ONCE):
-            some = words[low : low + _AT_ONCE]
+    def learn(self, units: list[str]) -> None:
+        """Encode units as one text; they part at the tokens that end a unit."""
+        for low in range(0, len(units), _AT_ONCE):
+            some = units[low : low + _AT_ONCE]
             ids = np.array(self.encode_many([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
             if len(stops) == len(some):
@@ -50,19 +54,27 @@ class TokenCache(dict):
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null has none."""
-        parts = [_PARTS.findall(t) if t else [] for t in texts]
-        new = [p for p in set().union(*parts) if p not in self]
-        if len(self) + len(new) > _CACHE_PARTS:
+        parts, latin = [], []
+        for text in texts:
+            plain = bool(text) and _is_plain(text)
+            parts.append(_UNITS.findall(text.lower()) if plain else _PARTS.findall(text) if text else [])
+            if plain:
+                latin.append(parts[-1])
+        units = set().union(*latin)
+        if len(self) + len(units) > 2 * _CACHE_UNITS or len(self) > _CACHE_UNITS:
             self.clear()
-            new = list(set().union(*parts))
-        plain = [(p, m[1].lower(), m[2]) for p, m in zip(new, map(_PLAIN.fullmatch, new), strict=True) if m and len(p) <= 64]
-        self.learn([w for w in {w for _, w, _ in plain} if w not in self])
+        self.learn([u for u in units if u not in self and len(u) <= _LONGEST])
         get = self.__getitem__
-        for part, word, ending in plain:
-            self[part] = get(word) + get(ending) if ending else get(word)
         return [b"".join(map(get, p)) for p in parts]
 
 
+def _is_plain(text: str) -> bool:
+    try:
+        return "<|" not in text and not text.encode("latin-1").translate(None, _LATIN)
+    except UnicodeEncodeError:
+        return False
+
+
 _CACHES: dict[str, TokenCache] = {}
 
 

@@ -102,8 +102,8 @@ def test_jaccard_runs():
     import numpy as np
     import pyarrow as pa
 
-    rows = [(t, n, s, 0) for t in range(3) for n, s in [(1, 100), (2, 100), (3, 101), (4, 300)][: t + 2]]
-    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part)], ["token", "node", "n", "at"])
+    rows = [(t, n, s) for t in range(3) for n, s in [(1, 100), (2, 100), (3, 101), (4, 300)][: t + 2]]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part)], ["token", "node", "n"])
     whole = {(a, b) for x in jaccard_join._regions(85, 100)([batch(rows)]) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())}
     split = {(a, b) for x in jaccard_join._regions(85, 100)([batch([r]) for r in rows]) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())}
     assert whole == split == {(1, 2), (1, 3), (2, 3)}

@@ -3,10 +3,10 @@
 Unrelated texts all lie at distance 1 from one another, so whole documents can't serve as the first
 pivots: every window would hold everything. The space is therefore divided in two ways.
 
-Neighbourhoods. Two sets within the threshold share one of the first shingles of each in any common
-order (prefixes). The sets that hold such a shingle are a neighbourhood; windows by size (distance to the empty
-set), by place in the order and by the counts of shingles in ``SLICES`` slices of the hash range (distances to
-the slices) leave out pairs. The order puts shingles that many documents hold last, the more the later; how many
+Neighbourhoods. Two sets within the threshold share some of the first shingles of each in any common
+order (prefixes), and the more the longer the prefixes are. The sets that hold such a shingle are a neighbourhood; windows by
+size (distance to the empty set) and by the counts of shingles in ``SLICES`` slices of the hash range (distances to
+the slices), and the number of neighbourhoods in which a pair meets leave out pairs. The order puts shingles that many documents hold last, the more the later; how many
 do is estimated over all documents in a sketch of fixed size. Any order gives the same links. Wide
 neighbourhoods don't list their pairs, they only tie their sets together.
 
@@ -43,6 +43,8 @@ REGION, WIDEST, DENSE = 128, 1024, 16
 CELL_SETS, CELL_SHINGLES, TASK_SHINGLES = 8192, 1 << 21, 1 << 20
 #: Pivots of a region that is divided, rounds of dividing, and how many neighbours make a pivot's wider ball worth its cost.
 PIVOTS, ROUNDS, MANY = 16, 8, 8
+#: A prefix is longer by one shingle for so many of its set, and linked sets have as many more in common.
+PREFIX_STEP = 50
 SLICES = 64
 SKETCH_BITS, SKETCH_CHUNK, BIT_SKETCH = 22, 1 << 14, 23
 
@@ -78,20 +80,19 @@ def _scan(k: int):
     """The set name, size and slices of each row; at the end of a task, chunks of its sketch of shingle counts."""
 
     def run(batches):
-        held = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
+        held = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for batch in batches:
             if not batch.num_rows:
                 continue
             sets = [shingles(t, k) for t in text_bytes(batch.column(2))]
-            flat = np.concatenate(sets)
-            bucket, count = np.unique(_bucket(flat, SKETCH_BITS), return_counts=True)
-            held[bucket] = np.minimum(held[bucket] + count, 255)
+            np.add.at(held, _bucket(np.concatenate(sets), SKETCH_BITS), 1)
             sizes, none = pa.array([len(s) for s in sets], pa.int64()), len(sets)
             slices = pa.array([slice_counts(s) for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(set_keys(sets)), sizes, slices, pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())],
                 ["doc_id", "uid", "node", "n_shingles", "slices", "chunk", "counts"],
             )
+        held = np.minimum(held, 255).astype(np.uint8)
         parts = [(at // SKETCH_CHUNK, held[at : at + SKETCH_CHUNK]) for at in range(0, len(held), SKETCH_CHUNK)]
         parts = [(n, zlib.compress(p.tobytes(), 1)) for n, p in parts if p.any()]
         if parts:
@@ -192,13 +193,18 @@ def ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return s[np.argsort(levels[_bucket(s, SKETCH_BITS)], kind="stable")]
 
 
+def common_prefix(n: int, num: int, den: int) -> int:
+    """How much longer a set's prefix is. Linked sets have as many shingles in common in their prefixes, by the smaller of the two figures."""
+    return min(1 + n // PREFIX_STEP, -(-num * n // den))
+
+
 def _posts(k: int, num: int, den: int, levels):
     """The first shingles of each set; a set that a task has sent already is not sent again."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            tokens, nodes, sizes, places = [], [], [], []
+            tokens, nodes, sizes = [], [], []
             sets = [shingles(t, k) for t in text_bytes(batch.column(0))]
             for s, node in zip(sets, set_keys(sets).tolist(), strict=True):
                 n = len(s)
@@ -206,32 +212,22 @@ def _posts(k: int, num: int, den: int, levels):
                     continue
                 if len(seen) < 200_000:
                     seen.add(node)
-                probe = n - (-(-num * n // den)) + 1
+                probe = min(n, n - (-(-num * n // den)) + common_prefix(n, num, den))
                 tokens.append(ordered(s, levels.value)[:probe].view(np.int64))
                 nodes.append(np.full(probe, node))
                 sizes.append(np.full(probe, n, dtype=np.int32))
-                places.append(np.arange(probe, dtype=np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nodes, sizes, places)], ["token", "node", "n", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nodes, sizes)], ["token", "node", "n"])
 
     return run
 
 
-def _fits(n_i: np.ndarray, n_j: np.ndarray, at_i: np.ndarray, at_j: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Whether sets of sizes n_i <= n_j may link if their first common shingle has these places."""
-    need = -(-num * (n_i + n_j) // (num + den))
-    index = n_i - (-(-2 * num * n_i // (num + den))) + 1
-    return (den * n_i >= num * n_j) & (at_i < index) & (np.minimum(n_i - at_i, n_j - at_j) >= need)
-
-
-def _run_pairs(n: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (smaller, larger) of the pairs of one region that its windows allow; rows sorted by size."""
-    last = np.searchsorted(n, den * n // num, side="right")  # larger sets beyond are out of the size window
+def _run_pairs(n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (smaller, larger) of the pairs of one neighbourhood inside the size window; rows sorted by size."""
+    last = np.searchsorted(n, den * n // num, side="right")  # larger sets beyond are out of the window
     counts = np.maximum(last - np.arange(1, len(n) + 1), 0)
     i = np.repeat(np.arange(len(n)), counts)
-    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
-    fits = _fits(n[i], n[j], at[i], at[j], num, den)
-    return i[fits], j[fits]
+    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def _regions(num: int, den: int):
@@ -240,29 +236,27 @@ def _regions(num: int, den: int):
     A region with more than ``WIDEST`` sets is not held: its sets are tied to its first one.
     """
 
-    def emit(nodes, n, at):
+    def emit(nodes, n):
         order = np.lexsort((nodes, n))
-        nodes, n, at = nodes[order], n[order].astype(np.int64), at[order].astype(np.int64)
-        i, j = _run_pairs(n, at, num, den)
+        nodes, n = nodes[order], n[order].astype(np.int64)
+        i, j = _run_pairs(n, num, den)
         a, b, dense = nodes[i], nodes[j], len(nodes) > REGION and len(i) > DENSE * len(nodes)
         if dense:
             a, b = forest(a, b)
         return a, b, np.full(len(a), dense)
 
-    def two(i, nodes, n, at):
+    def two(i, nodes, n):
         """All regions of two sets at once."""
-        j = i + 1
-        i, j = np.where(n[i] <= n[j], i, j), np.where(n[i] <= n[j], j, i)
-        fits = (nodes[i] != nodes[j]) & _fits(n[i], n[j], at[i], at[j], num, den)
-        return nodes[i[fits]], nodes[j[fits]], np.full(fits.sum(), False)
+        fits = (nodes[i] != nodes[i + 1]) & (den * np.minimum(n[i], n[i + 1]) >= num * np.maximum(n[i], n[i + 1]))
+        return nodes[i[fits]], nodes[i[fits] + 1], np.full(fits.sum(), False)
 
     def run(batches):
-        held = None  # the open run: token, nodes, sizes, places; pivot once it is too wide
+        held = None  # the open run: token, nodes, sizes; pivot once it is too wide
         pivot = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, node, n, at = (batch.column(c).to_numpy() for c in range(4))
+            token, node, n = (batch.column(c).to_numpy() for c in range(3))
             out = []
             cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             ends = np.append(cuts[1:], len(token))
@@ -270,14 +264,14 @@ def _regions(num: int, den: int):
             keep[0] = keep[-1] = True
             twos = cuts[(ends - cuts == 2) & ~keep]
             if len(twos):
-                out.append(two(twos, node, n.astype(np.int64), at.astype(np.int64)))
+                out.append(two(twos, node, n.astype(np.int64)))
             for a, b in zip(cuts[keep].tolist(), ends[keep].tolist(), strict=True):
                 if held is not None and held[0] == token[a]:
-                    rows = [np.concatenate([x, y[a:b]]) for x, y in zip(held[1:], (node, n, at), strict=True)]
+                    rows = [np.concatenate([x, y[a:b]]) for x, y in zip(held[1:], (node, n), strict=True)]
                 else:
                     if held is not None and pivot is None and len(held[1]) > 1:
                         out.append(emit(*held[1:]))
-                    rows, pivot = [node[a:b], n[a:b], at[a:b]], None
+                    rows, pivot = [node[a:b], n[a:b]], None
                 _, first = np.unique(rows[0], return_index=True)
                 rows = [x[first] for x in rows]
                 if len(rows[0]) > WIDEST or pivot is not None:
@@ -295,10 +289,11 @@ def _regions(num: int, den: int):
 
 
 def _pairs_batch(parts) -> pa.RecordBatch:
-    """Distinct pairs of a batch."""
+    """Distinct pairs of a batch: in how many neighbourhoods they meet, and whether a dense one ties them."""
     a, b, large = (np.concatenate(x) for x in zip(*parts, strict=True))
-    frame = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "large": large}).drop_duplicates()
-    return pa.RecordBatch.from_pandas(frame, preserve_index=False)
+    frame = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "met": 1, "large": large})
+    frame = frame.groupby(["a", "b"], as_index=False).agg({"met": "sum", "large": "max"})
+    return pa.RecordBatch.from_pandas(frame.astype({"met": "int64", "large": bool}), preserve_index=False)
 
 
 def _windows(num: int, den: int):
@@ -542,11 +537,13 @@ def jaccard_components(documents: DataFrame, k: int = 4, num: int = 85, den: int
 def _ties(documents: DataFrame, scanned: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(node, component) of the sets that neighbourhoods tie together."""
     levels = documents.sparkSession.sparkContext.broadcast(frequency_levels(scanned))
-    posts = documents.select("text").mapInArrow(_posts(k, num, den, levels), "token long, node long, n int, at int")
-    found = posts.repartition("token").sortWithinPartitions("token").mapInArrow(_regions(num, den), "a long, b long, large boolean").distinct().checkpoint()
-    pairs = found.where("not large").select("a", "b")
+    posts = documents.select("text").mapInArrow(_posts(k, num, den, levels), "token long, node long, n int")
+    found = posts.repartition("token").sortWithinPartitions("token").mapInArrow(_regions(num, den), "a long, b long, met long, large boolean")
+    found = found.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("large").alias("large")).checkpoint()
+    pairs = found.where("not large").select("a", "b", "met")
     for side in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("slices").alias(f"s_{side}")), side)
+    pairs = pairs.where(F.col("met") >= F.least(*(x for c in ("n_a", "n_b") for x in (F.floor(F.col(c) / PREFIX_STEP) + 1, -F.floor(-num * F.col(c) / den)))))
     pairs = map_batches(pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b"), _windows(num, den), "a long, b long")
     return components(pairs.union(found.where("large").select("a", "b")))
 

@@ -1,8 +1,8 @@
 """Exact top-k inner-product search: a ball tree for each shard, searched by branch and bound.
 
 The inner product of a query q with any vector of a node is at most q.c + |q| r (centre c,
-radius r). Nodes are visited in the order of that bound and left out when it is below the
-query's current k-th score. Each query first searches one shard; the k-th score found there is
+radius r). Nodes are visited in the order of that bound and left out when it is strictly below the
+query's current k-th score, so that ties go to the least vec_id. Each query first searches one shard; the k-th score found there is
 the floor with which it enters all other shards, so most of their nodes are never opened.
 
 Queries travel to shards in blocks; a task holds one shard and one block, whatever the table's
@@ -56,7 +56,9 @@ class BallTree:
         best = np.full((len(queries), k), -np.inf)
         which = np.full((len(queries), k), np.iinfo(np.int64).max)
         norms = np.sqrt((queries**2).sum(1))
-        bounds = (queries @ self.centres.T + norms[:, None] * self.radii) * (1 + 1e-12) + 1e-6
+        # what rounding may take from a bound, whatever its sign: equal scores must not be left out
+        slack = norms[:, None] * (np.sqrt((self.centres**2).sum(1)) + self.radii) * 1e-11 + 1e-6
+        bounds = queries @ self.centres.T + norms[:, None] * self.radii + slack
         todo = [(0, np.arange(len(queries)))]
         while todo:
             node, who = todo.pop()

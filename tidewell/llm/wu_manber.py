@@ -12,7 +12,6 @@ rows of their own. The benchmark is searched in blocks of items, so its size is
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -24,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import list_array, map_batches, prepare, text_bytes
 
 WIDTH = 10
-ITEMS_PER_PASS = 20_000
+#: Bounds of what a pass sends to the tasks.
+ITEMS_PER_PASS, BYTES_PER_PASS = 20_000, 32 << 20
 CHUNK = 512
 #: ASCII letters and digits and all bytes of other characters make words; A-Z are lower-cased.
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -125,13 +125,13 @@ def search(words: np.ndarray, starts: np.ndarray, stops: np.ndarray, table: Tabl
 HITS = "n_words long, hits array<int>"
 
 
-def _scan(items: list[tuple[object, bytes]], width: int):
-    """Searches the last column; the columns before it are passed on."""
+def _scan(items, width: int):
+    """Searches the last column; the columns before it are passed on. ``items`` is a broadcast."""
     built: list = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not built:
-            built.append(build(items, width))
+            built.append(build(items.value, width))
         number, tables = built[0]
         texts = [words_of(t) for t in text_bytes(batch.column(batch.num_columns - 1))]
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
@@ -155,16 +155,27 @@ def _scan(items: list[tuple[object, bytes]], width: int):
     return run
 
 
+def _passes(benchmark: DataFrame, items_per_pass: int) -> int:
+    total, size = benchmark.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    return max(1, -(-total // items_per_pass), -(-size // BYTES_PER_PASS))
+
+
+def _items(benchmark: DataFrame, passes: int, n: int):
+    """The items of pass n, broadcast."""
+    some = benchmark if passes == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == n)
+    rows = [(r[0], (r[1] or "").encode()) for r in some.select("item_id", "text").toLocalIterator()]
+    return benchmark.sparkSession.sparkContext.broadcast(rows)
+
+
 def occurrences(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
     """doc_id, n_words, hits (word positions inside occurrences), item_ids (of the items that occur).
 
-    The benchmark is read in passes of ``items_per_pass`` items, which bounds what a task holds;
-    with more than one pass the documents are numbered and checkpointed, so that every pass reads
-    the same numbers, and the passes' results meet by that number.
+    The benchmark is read in passes of about ``items_per_pass`` items and ``BYTES_PER_PASS`` bytes, which bounds
+    what the driver and a task hold; with more than one pass the documents are numbered and checkpointed, so that every
+    pass reads the same numbers, each pass's hits are written before the next is read, and the passes meet by that number.
     """
     prepare(documents.sparkSession)
-    total = benchmark.count()
-    passes = max(1, -(-total // items_per_pass))
+    passes = _passes(benchmark, items_per_pass)
     documents = documents.select("doc_id", "text")
     keys = {"doc_id": documents.schema["doc_id"].dataType.simpleString()}
     if passes > 1:
@@ -173,17 +184,19 @@ def occurrences(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH,
     schema = ", ".join(f"{k} {t}" for k, t in keys.items()) + f", {HITS}"
     out = None
     for n in range(passes):
-        some = benchmark if passes == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == n)
-        items = [(r[0], (r[1] or "").encode()) for r in some.select("item_id", "text").toLocalIterator()]
-        names = [None if i is None else str(i) for i, _ in items]
+        items = _items(benchmark, passes, n)
+        names = [None if i is None else str(i) for i, _ in items.value]
         found = map_batches(documents, _scan(items, width), f"{schema}, items array<int>")
         literal = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
         found = found.select(*keys, "n_words", "hits", F.transform("items", lambda i: F.element_at(literal, i + 1)).alias("item_ids")) if len(names) <= 1000 else _named(found, names, schema)
+        if passes == 1:
+            return found
+        # the first pass has a row for every document, the others those with hits
+        found = (found.where(F.size("hits") > 0) if n else found).checkpoint()
+        items.destroy()
         out = found if out is None else out.union(found)
-    if passes == 1:
-        return out
     merged = out.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.flatten(F.collect_list("item_ids")).alias("item_ids"),
     )
     return merged.drop("row")
@@ -212,11 +225,10 @@ def clean(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> Dat
     The verdict travels with the text in one batch, so nothing is joined or shuffled.
     """
     prepare(documents.sparkSession)
-    total = benchmark.count()
-    passes = max(1, -(-total // ITEMS_PER_PASS))
+    passes = _passes(benchmark, ITEMS_PER_PASS)
     for n in range(passes):
-        some = benchmark if passes == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == n)
-        scan = _scan([(r[0], (r[1] or "").encode()) for r in some.select("item_id", "text").toLocalIterator()], width)
+        items = _items(benchmark, passes, n)
+        scan = _scan(items, width)
         at = [documents.columns.index(c) for c in ("doc_id", "text")]
 
         def keep(batch: pa.RecordBatch, scan=scan, at=at) -> pa.RecordBatch:
@@ -225,8 +237,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> Dat
             return batch.filter(pa.array(hits.value_lengths().to_numpy(zero_copy_only=False) == 0))
 
         documents = map_batches(documents, keep, documents.schema)
+        if passes > 1:
+            documents = documents.checkpoint()
+            items.destroy()
     return documents
-
-
-def sha(values: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(values)).encode()).hexdigest()

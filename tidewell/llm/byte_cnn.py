@@ -4,6 +4,7 @@ Filters of several widths slide over byte embeddings, their maxima over a window
 trained in numpy on windows of a bounded sample of labelled documents (``PER_LANGUAGE`` documents a
 language in the order of a hash of doc_id). For scoring, filters become tables over byte pairs; each
 text is cut into windows of fixed length that cover all of it, and their log-probabilities are averaged by length.
+Of equal probabilities the language that sorts first wins. Documents that repeat a doc_id may each be in the sample.
 
 The prediction is ``und`` with score 0 if the text is null or has no letter, or if nothing was learnt.
 """
@@ -23,6 +24,7 @@ from .common import bounded, map_batches, prepare
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 PER_LANGUAGE, WINDOWS_PER_DOC, EPOCHS, BATCH = 1000, 4, 3, 128
+SPARE, LOTS = 2, 1 << 30
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -131,11 +133,19 @@ def _samples(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Network | None:
-    """Fit on at most ``per_language`` documents a language whose crc32 modulo 4 is not 2."""
+    """Fit on at most ``per_language`` documents a language whose crc32 modulo 4 is not 2.
+
+    A language with many documents is thinned by the hash of doc_id first, to ``SPARE`` times the bound in expectation,
+    so that ranking them is a small task for every language.
+    """
     prepare(documents.sparkSession)
-    known = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (remainder(4) != 2))
+    known = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (remainder(4) != 2))
+    counts = known.groupBy("lang").agg(F.count("*").alias("held")).checkpoint()
+    counts = bounded(counts.withColumnRenamed("lang", "_lang"), counts.count())
+    lot = F.pmod(F.xxhash64("doc_id"), F.lit(LOTS)) * F.col("held") < F.lit(LOTS * SPARE * per_language)
+    thin = known.select("doc_id", "lang").join(counts, F.col("lang") == F.col("_lang")).where(lot).select("doc_id", "lang")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= per_language).select(F.col("doc_id").alias("of"), F.col("lang").alias("of_lang")).checkpoint()
+    chosen = thin.withColumn("place", place).where(F.col("place") <= per_language).select(F.col("doc_id").alias("of"), F.col("lang").alias("of_lang")).checkpoint()
     chosen = bounded(chosen, chosen.count())
     rows = map_batches(known.join(chosen, (known.doc_id == chosen.of) & (known.lang == chosen.of_lang)).select("lang", "text"), _samples, "lang string, bytes binary").orderBy("lang", "bytes").toArrow()
     if not rows.num_rows:

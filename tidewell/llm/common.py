@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ def prepare(spark: SparkSession) -> None:
     """Set what every text operator relies on: small batches, importable code, a shared folder.
 
     Code reaches local workers by PYTHONPATH; on a cluster, ship the package with --py-files.
-    The checkpoint folder is the session's; only where none is set (tests) a folder is made.
+    The checkpoint folder is the session's; only a local session that has none gets one of its own.
     """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != TEXT_BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
@@ -33,6 +32,8 @@ def prepare(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is None:
         given = spark.conf.get("spark.checkpoint.dir", None)
         if given is None:
+            if not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             given = tempfile.mkdtemp(prefix="spark-checkpoint-")
@@ -44,8 +45,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def rows_in(df: DataFrame) -> int:
-    return df.count()
+def sealed(documents: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``documents`` with all columns but ``own`` under names that no operator uses, and what gives the names and their order back."""
+    columns = documents.columns
+    names = {c: c if c in own else f"rest_{i}" for i, c in enumerate(columns)}
+    quoted = lambda c: F.col(f"`{c}`")
+    return documents.select(*(quoted(c).alias(n) for c, n in names.items())), lambda df: df.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def bounded(df: DataFrame, count: int) -> DataFrame:
@@ -86,7 +91,3 @@ def column_lists(column: pa.Array) -> list[np.ndarray]:
 
 def partitions_for(rows: int, per_partition: int) -> int:
     return max(1, -(-rows // per_partition))
-
-
-def recursion_guard(limit: int = 10_000) -> None:
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), limit))

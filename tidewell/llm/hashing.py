@@ -12,7 +12,7 @@ import xxhash
 _MASK = (1 << 64) - 1
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 
 
 class WordHashes(dict):

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import map_batches, partitions_for, prepare, text_bytes
+from .common import map_batches, partitions_for, prepare, sealed, text_bytes
 from .components import components, forest
 
 REGION, WIDEST, DENSE = 128, 1024, 16
@@ -577,7 +577,8 @@ def keep_first(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     Rows without doc_id stay. A doc_id on several unlinked texts keeps each of them; only rows that repeat both are one.
     """
     found = _grouped(documents, k, num, den).where("doc_id = component_id AND uid = component_uid")
-    first = found.select(F.col("doc_id").alias("_first_doc"), F.col("uid").alias("_first_uid")).distinct()
-    own = documents.withColumn("_text_uid", F.xxhash64("text"))
-    kept = own.join(first, (own["doc_id"] == F.col("_first_doc")) & (own["_text_uid"] == F.col("_first_uid")), "left_semi").dropDuplicates(["doc_id", "_text_uid"])
-    return kept.select(*documents.columns).union(documents.where("doc_id IS NULL"))
+    first = found.select(F.col("doc_id").alias("first_doc"), F.col("uid").alias("first_uid")).distinct()
+    own, restore = sealed(documents, "doc_id", "text")
+    own = own.withColumn("uid", F.xxhash64("text"))
+    kept = own.join(first, (own["doc_id"] == F.col("first_doc")) & (own["uid"] == F.col("first_uid")), "left_semi").dropDuplicates(["doc_id", "uid"])
+    return restore(kept.union(own.where("doc_id IS NULL")))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import list_array, map_batches, prepare, text_bytes
+from .common import map_batches, prepare, sealed, text_bytes
 
 WIDTH, GRAM = 50, 8
 SEGMENTS = "doc_id long, uid long, anchor long, block long, start int, n int"
@@ -115,14 +115,29 @@ def spans_of(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFram
     return both.groupBy(*KEY).agg(F.collect_set("span").alias("spans"))
 
 
-def covered(n_words: int, spans: list[dict] | None) -> np.ndarray:
-    """True for each word inside a span."""
-    edge = np.zeros(n_words + 1, dtype=np.int64)
-    if spans:
-        start = np.array([s["start"] for s in spans])
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + np.array([s["words"] for s in spans]), -1)
-    return np.cumsum(edge[:-1]) > 0
+def factors(spans: list[dict] | None, width: int = WIDTH) -> list[tuple[int, int]]:
+    """(first word, words) of the factors of one document, parsed greedily from left to right.
+
+    A factor starts at the first word not yet tried that starts a repeated window and goes on as far as every next window is in some
+    reference block. Where one block's match ends and the next begins, the window over the boundary decides: it belongs to one
+    of the two blocks, so the factor goes on only if that block holds it. Factors overlap if a window is missing in between.
+    """
+    out: list[tuple[int, int]] = []
+    for start, words in sorted((s["start"], s["words"]) for s in spans or ()):
+        if out and start + width - 1 <= out[-1][0] + out[-1][1]:  # its first window is next to or among those of the factor
+            begin, held = out[-1]
+            out[-1] = (begin, max(held, start + words - begin))
+        else:
+            out.append((start, words))
+    return out
+
+
+def covered(n_words: int, spans: list[dict] | None, width: int = WIDTH) -> np.ndarray:
+    """True for each word inside a factor."""
+    gone = np.zeros(n_words, dtype=bool)
+    for start, words in factors(spans, width):
+        gone[start : start + words] = True
+    return gone
 
 
 def _digest(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -179,19 +194,19 @@ def remove_spans(documents: DataFrame, width: int = WIDTH) -> DataFrame:
 
     Documents of which nothing is left are dropped; others keep all their columns.
     """
-    columns = documents.columns
-    found = with_spans(documents, width)
+    counted = "n_chars" in documents.columns
+    keyed, restore = sealed(documents, "doc_id", "text", "n_chars")
+    found = with_spans(keyed, width)
+    rest = [c for c in keyed.columns if c != "text"]
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [None if s is None else cut_text(t, s).decode() for t, s in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[2:]], ["cut_text", *batch.schema.names[2:]])
 
-    rest = [c for c in columns if c != "text"]
-    schema = ", ".join(["cut_text string", "text string", *(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in rest)])
+    schema = ", ".join(["cut_text string", "text string", *(f"{c} {keyed.schema[c].dataType.simpleString()}" for c in rest)])
     # the text goes twice: once to be cut, once as it was
     out = map_batches(found.select("text", "spans", F.col("text").alias("kept_text"), *rest), cut, schema)
-    text = F.coalesce("cut_text", "text")
-    out = out.withColumn("text", text).where(F.col("cut_text").isNull() | (F.col("cut_text") != ""))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("cut_text").isNotNull(), F.char_length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    out = out.withColumn("text", F.coalesce("cut_text", "text")).where(F.col("cut_text").isNull() | (F.col("cut_text") != ""))
+    if counted:
+        out = out.withColumn("n_chars", F.when(F.col("cut_text").isNotNull(), F.char_length("text").cast(keyed.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return restore(out)

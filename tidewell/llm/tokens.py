@@ -61,8 +61,10 @@ class TokenCache(dict):
             if plain:
                 latin.append(parts[-1])
         units = set().union(*latin)
-        if len(self) + len(units) > 2 * _CACHE_UNITS or len(self) > _CACHE_UNITS:
+        if len(self) > _CACHE_UNITS:  # what this batch has, too, stays: all frequent units are in it
+            kept = {u: self[u] for u in units if u in self}
             self.clear()
+            self.update(kept)
         self.learn([u for u in units if u not in self and len(u) <= _LONGEST])
         get = self.__getitem__
         return [b"".join(map(get, p)) for p in parts]

@@ -1,7 +1,12 @@
 """A corpus pipeline: quality, near duplicates, repeated passages, benchmark leaks, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the
-next stage's docs. All but the last return the columns of documents.
+next stage's docs. All but the last return the columns of documents, under whatever names extra ones have.
+
+Rows with a null doc_id or text and empty texts are judged like any other: quality scores them, near_duplicates
+and repeated_passages let them pass (nothing is linked with or found in an empty text; rows without doc_id are
+never second), benchmark_leaks finds nothing in them, and sequences makes them one end token. Rows that repeat doc_id and text are
+one row after near_duplicates; a doc_id on different texts keeps each. Empty tables give empty results. Ties in a group go to the least doc_id.
 """
 
 from __future__ import annotations
@@ -37,8 +42,14 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("benchmark_leaks", benchmark_leaks), ("sequences", sequences)]
-#: The classifier and the tokenizer are not SQL; the tests compare with brute force.
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_leaks", benchmark_leaks),
+    ("sequences", sequences),
+]
+#: The classifier and the tokenizer are not SQL; tests/llm/test_pipeline.py compares every stage with a plain version.
 ORACLE_SQL = None
 
 

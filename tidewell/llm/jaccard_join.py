@@ -40,7 +40,9 @@ from .components import components, forest
 
 REGION, WIDEST, DENSE = 128, 1024, 16
 #: A region is joined in one task up to so many sets and shingles; a task holds about ``TASK_SHINGLES``.
-CELL_SETS, CELL_SHINGLES, TASK_SHINGLES = 8192, 1 << 21, 1 << 20
+CELL_SETS, CELL_SHINGLES, TASK_SHINGLES = 8192, 1 << 20, 1 << 18
+#: Shingles that are compared with a pivot at once.
+AT_ONCE = 1 << 18
 #: Pivots of a region that is divided, rounds of dividing, and how many neighbours make a pivot's wider ball worth its cost.
 PIVOTS, ROUNDS, MANY = 16, 8, 8
 #: A prefix is longer by one shingle for so many of its set, and linked sets have as many more in common.
@@ -314,13 +316,13 @@ class Region:
         self.num, self.den = num, den
         self.n = np.array([len(s) for s in sets], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.n)])
-        flat = np.concatenate(sets)
-        _, ids, held = np.unique(flat, return_inverse=True, return_counts=True)
-        rows = np.repeat(np.arange(len(sets)), self.n)
+        _, ids, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        ids, held = ids.astype(np.int32), held.astype(np.int32)
+        rows = np.repeat(np.arange(len(sets), dtype=np.int32), self.n)
         self.ids = ids[np.lexsort((ids, held[ids], rows))]
         self.marked = np.zeros(len(held), dtype=bool)
         # the index goes as far as the wider of both balls needs
-        at = np.arange(len(flat)) - np.repeat(self.starts[:-1], self.n)
+        at = (np.arange(len(ids)) - np.repeat(self.starts[:-1], self.n)).astype(np.int32)
         first = at < np.repeat(self.prefix(2), self.n)
         token, order = self.ids[first], np.argsort(self.ids[first], kind="stable")
         self.holders, self.places = rows[first][order], at[first][order]
@@ -355,12 +357,15 @@ class Region:
         own = self.ids[self.starts[p] : self.starts[p + 1]]
         self.marked[own] = True
         out = np.empty(len(rows), dtype=np.int64)
-        for low in range(0, len(rows), 512):
-            some = rows[low : low + 512]
-            size = self.n[some]
-            ends = np.cumsum(size)
-            flat = self.marked[self.ids[np.repeat(self.starts[some] - (ends - size), size) + np.arange(ends[-1])]]
-            out[low : low + 512] = np.add.reduceat(flat, ends - size, dtype=np.int64)
+        ends, low = np.cumsum(self.n[rows]), 0
+        while low < len(rows):
+            done = ends[low] - self.n[rows[low]]
+            high = max(low + 1, int(np.searchsorted(ends, done + AT_ONCE, side="right")))
+            some, size = rows[low:high], self.n[rows[low:high]]
+            begin = ends[low:high] - size - done
+            flat = self.marked[self.ids[np.repeat(self.starts[some] - begin, size) + np.arange(ends[high - 1] - done)]]
+            out[low:high] = np.add.reduceat(flat, begin, dtype=np.int64)
+            low = high
         self.marked[own] = False
         return out
 

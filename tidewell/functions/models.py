@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 N, STEEPNESS = 1000, 5.0
@@ -76,6 +76,11 @@ def zygotic(t: Column, delta_z: Column, g: Callable[[Column], Column], n: int =
     return simpson(lambda u: F.exp(-delta_z * (t - u)) * g(u), t, n)
 
 
+def time_grid(ends: DataFrame, end: str, points: int = 1001) -> DataFrame:
+    """``ends`` with a row for each of ``points`` even times from 0 to the column ``end``."""
+    return ends.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_i")).withColumn("time", F.col("_i") * F.col(end) / float(points - 1)).drop("_i")
+
+
 def log_prior(x: Column, median: Column, sd: float) -> Column:
     """Log density of a log-normal with this median."""
     return -F.log(x * sd * 2.5066282746310002) - F.pow(F.log(x / median), F.lit(2.0)) / (2.0 * sd * sd)

@@ -72,27 +72,38 @@ def sample(model: str, t: np.ndarray, y: np.ndarray, seed: int, warmup: int = 10
     return dict(zip(names, np.exp(np.array(kept)).T, strict=True))
 
 
-def _fit(rows: pd.DataFrame) -> pd.DataFrame:
-    gene, model, chain = rows["gene"].iloc[0], rows["model"].iloc[0], int(rows["chain"].iloc[0])
-    try:
-        rows = rows.dropna(subset=["y"]).sort_values("time")
-        if len(rows) < 3:
-            raise ValueError("fewer than three observations")
-        got = sample(model, rows["time"].to_numpy(), rows["y"].to_numpy(), zlib.crc32(f"{gene}/{model}/{chain}".encode()))
-        parts = [pd.DataFrame({"gene": gene, "model": model, "chain": chain, "draw": np.arange(len(v), dtype=np.int32), "param": k, "value": v, "error": None}) for k, v in got.items()]
-        return pd.concat(parts, ignore_index=True)
-    except Exception as problem:
-        return pd.DataFrame({"gene": [gene], "model": [model], "chain": [chain], "draw": [None], "param": [None], "value": [None], "error": [str(problem)]})
-
-
-def fit(series: DataFrame, models: list[str], chains: int = 4) -> DataFrame:
+def _fit(warmup: int, draws: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        gene, model, chain = rows["gene"].iloc[0], rows["model"].iloc[0], int(rows["chain"].iloc[0])
+        try:
+            rows = rows.dropna(subset=["y"]).sort_values("time")
+            if len(rows) < 3:
+                raise ValueError("fewer than three observations")
+            got = sample(model, rows["time"].to_numpy(), rows["y"].to_numpy(), zlib.crc32(f"{gene}/{model}/{chain}".encode()), warmup, draws)
+            parts = [pd.DataFrame({"gene": gene, "model": model, "chain": chain, "draw": np.arange(len(v), dtype=np.int32), "param": k, "value": v, "error": None}) for k, v in got.items()]
+            return pd.concat(parts, ignore_index=True)
+        except Exception as problem:
+            return pd.DataFrame({"gene": [gene], "model": [model], "chain": [chain], "draw": [None], "param": [None], "value": [None], "error": [str(problem)]})
+
+    return run
+
+
+def fit(series: DataFrame, models: list[str], chains: int = 4, warmup: int = 1000, draws: int = 2000) -> DataFrame:
     """Draws of every series, model and chain; failed fits are rows with an error.
 
     The partitions are counted, since Spark would merge such small ones and fit all in one task.
     """
     parts = min(PARTITIONS, max(1, series.select("gene").distinct().count() * len(models) * chains))
     runs = series.select("gene", "time", "y", F.explode(F.array(*map(F.lit, models))).alias("model")).withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
-    return runs.repartition(parts, "gene", "model", "chain").groupBy("gene", "model", "chain").applyInPandas(_fit, DRAWS)
+    return runs.repartition(parts, "gene", "model", "chain").groupBy("gene", "model", "chain").applyInPandas(_fit(warmup, draws), DRAWS)
+
+
+def wide_draws(draws: DataFrame, model: str) -> DataFrame:
+    """(gene, draw, one column a parameter): the draws of one model, numbered over its chains."""
+    params = list(PRIORS[model])
+    rows = draws.where((F.col("model") == model) & F.col("error").isNull())
+    wide = rows.groupBy("gene", "chain", "draw").agg(*(F.max(F.when(F.col("param") == p, F.col("value"))).alias(p) for p in params))
+    return wide.withColumn("draw", F.col("draw") + F.lit(1_000_000) * F.col("chain"))
 
 
 def summary(draws: DataFrame) -> DataFrame:

@@ -58,13 +58,22 @@ def melt_measures(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT user_id, date_diff('day', DATE '1970-01-01', ts::DATE)::BIGINT AS day, sum(value) AS total FROM events GROUP BY 1, 2)
-SELECT user_id, day, round(total, 6) AS total FROM (SELECT user_id, unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d))) AS day FROM (SELECT DISTINCT user_id FROM d)) LEFT JOIN d USING (user_id, day)""")
+SELECT user_id, day, round(total, 6) AS total FROM (SELECT DISTINCT user_id FROM d) CROSS JOIN (SELECT DISTINCT day FROM d) LEFT JOIN d USING (user_id, day)""")
 def densify_grid(spark: SparkSession, sf: str) -> DataFrame:
     day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("long")
     daily = table(spark, sf, "events").groupBy("user_id", day.alias("day")).agg(F.sum("value").alias("total"))
     return rounded(etl.densify(daily, "user_id", "day", "total"))
 
 
+@query("""WITH d AS (SELECT event_type AS gene, hour(ts)::DOUBLE + (minute(ts) // 15)::DOUBLE / 4 AS time, avg(value) AS y FROM events WHERE user_id % 3 = 0 GROUP BY 1, 2)
+SELECT gene, time, round(y, 6) AS y FROM (SELECT DISTINCT gene FROM d) CROSS JOIN (SELECT DISTINCT time FROM d) LEFT JOIN d USING (gene, time)""")
+def densify_fractional(spark: SparkSession, sf: str) -> DataFrame:
+    """Series over observed times that are no integers: quarters of an hour of the day."""
+    time = F.hour("ts") + F.floor(F.minute("ts") / 15).cast("double") / 4.0
+    rows = table(spark, sf, "events").where("user_id % 3 = 0").groupBy(F.col("event_type").alias("gene"), time.alias("time")).agg(F.avg("value").alias("y"))
+    return rounded(etl.densify(rows, "gene", "time", "y"))
+
+
 @query(f"WITH {DAILY} SELECT gene, time, round(y, 6) AS y FROM daily WHERE time BETWEEN 2 AND 12")
 def time_slice(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(series.time_slice(daily_series(table(spark, sf, "events")), 2, 12))
@@ -106,6 +115,19 @@ def forcing_exposure(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(series.exposure(daily, "f").select("gene", "time", "exposure"), 9)
 
 
+@query(f"""WITH {DAILY}, ends AS (SELECT gene, max(time) AS t_end FROM daily GROUP BY 1),
+grid AS (SELECT gene, i, i * t_end / 1000 AS time, least(greatest(i * t_end / 1000 - 3, 0), 1)::DOUBLE AS f FROM ends, range(0, 1001) AS k(i)),
+near AS (SELECT d.gene, d.time, max(g.i) FILTER (g.time <= d.time) AS a, min(g.i) FILTER (g.time >= d.time) AS b FROM daily d JOIN grid g USING (gene) GROUP BY 1, 2)
+SELECT gene, near.time, round(x.f + CASE WHEN x.time = y.time THEN 0 ELSE (y.f - x.f) * (near.time - x.time) / (y.time - x.time) END, 6) AS forcing
+FROM near JOIN grid x USING (gene) JOIN grid y USING (gene) WHERE x.i = a AND y.i = b""")
+def forcing_regrid(spark: SparkSession, sf: str) -> DataFrame:
+    """The ramp sampled on 1001 points up to each series' end, read again at its own times."""
+    daily = daily_series(table(spark, sf, "events"))
+    ends = daily.groupBy("gene").agg(F.max("time").alias("t_end"))
+    grid = models.time_grid(ends, "t_end").withColumn("y", models.ramp(F.col("time")).cast("double"))
+    return rounded(series.regrid(grid, daily.select("gene", "time")).withColumnRenamed("y", "forcing"))
+
+
 @query("WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS rn FROM part) SELECT p_partkey, rn, (rn - 1) // 500 + 1 AS chunk FROM p")
 def chunk_assign(spark: SparkSession, sf: str) -> DataFrame:
     return series.chunks(table(spark, sf, "part").select("p_partkey"), "p_partkey").select("p_partkey", "rn", "chunk")
@@ -234,22 +256,25 @@ def posterior_estimates(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(posterior.estimates(_draws(spark, sf), ["event_type"]).drop("packed"))
 
 
-# ---- comparison of models: order priorities stand for models, regions for clusters
+# ---- comparison of models: order priorities stand for models, parts for series
 
-FITS = f"""base AS (SELECT o_orderpriority AS model, l_partkey AS gene, l_quantity AS obs, l_extendedprice / p_retailprice * 0.98::DOUBLE + p_size % 5 AS pred, n_regionkey::BIGINT AS cluster
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+FITS = f"""base AS (SELECT o_orderpriority AS model, l_partkey AS gene, l_quantity AS obs, l_quantity * (1 + (l_discount - 0.05::DOUBLE) * p_size / 5) AS pred
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 {_errors_sql("base", "model, gene")}, {RHO.format(k="model, gene", a="obs", b="pred", t="base")},
 fits AS (SELECT model, gene, n, rmse / nullif(span, 0) AS nrmse_range, mase, spearman, gene % 5 AS cluster FROM err JOIN rho USING (model, gene)),
 flagged AS (SELECT *, coalesce(round(spearman, 8) > 0.7 AND round(nrmse_range, 8) < 0.2 AND round(mase, 8) < 1, false) AS ok FROM fits)"""
 
 
 def _fits(spark: SparkSession, sf: str) -> DataFrame:
-    """(model, gene, n, nrmse_range, mase, spearman, cluster, ok): quantities predicted from prices, by part and priority."""
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", "o_custkey")
-    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice", "p_size")
+    """(model, gene, n, nrmse_range, mase, spearman, cluster, ok): quantities against a prediction that errs with discount and size.
+
+    A series is a part under a priority, its cluster the part's number modulo 5; about a third of the series is accepted.
+    """
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_discount")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
     rows = lines.join(orders, "l_orderkey").join(part, "l_partkey")
-    pred = F.col("l_extendedprice") / F.col("p_retailprice") * 0.98 + F.col("p_size") % 5
+    pred = F.col("l_quantity") * (1.0 + (F.col("l_discount") - 0.05) * F.col("p_size") / 5.0)
     rows = rows.select(F.col("o_orderpriority").alias("model"), F.col("l_partkey").alias("gene"), F.col("l_quantity").alias("obs"), pred.alias("pred"))
     out = metrics.fit_metrics(rows, ["model", "gene"]).select("model", "gene", "n", *(F.round(c, 8).alias(c) for c in ("nrmse_range", "mase", "spearman")))
     return out.withColumn("cluster", F.col("gene") % 5).withColumn("ok", compare.accepted())
@@ -309,20 +334,36 @@ def outer_align(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(" UNION ALL ".join(f"SELECT '{p}' AS model, o_custkey, count(*) AS n, round(avg(o_totalprice), 6) AS mean, max(n_regionkey)::BIGINT AS cluster FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority = '{p}' GROUP BY o_custkey" for p in PRIORITIES))
 def model_union_join(spark: SparkSession, sf: str) -> DataFrame:
-    """One branch a model, united and joined once with the annotation."""
-    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("gene_id"), "o_orderpriority", "o_totalprice")
-    branch = {p: orders.where(F.col("o_orderpriority") == p).groupBy("gene_id") for p in PRIORITIES}
-    parts = {p: (g.agg(F.count("*").alias("n")), g.agg(F.avg("o_totalprice").alias("mean"))) for p, g in branch.items()}
+    """All models in one grouped plan, merged once with the annotation."""
+    orders = table(spark, sf, "orders").where(F.col("o_orderpriority").isin(PRIORITIES))
+    both = orders.groupBy(F.col("o_orderpriority").alias("model"), F.col("o_custkey").alias("gene_id")).agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("mean"))
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").cast("long").alias("cluster"))
     annotation = table(spark, sf, "customer").select(F.col("c_custkey").alias("ensembl_gene_id"), "c_nationkey").join(nation, "c_nationkey").drop("c_nationkey")
-    metrics_, fits = None, None
-    for p, (a, b) in parts.items():
-        a, b = a.withColumn("model", F.lit(p)), b.withColumn("model", F.lit(p))
-        metrics_, fits = (a, b) if metrics_ is None else (metrics_.unionByName(a), fits.unionByName(b))
-    merged = metrics_.join(fits, ["model", "gene_id"]).join(annotation.where("cluster >= 0"), F.col("gene_id") == F.col("ensembl_gene_id"))
+    merged = both.join(compare.clustered(annotation), F.col("gene_id") == F.col("ensembl_gene_id"))
     return rounded(merged.select("model", F.col("gene_id").alias("o_custkey"), "n", "mean", "cluster"))
 
 
+@query("""WITH m AS (SELECT o_orderpriority AS model, o_custkey AS gene_id, count(*) AS n FROM orders GROUP BY 1, 2),
+f AS (SELECT o_orderpriority AS model, o_custkey AS gene_id, round(avg(o_totalprice), 6) AS bic FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2)
+SELECT model, gene_id, n, bic, c_nationkey::DOUBLE AS cluster FROM m JOIN f USING (model, gene_id) JOIN customer ON gene_id = c_custkey WHERE c_nationkey % 7 <> 0""")
+def merged_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics and goodness of fit of all models with the annotation; series without a cluster fall out."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("model"), F.col("o_custkey").alias("gene_id"), "o_totalprice", "o_orderstatus")
+    counts = orders.groupBy("model", "gene_id").agg(F.count("*").alias("n"))
+    fits = orders.where("o_orderstatus <> 'P'").groupBy("model", "gene_id").agg(F.round(F.avg("o_totalprice"), 6).alias("bic"))
+    none = F.when(F.col("c_nationkey") % 14 == 0, F.lit(float("nan"))).when(F.col("c_nationkey") % 7 == 0, F.lit(-1.0))
+    clusters = table(spark, sf, "customer").select(F.col("c_custkey").alias("ensembl_gene_id"), F.coalesce(none, F.col("c_nationkey").cast("double")).alias("cluster"))
+    return compare.merge_models(counts, fits, clusters).select("model", "gene_id", "n", "bic", "cluster")
+
+
+@query("""SELECT s_suppkey AS gene_id, round(s_acctbal, 6) AS beta_mean, n_name AS cluster_name FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) ON s_nationkey = n_nationkey""")
+def annotated_params(spark: SparkSession, sf: str) -> DataFrame:
+    """Parameters with the annotation where there is one."""
+    params = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("gene_id"), F.round("s_acctbal", 6).alias("beta_mean"), "s_nationkey")
+    names = table(spark, sf, "nation").where("n_regionkey <> 2").select(F.col("n_nationkey").alias("s_nationkey_"), F.col("n_name").alias("cluster_name"))
+    return compare.annotated(params, names, "s_nationkey", "s_nationkey_").select("gene_id", "beta_mean", "cluster_name")
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 def semi_accept(spark: SparkSession, sf: str) -> DataFrame:
     good = table(spark, sf, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
@@ -343,17 +384,68 @@ def value_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- reports
 
-EAV = f"""{PRED}, {_errors_sql("pairs", "gene")}, l AS (SELECT gene, sum(-0.5::DOUBLE * ln(2 * pi() * 0.25::DOUBLE) - pow(ln(1 + obs) - ln(1 + pred), 2) / 0.5::DOUBLE) AS ll, count(*) AS c FROM pairs GROUP BY 1)"""
+def _hdi_sql(t: str, keys: str, value: str, out: str) -> str:
+    """The shortest interval over 95 % of the ranks, the first of equals."""
+    k = "least(floor(0.95::DOUBLE * len(v))::BIGINT, len(v) - 1)"
+    return f"""{out}_v AS (SELECT {keys}, list_sort(list({value})) AS v FROM {t} GROUP BY ALL),
+{out}_s AS (SELECT {keys}, v, unnest(range(1, len(v) - {k} + 1)) AS i, {k} AS k FROM {out}_v),
+{out} AS (SELECT {keys}, arg_min(v[i], (round(v[i + k] - v[i], 9), i)) AS lower, arg_min(v[i + k], (round(v[i + k] - v[i], 9), i)) AS upper FROM {out}_s GROUP BY ALL)"""
+
+
+DRAWN = f"""{DAILY}, {INIT}, told AS (SELECT event_type AS gene, user_id % 40 AS draw, avg(value) AS u FROM events GROUP BY 1, 2),
+params AS (SELECT gene, draw, beta0 * u / avg(u) OVER (PARTITION BY gene) AS beta, 0.1::DOUBLE * avg(u) OVER (PARTITION BY gene) / u AS delta, 0.5::DOUBLE AS sigma, first FROM told JOIN start USING (gene)),
+predicted AS (SELECT gene, draw, time, y AS obs, sigma, first * exp(-delta * time) + beta / delta * (1 - exp(-delta * time)) AS pred FROM params JOIN daily USING (gene)),
+scores AS (SELECT gene, draw, count(*) AS n, sqrt(avg(pow(obs - pred, 2))) / nullif(max(obs) - min(obs), 0) AS nrmse,
+  sum(-0.5::DOUBLE * ln(2 * pi() * sigma * sigma) - pow(ln(1 + obs) - ln(1 + pred), 2) / (2 * sigma * sigma)) AS log_likelihood FROM predicted GROUP BY 1, 2),
+scored AS (SELECT *, 3 * ln(n) - 2 * log_likelihood AS bic FROM scores),
+long AS (UNPIVOT (SELECT gene, draw, nrmse, log_likelihood, bic FROM scored) ON nrmse, log_likelihood, bic INTO NAME metric VALUE value),
+{_hdi_sql("long", "gene, metric", "value", "spans")}"""
+
+
+def _predicted(spark: SparkSession, sf: str) -> DataFrame:
+    """Draws x times of the basic model: each fortieth of the users is a draw, with its own production and decay."""
+    events = table(spark, sf, "events")
+    daily = daily_series(events)
+    told = events.groupBy(F.col("event_type").alias("gene"), (F.col("user_id") % 40).alias("draw")).agg(F.avg("value").alias("u"))
+    started = series.initial_values(daily).select("gene", "first", "beta0")
+    middle = told.groupBy("gene").agg(F.avg("u").alias("m"))
+    draws = told.join(middle, "gene").join(started, "gene")
+    draws = draws.select("gene", "draw", "first", (F.col("beta0") * F.col("u") / F.col("m")).alias("beta"), (0.1 * F.col("m") / F.col("u")).alias("delta"), F.lit(0.5).alias("sigma"))
+    curve = models.basic(F.col("first"), F.col("beta"), F.col("delta"), F.col("time"))
+    return posterior.predictive(draws, daily.withColumnRenamed("y", "obs"), ["gene"], curve)
+
+
+@query(f"WITH {DRAWN} SELECT gene, time, round(avg(pred), 6) AS mean, round(median(pred), 6) AS median FROM predicted GROUP BY 1, 2")
+def posterior_predictive(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean and median curve over the draws."""
+    return rounded(posterior.mean_median(_predicted(spark, sf), ["gene", "time"], "pred"))
+
+
+@query(f"WITH {DRAWN} SELECT gene, metric, round(avg(value), 6) AS mean, round(max(lower), 6) AS lower, round(max(upper), 6) AS upper FROM long JOIN spans USING (gene, metric) GROUP BY 1, 2")
+def gof_from_draws(spark: SparkSession, sf: str) -> DataFrame:
+    """NRMSE, log-likelihood and BIC of every draw, their means and shortest 95 % intervals."""
+    return rounded(posterior.goodness_of_draws(posterior.fit_of_draws(_predicted(spark, sf), ["gene"], free=len(models.PRIORS["basic"])), ["gene"]))
+
+
+_METRICS = (("nrmse", "NRMSE", "y"), ("log_likelihood", "Log-Likelihood", "y"), ("bic", "BIC", "model"))
+_WIDE = ", ".join(
+    f"round(max({v}) FILTER (metric = '{m}'), 6) AS {name}{end}"
+    for m, name in (("nrmse", "nrmse"), ("log_likelihood", "loglik"), ("bic", "bic"))
+    for v, end in (("mean", ""), ("lower", "_lower"), ("upper", "_upper"))
+)
 
 
-@query(f"WITH {EAV} SELECT gene, round(rmse / nullif(span, 0), 6) AS nrmse, round(ll, 6) AS loglik, round(3 * ln(c) - 2 * ll, 6) AS bic FROM err JOIN l USING (gene)")
+@query(f"""WITH {DRAWN}, g AS (SELECT gene, metric, avg(value) AS mean, max(lower) AS lower, max(upper) AS upper FROM long JOIN spans USING (gene, metric) GROUP BY 1, 2)
+SELECT gene, {_WIDE} FROM g GROUP BY 1""")
 def gof_wide(spark: SparkSession, sf: str) -> DataFrame:
-    """Metric rows as a report has them, with repeats, back to one row a series."""
-    pairs = _pairs(spark, sf)
-    both = metrics.errors(pairs, ["gene"]).select("gene", "nrmse_range").join(metrics.likelihood(pairs, ["gene"], 0.5, 3), "gene")
-    null = F.lit(None).cast("double")
-    lines = F.array(*(F.struct(F.lit(i).alias("line"), F.lit(m).alias("metric"), y.alias("y"), b.alias("model")) for i, (m, y, b) in enumerate((("NRMSE", F.col("nrmse_range"), null), ("Log-Likelihood", F.col("log_likelihood"), null), ("BIC", null, F.col("bic")), ("NRMSE", F.lit(-1.0), null)))))
-    rows = both.select("gene", F.explode(lines).alias("r")).select("gene", "r.*")
+    """Metric rows as a report has them, every line twice with a wrong second one, back to one row a series of nine columns."""
+    found = gof_from_draws(spark, sf)
+    ends = (("mean", ""), ("lower", " (95%-hdi[lower])"), ("upper", " (95%-hdi[upper])"))
+    lines = [(i, m, c, f"{name}{end}", side) for i, ((m, name, side), (c, end)) in enumerate((x, y) for x in _METRICS for y in ends)]
+    of = lambda side, s, c: (F.col(c) if side == s else F.lit(None)).cast("double")
+    row = lambda i, m, c, name, side, late: F.when(F.col("metric") == m, F.struct(F.lit(i + late).alias("line"), F.lit(name).alias("metric"), (of(side, "y", c) + late).alias("y"), (of(side, "model", c) + late).alias("model")))
+    each = F.array_compact(F.array(*(row(*x, late) for x in lines for late in (0, 100))))
+    rows = found.select("gene", F.explode(each).alias("r")).select("gene", "r.*")
     return rounded(collect.goodness_wide(rows, ["gene"], "line"))
 
 
@@ -397,6 +489,73 @@ def box_stats(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(dists.box(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice"))
 
 
+_LABELS = "CASE cluster " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in compare.CLUSTERS.items()) + " END"
+_METRIC_COLUMNS = ["nrmse_range", "mase", "spearman"]
+
+
+@query(f"""WITH {FITS}, long AS (UNPIVOT (SELECT cluster, model, nrmse_range, mase, spearman FROM fits) ON nrmse_range, mase, spearman INTO NAME metric VALUE value)
+SELECT cluster, {_LABELS} AS cluster_name, model, metric, round(median(value), 5) AS median, round(quantile_cont(value, 0.05), 5) AS lo, round(quantile_cont(value, 0.95), 5) AS hi FROM long GROUP BY ALL""")
+def model_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Median and 90 % interval of each metric by cluster and model, clusters by name."""
+    long = _fits(spark, sf).unpivot(["cluster", "model"], _METRIC_COLUMNS, "metric", "value")
+    out = posterior.point_interval(long, ["cluster", "model", "metric"], "value")
+    return rounded(compare.labelled(out, "cluster", {k: v for k, v in compare.CLUSTERS.items()}, "cluster_name"), 5)
+
+
+def _kde_sql(source: str, keys: str) -> str:
+    return f"""e AS (SELECT {keys}, min(x) AS lo, max(x) AS hi, stddev_samp(x) * pow(count(*), -0.2::DOUBLE) AS h, count(*) AS n FROM {source} GROUP BY ALL),
+g AS (SELECT *, unnest(range(0, 50)) AS i FROM e WHERE h > 0),
+density AS (SELECT {keys}, i, lo + (hi - lo) * i / 49 AS x, sum(exp(-0.5::DOUBLE * pow((lo + (hi - lo) * i / 49 - s.x) / h, 2))) / (n * h * 2.5066282746310002::DOUBLE) AS density
+  FROM g JOIN {source} s USING ({keys}) GROUP BY {keys}, i, lo, hi, n, h)"""
+
+
+@query(f"""WITH {FITS}, shown AS (SELECT model, cluster, round(nrmse_range, 8) AS x FROM fits WHERE round(nrmse_range, 8) < 1 AND round(mase, 8) < 2), {_kde_sql("shown", "model, cluster")},
+q AS (SELECT model, cluster, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS q2, quantile_cont(x, 0.75) AS q3 FROM shown GROUP BY ALL)
+SELECT model, cluster, i, round(x, 6) AS x, round(density, 6) AS density, round(q1, 6) AS q1, round(q2, 6) AS q2, round(q3, 6) AS q3 FROM density JOIN q USING (model, cluster)""")
+def violin_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Density and quartiles of the errors in plot range, by model and cluster."""
+    return rounded(dists.violin(compare.in_plot_range(_fits(spark, sf)), ["model", "cluster"], "nrmse_range"))
+
+
+@query(f"""WITH {FITS}, s AS (SELECT model, cluster, round(nrmse_range, 8) AS v FROM fits WHERE nrmse_range IS NOT NULL), e AS (SELECT model, min(v) AS lo, max(v) AS hi FROM s GROUP BY 1)
+SELECT model, cluster, least(coalesce(floor((v - lo) / nullif((hi - lo) / 50, 0)), 0)::BIGINT + 1, 50) AS bin, count(*) AS n FROM s JOIN e USING (model) GROUP BY ALL""")
+def hist50_by_cluster(spark: SparkSession, sf: str) -> DataFrame:
+    """Histograms by model and cluster; the clusters of a model share their bins."""
+    return dists.histogram(_fits(spark, sf), ["model", "cluster"], "nrmse_range", edges=["model"])
+
+
+@query("""WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), g AS (SELECT i, lo + i * ((hi - lo) / 49) AS x FROM e, range(0, 50) AS k(i)),
+f AS (SELECT DISTINCT l_returnflag FROM lineitem)
+SELECT l_returnflag, i, round(x, 6) AS x, round((count(l_extendedprice) FILTER (l_extendedprice <= x OR i = 49))::DOUBLE / count(*), 8) AS cdf FROM g, f JOIN lineitem USING (l_returnflag) GROUP BY 1, 2, 3""")
+def cumulative_on_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Cumulative shares of several groups on one grid."""
+    return rounded(dists.cumulative(table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice"), ["l_returnflag"], "l_extendedprice"), cdf=8)
+
+
+@query(f"""WITH p AS (SELECT n_regionkey::BIGINT AS cluster, log10(s_acctbal) AS x FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0), {_kde_sql("p", "cluster")}
+SELECT {_LABELS} AS cluster_name, i, round(x, 6) AS x, round(density, 6) AS density FROM density""")
+def param_kde_by_cluster(spark: SparkSession, sf: str) -> DataFrame:
+    """Densities of the logarithm of a positive parameter, each cluster on its own, by name."""
+    nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").cast("int").alias("cluster"))
+    params = table(spark, sf, "supplier").select("s_nationkey", F.col("s_acctbal").alias("beta_mean")).join(nation, "s_nationkey").where("beta_mean > 0")
+    return rounded(compare.labelled(dists.kde(params, "cluster", "beta_mean"), "cluster", compare.CLUSTERS, "cluster_name").drop("cluster"))
+
+
+_ORDER = ", ".join(f"({i}, '{p}')" for i, p in enumerate([*PRIORITIES, "6-NONE"], 1))
+
+
+@query(f"""WITH {FITS}, o(place, model) AS (VALUES {_ORDER}), good AS (SELECT * FROM flagged WHERE ok)
+SELECT c.cluster, o.model, place::BIGINT AS place, count(good.gene) AS n FROM (SELECT DISTINCT cluster FROM good) c CROSS JOIN o LEFT JOIN good ON good.cluster = c.cluster AND good.model = o.model GROUP BY ALL""")
+def accept_count_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Accepted series by cluster for every model of a fixed order, with 0 where there is none."""
+    return rounded(compare.ordered_counts(_fits(spark, sf).where("ok"), ["cluster"], "model", [*PRIORITIES, "6-NONE"]))
+
+
+@query("SELECT * FROM (SELECT 'l_quantity' AS variable, min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem UNION ALL SELECT 'l_extendedprice', min(l_extendedprice), max(l_extendedprice) FROM lineitem)")
+def variable_extremes(spark: SparkSession, sf: str) -> DataFrame:
+    return dists.extremes(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"])
+
+
 # ---- inference
 
 

@@ -10,19 +10,43 @@ from pyspark.sql import functions as F
 from ..functions.safe import divide, missing
 
 SPEARMAN, NRMSE, MASE = 0.7, 0.2, 1.0
+NRMSE_SHOWN, MASE_SHOWN = 1.0, 2.0
+#: Keys of header rows that concatenated files repeat, in lower case.
+HEADERS = ("geneid", "gene_id", "ensembl_gene_id")
+#: Names of the clusters, fixed values.
+CLUSTERS = {0: "SD", 1: "TU pre-ZGA", 2: "TU post-ZGA", 3: "SU ZGA", 4: "SU post-ZGA"}
 
 
-def merge_models(models: dict[str, tuple[DataFrame, DataFrame]], annotation: DataFrame, key: str = "gene_id", other: str = "ensembl_gene_id") -> DataFrame:
+def clustered(annotation: DataFrame, cluster: str = "cluster", noise: bool = False) -> DataFrame:
+    """Rows that have a cluster; without ``noise``, negative ones are left out, too. NaN is no cluster."""
+    c = missing(F.col(cluster).cast("double"))
+    return annotation.where(c.isNotNull() if noise else c >= 0)
+
+
+def merge_models(metrics: DataFrame, fits: DataFrame, annotation: DataFrame, key: str = "gene_id", other: str = "ensembl_gene_id") -> DataFrame:
     """All models' metrics with their goodness of fit and the annotation, one row a model and series.
 
-    Stray header rows are left out. Each model is a literal column of one union, joined once.
+    Both tables hold all models with a column ``model``, so each is read and joined once. Stray header rows are left out.
     """
-    metrics = fits = None
-    for name, (a, b) in models.items():
-        a, b = a.where(F.col(key) != F.lit("GeneID")).withColumn("model", F.lit(name)), b.withColumn("model", F.lit(name))
-        metrics = a if metrics is None else metrics.unionByName(a, allowMissingColumns=True)
-        fits = b if fits is None else fits.unionByName(b, allowMissingColumns=True)
-    return metrics.join(fits, ["model", key]).join(annotation.where("cluster >= 0"), F.col(key) == F.col(other)).drop(other)
+    metrics = metrics.where(~F.lower(F.col(key).cast("string")).isin(*HEADERS))
+    joined = metrics.join(fits, ["model", key])
+    return joined.join(clustered(annotation), F.col(key) == F.col(other)).drop(other)
+
+
+def annotated(params: DataFrame, annotation: DataFrame, key: str = "gene_id", other: str = "ensembl_gene_id") -> DataFrame:
+    """All parameters, with the annotation where there is one; clusters are kept as they are, noise included."""
+    return params.join(annotation, F.col(key) == F.col(other), "left").drop(other)
+
+
+def in_plot_range(rows: DataFrame, nrmse: str = "nrmse_range", mase: str = "mase") -> DataFrame:
+    """Rows whose errors are shown; undefined errors are not."""
+    return rows.where((missing(F.col(nrmse)) < NRMSE_SHOWN) & (missing(F.col(mase)) < MASE_SHOWN))
+
+
+def labelled(rows: DataFrame, column: str, labels: dict, out: str) -> DataFrame:
+    """``out``: the label of each code, null for a code without one."""
+    pairs = [F.lit(x) for pair in labels.items() for x in pair]
+    return rows.withColumn(out, F.try_element_at(F.create_map(*pairs), F.col(column)) if pairs else F.lit(None).cast("string"))
 
 
 def accepted(spearman: str = "spearman", nrmse: str = "nrmse_range", mase: str = "mase") -> Column:
@@ -43,11 +67,19 @@ def accept_heatmap(rows: DataFrame, model: str, cluster: str, flag: Column, orde
     One conditional count in place of two counts and a join. A group without accepted rows has 0.
     """
     ratio = rows.dropna(subset=[model, cluster]).groupBy(cluster, model).agg((divide(F.count_if(flag), F.count("*")) * 100).alias("ratio"))
-    return ratio.groupBy(cluster).pivot(model, order).agg(F.first("ratio"))
+    return ratio.groupBy(cluster).pivot(model, order).agg(F.first("ratio")).orderBy(cluster)
 
 
 def value_counts(rows: DataFrame, column: str) -> DataFrame:
-    return rows.dropna(subset=[column]).groupBy(column).agg(F.count("*").alias("n"))
+    """Counts of a column's values, most frequent first, ties by value."""
+    return rows.dropna(subset=[column]).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
+
+
+def ordered_counts(rows: DataFrame, keys: list[str], column: str, order: list) -> DataFrame:
+    """(keys, column, place, n): how often each entry of ``order`` occurs in a group, 0 where it does not, in that order."""
+    n = F.array(*(F.struct(F.lit(i + 1).alias("place"), F.lit(x).alias(column), F.count_if(F.col(column) == x).alias("n")) for i, x in enumerate(order)))
+    out = rows.groupBy(*keys).agg(n.alias("_each")).select(*keys, F.inline("_each"))
+    return out.select(*keys, column, "place", "n").orderBy(*keys, "place")
 
 
 def venn_pairs(rows: DataFrame, group: str, member: str, names: list[str], keys: list[str] | None = None) -> DataFrame:

@@ -6,15 +6,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.safe import divide
+from ..functions.safe import divide, missing
+from .ranks import percentiles
 
 
-def histogram(rows: DataFrame, key: str, value: str, bins: int = 50) -> DataFrame:
-    """Counts in equal bins between each group's extremes; the last bin includes the maximum."""
-    ends = rows.groupBy(key).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+def _edges(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """lo and hi of each group; without keys one row over all."""
+    ends = rows.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    return ends if keys else ends.withColumn("_one", F.lit(1))
+
+
+def histogram(rows: DataFrame, key: str | list[str], value: str, bins: int = 50, edges: list[str] | None = None) -> DataFrame:
+    """Counts in equal bins; the last bin includes the maximum.
+
+    Bins lie between the extremes of each group of ``edges`` (by default of ``key``), so that groups that differ in other keys
+    share them. Missing values are in no bin.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    by = keys if edges is None else edges
+    rows = rows.withColumn(value, missing(F.col(value))).where(F.col(value).isNotNull())
     width = (F.col("hi") - F.col("lo")) / float(bins)
     bin_ = F.least(F.coalesce(F.floor(divide(F.col(value) - F.col("lo"), width)), F.lit(0)) + 1, F.lit(bins)).cast("long")
-    return rows.join(ends, key).groupBy(key, bin_.alias("bin")).agg(F.count("*").alias("n"))
+    rows = rows if by else rows.withColumn("_one", F.lit(1))
+    return rows.join(_edges(rows, by, value), by or "_one").groupBy(*keys, bin_.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def cumulative(rows: DataFrame, keys: list[str], value: str, points: int = 50, common: list[str] | None = None) -> DataFrame:
+    """(keys, i, x, cdf): the exact cumulative share of each group on a grid that all groups of ``common`` have in common.
+
+    Values fall in the cells of the grid by partial aggregation; the sums over the few cells follow.
+    """
+    by = common or []
+    rows = rows.withColumn(value, missing(F.col(value))).where(F.col(value).isNotNull()).withColumn("_one", F.lit(1))
+    step = (F.col("hi") - F.col("lo")) / float(points - 1)
+    placed = rows.join(_edges(rows, by, value), by or "_one").withColumn("i", F.coalesce(F.ceil(divide(F.col(value) - F.col("lo"), step)), F.lit(0)).cast("long"))
+    # rounding may put a value one cell off its grid point; compare with the point itself
+    at = lambda i: F.col("lo") + i * step
+    cell = F.when(F.col(value) > at(F.col("i")), F.col("i") + 1).when((F.col("i") > 0) & (F.col(value) <= at(F.col("i") - 1)), F.col("i") - 1).otherwise(F.col("i"))
+    counts = placed.withColumn("i", F.least(cell, F.lit(points - 1).cast("long"))).groupBy(*keys, "lo", "hi", "i").agg(F.count("*").alias("_n"))
+    wide = counts.groupBy(*keys, "lo", "hi").agg(F.map_from_entries(F.collect_list(F.struct("i", "_n"))).alias("_cells"), F.sum("_n").alias("_all"))
+    up_to = lambda i: F.aggregate(F.sequence(F.lit(0).cast("long"), i), F.lit(0).cast("long"), lambda acc, j: acc + F.coalesce(F.try_element_at(F.col("_cells"), j), F.lit(0)))
+    grid = wide.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))).alias("i"))
+    return grid.select(*keys, "i", at(F.col("i")).alias("x"), (up_to(F.col("i")) / F.col("_all")).alias("cdf"))
+
+
+def violin(rows: DataFrame, keys: list[str], value: str, points: int = 50) -> DataFrame:
+    """(keys, i, x, density, q1, q2, q3): density of the values themselves with the quartiles of each group."""
+    q = percentiles(rows, keys, value, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    return kde(rows, keys, value, points, log=False).join(q, keys)
 
 
 def ecdf(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -24,26 +63,34 @@ def ecdf(rows: DataFrame, key: str, value: str) -> DataFrame:
     return counts.select(key, value, (F.sum("n").over(up_to) / F.sum("n").over(Window.partitionBy(key))).alias("cdf"))
 
 
-def kde(rows: DataFrame, key: str, value: str, points: int = 50) -> DataFrame:
-    """Gaussian kernel density of log10 values on an even grid, Scott's bandwidth, each group on its own.
+def kde(rows: DataFrame, key: str | list[str], value: str, points: int = 50, log: bool = True, cut: float = 0.0) -> DataFrame:
+    """Gaussian kernel density on an even grid, Scott's bandwidth, each group on its own.
 
-    Every row adds its kernel to a grid held as an array of sums, so grid and sample never multiply into rows.
+    Of positive values the log10 is taken, or with ``log=False`` all values as they are; the grid reaches ``cut`` bandwidths beyond the
+    extremes. Every row adds its kernel to a grid held as columns of sums, so grid and sample never multiply into rows.
     """
-    x = rows.where(F.col(value) > 0).select(key, F.log10(value).alias("x"))
-    ends = x.groupBy(key).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), (F.stddev_samp("x") * F.pow(F.count("*").cast("double"), F.lit(-0.2))).alias("h"), F.count("*").alias("n"))
-    ends = ends.where("h > 0")
+    keys = [key] if isinstance(key, str) else list(key)
+    v = missing(F.col(value))
+    x = rows.where(v > 0).select(*keys, F.log10(v).alias("x")) if log else rows.where(v.isNotNull()).select(*keys, v.alias("x"))
+    ends = x.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), (F.stddev_samp("x") * F.pow(F.count("*").cast("double"), F.lit(-0.2))).alias("h"), F.count("*").alias("n"))
+    ends = ends.where("h > 0").withColumn("lo", F.col("lo") - cut * F.col("h")).withColumn("hi", F.col("hi") + cut * F.col("h"))
     kernel = lambda i: F.exp(-0.5 * F.pow((F.col("lo") + (F.col("hi") - F.col("lo")) * i / float(points - 1) - F.col("x")) / F.col("h"), F.lit(2.0)))
-    sums = x.join(ends, key).groupBy(key, "lo", "hi", "h", "n").agg(*(F.sum(kernel(i)).alias(f"k{i}") for i in range(points)))
+    sums = x.join(ends, keys).groupBy(*keys, "lo", "hi", "h", "n").agg(*(F.sum(kernel(i)).alias(f"k{i}") for i in range(points)))
     each = F.posexplode(F.array(*(F.col(f"k{i}") for i in range(points)))).alias("i", "k")
-    out = sums.select(key, "lo", "hi", "h", "n", each)
-    return out.select(key, F.col("i").cast("long").alias("i"), (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / float(points - 1)).alias("x"), (F.col("k") / (F.col("n") * F.col("h") * 2.5066282746310002)).alias("density"))
+    out = sums.select(*keys, "lo", "hi", "h", "n", each)
+    return out.select(*keys, F.col("i").cast("long").alias("i"), (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / float(points - 1)).alias("x"), (F.col("k") / (F.col("n") * F.col("h") * 2.5066282746310002)).alias("density"))
 
 
 def box(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Quartiles, whiskers within 1.5 interquartile ranges, and the number of fliers."""
-    q = rows.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"))
+    q = percentiles(rows, keys, value, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     v = F.when(inside, F.col(value))
     return rows.join(q, keys).groupBy(*keys, "q1", "q2", "q3").agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count_if(~inside).alias("fliers"))
+
+
+def extremes(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(variable, min, max) of each column, as a settings file has them."""
+    each = F.array(*(F.struct(F.lit(c).alias("variable"), F.min(missing(F.col(c))).alias("min"), F.max(missing(F.col(c))).alias("max")) for c in columns))
+    return rows.agg(each.alias("_each")).select(F.inline("_each"))

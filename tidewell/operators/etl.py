@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import missing, sum0
 
+#: Time points in one list of the grid; there are far fewer of them than series.
+MOST_INDEXES = 100_000
+
 
 def melt(wide: DataFrame, ids: list[str], names: str = "sample_id", values: str = "value") -> DataFrame:
     """Every column but the ids as rows; nulls stay."""
@@ -27,12 +30,14 @@ def series_from_wide(wide: DataFrame, samples: DataFrame, gene: str = "ensembl_g
 
 
 def densify(rows: DataFrame, key: str, index: str, value: str) -> DataFrame:
-    """Every key at every integer index between the least and greatest of all; missing values are null.
+    """Every key at every index that any key has; missing values are null, null keys and indexes have no row.
 
-    The grid is a generated sequence for each key, not a product of two tables.
+    Each key takes the sorted list of distinct indexes with it, so the grid costs a join with one row; a list of more
+    than ``MOST_INDEXES`` is cut into several such rows.
     """
-    low, high = rows.agg(F.min(index), F.max(index)).first()
-    if low is None:
-        return rows.select(key, index, value)
-    grid = rows.select(key).distinct().withColumn(index, F.explode(F.sequence(F.lit(low), F.lit(high))))
-    return grid.join(rows, [key, index], "left").select(key, index, value)
+    present = rows.where(F.col(key).isNotNull() & F.col(index).isNotNull())
+    block = F.pmod(F.xxhash64(index), F.lit(-(-present.select(index).distinct().count() // MOST_INDEXES) or 1))
+    lists = present.select(index).distinct().groupBy(block.alias("_block")).agg(F.collect_list(index).alias("_all"))
+    lists = lists.withColumn("_one", F.lit(1))
+    grid = present.select(key).distinct().withColumn("_one", F.lit(1)).join(F.broadcast(lists), "_one").select(key, F.explode("_all").alias(index))
+    return grid.join(present.select(key, index, value), [key, index], "left").select(key, index, value)

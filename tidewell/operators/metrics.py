@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,23 +24,45 @@ def spearman(rows: DataFrame, keys: list[str], a: str, b: str, out: str = "spear
     return ranked.groupBy(*keys).agg(correlation(F.col("_ra"), F.col("_rb")).alias(out))
 
 
+def _complete(rows: DataFrame, obs: str, pred: str) -> DataFrame:
+    """Rows whose sides are both there."""
+    return rows.where(missing(F.col(obs)).isNotNull() & missing(F.col(pred)).isNotNull())
+
+
+def _error_columns(obs: str, pred: str, mean: str) -> list[Column]:
+    rmse = F.sqrt(F.avg(F.pow(F.col(obs) - F.col(pred), F.lit(2.0))))
+    return [
+        F.count("*").alias("n"),
+        rmse.alias("rmse"),
+        divide(rmse, F.max(obs) - F.min(obs)).alias("nrmse_range"),
+        divide(rmse, F.avg(obs)).alias("nrmse_mean"),
+        divide(rmse, F.stddev_pop(obs)).alias("nrmse_std"),
+        divide(F.sum(F.abs(F.col(obs) - F.col(pred))), F.sum(F.abs(F.col(obs) - F.col(mean)))).alias("mase"),
+    ]
+
+
 def errors(rows: DataFrame, keys: list[str], obs: str = "obs", pred: str = "pred") -> DataFrame:
-    """n, rmse, nrmse_range, nrmse_mean, nrmse_std (population), mase by group.
+    """n, rmse, nrmse_range, nrmse_mean, nrmse_std (population), mase by group, over rows with both sides.
 
     mase divides the absolute error by the absolute deviation from the group's own mean.
     """
-    mean = F.avg(obs).over(Window.partitionBy(*keys))
-    rows = rows.withColumn("_mean", mean)
-    rmse = F.sqrt(F.avg(F.pow(F.col(obs) - F.col(pred), F.lit(2.0))))
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), rmse.alias("rmse"),
-        divide(rmse, F.max(obs) - F.min(obs)).alias("nrmse_range"), divide(rmse, F.avg(obs)).alias("nrmse_mean"), divide(rmse, F.stddev_pop(obs)).alias("nrmse_std"),
-        divide(F.sum(F.abs(F.col(obs) - F.col(pred))), F.sum(F.abs(F.col(obs) - F.col("_mean")))).alias("mase"),
-    )
+    rows = _complete(rows, obs, pred).withColumn("_mean", F.avg(obs).over(Window.partitionBy(*keys)))
+    return rows.groupBy(*keys).agg(*_error_columns(obs, pred, "_mean"))
 
 
 def fit_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return errors(rows, keys).join(spearman(rows, keys, "obs", "pred"), keys)
+    """The errors and the rank correlation of each group, in one partitioning by its keys.
+
+    A group without any complete row is there with n = 0 and nulls.
+    """
+    rows = rows.withColumn("_ok", missing(F.col("obs")).isNotNull() & missing(F.col("pred")).isNotNull())
+    for c in ("obs", "pred"):
+        rows = rows.withColumn(c, F.when(F.col("_ok"), F.col(c)))
+    by = Window.partitionBy(*keys)
+    rank = lambda c: F.when(F.col("_ok"), F.rank().over(by.orderBy(F.col(c).asc_nulls_last())) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2.0)
+    rows = rows.withColumns({"_mean": F.avg("obs").over(by), "_ra": rank("obs"), "_rb": rank("pred")})
+    columns = [F.count("obs").alias("n"), *_error_columns("obs", "pred", "_mean")[1:]]
+    return rows.groupBy(*keys).agg(*columns, correlation(F.col("_ra"), F.col("_rb")).alias("spearman"))
 
 
 def residual_diagnostics(rows: DataFrame, keys: list[str], time: str = "time", lag: int = 1) -> DataFrame:

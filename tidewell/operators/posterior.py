@@ -5,40 +5,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.safe import missing, significant
+from ..functions.models import observe, residual
+from ..functions.safe import divide, missing, significant
+from .ranks import percentile_of, percentiles, ranked, shortest_interval
 
 
 def mean_median(draws: DataFrame, keys: list[str], value: str) -> DataFrame:
-    x = missing(F.col(value))
-    return draws.groupBy(*keys).agg(F.avg(x).alias("mean"), F.median(x).alias("median"))
-
-
-def hdi(sorted_values: Column, mass: float = 0.95) -> Column:
-    """Shortest interval (lo, hi) that holds floor(mass * n) steps of a sorted array; the first of equals.
-
-    Widths are compared at nine digits, so that equal widths tie on every engine.
-    """
-    n = F.size(sorted_values)
-    k = F.floor(F.lit(mass) * n).cast("int")
-    k = F.least(k, n - 1)
-    starts = F.sequence(F.lit(0), n - 1 - k)
-    spans = F.transform(starts, lambda i: F.struct(F.round(F.get(sorted_values, i + k) - F.get(sorted_values, i), 9).alias("width"), i.alias("i"), F.get(sorted_values, i).alias("lo"), F.get(sorted_values, i + k).alias("hi")))
-    return F.when(n > 0, F.array_min(spans))
+    """Mean and exact median of each group; groups without values are not there."""
+    return ranked(draws, keys, value).groupBy(*keys).agg(F.avg("v").alias("mean"), percentile_of(0.5).alias("median"))
 
 
 def hdi_by(draws: DataFrame, keys: list[str], value: str, mass: float = 0.95) -> DataFrame:
-    """hdi_lo and hdi_hi by group; a group's draws are one array, so keys should bound their number."""
-    grouped = draws.groupBy(*keys).agg(F.sort_array(F.collect_list(missing(F.col(value)))).alias("_v"))
-    best = hdi(F.col("_v"), mass)
-    return grouped.select(*keys, best["lo"].alias("hdi_lo"), best["hi"].alias("hdi_hi"))
+    """hdi_lo and hdi_hi of each group. Widths are compared at nine digits, so that equal widths tie on every engine."""
+    return shortest_interval(draws, keys, value, mass)
 
 
 def point_interval(rows: DataFrame, keys: list[str], value: str, mass: float = 0.9) -> DataFrame:
     """Median and the central percentile interval."""
     tail = (1 - mass) / 2
-    x = missing(F.col(value))
-    p = F.percentile(x, F.array(F.lit(tail), F.lit(1 - tail)))
-    return rows.groupBy(*keys).agg(F.median(x).alias("median"), p[0].alias("lo"), p[1].alias("hi"))
+    return percentiles(rows, keys, value, {"median": 0.5, "lo": tail, "hi": 1 - tail})
+
+
+def predictive(draws: DataFrame, times: DataFrame, keys: list[str], curve: Column, sigma: Column | None = None, seed: int = 10) -> DataFrame:
+    """Predictions ``pred`` of every draw at every time of its series, an equi-join of draws and times on ``keys``.
+
+    ``curve`` is a model's expression over the columns of both. With ``sigma``, normal noise is added on the log1p scale:
+    these are new observations, otherwise the model's own curve. Noise hangs on the draw and the time alone, so a retried task repeats it.
+    """
+    both = draws.join(times, keys).withColumn("pred", curve)
+    if sigma is None:
+        return both
+    u = lambda n: (F.pmod(F.xxhash64(*keys, "draw", "time", F.lit(seed + n)), F.lit(1 << 53)) + 1) / float((1 << 53) + 1)
+    noise = F.sqrt(-2.0 * F.log(u(0))) * F.cos(6.283185307179586 * u(1))
+    return both.withColumn("pred", observe(sigma * noise, F.col("pred")))
+
+
+def fit_of_draws(predicted: DataFrame, keys: list[str], sigma: str = "sigma", free: int | Column = 3) -> DataFrame:
+    """n, nrmse (by the observed range), log_likelihood and bic of every draw, of predictions beside ``obs``."""
+    rows = predicted.where(missing(F.col("obs")).isNotNull() & missing(F.col("pred")).isNotNull())
+    r, s = residual(F.col("obs"), F.col("pred")), F.col(sigma)
+    each = -0.5 * F.log(6.283185307179586 * s * s) - r * r / (2.0 * s * s)
+    out = rows.groupBy(*keys, "draw").agg(
+        F.count("*").alias("n"),
+        divide(F.sqrt(F.avg(F.pow(F.col("obs") - F.col("pred"), F.lit(2.0)))), F.max("obs") - F.min("obs")).alias("nrmse"),
+        F.sum(each).alias("log_likelihood"),
+    )
+    k = F.lit(float(free)) if isinstance(free, int) else free
+    return out.withColumn("bic", k * F.log(F.col("n").cast("double")) - 2.0 * F.col("log_likelihood"))
+
+
+def goodness_of_draws(scores: DataFrame, keys: list[str], mass: float = 0.95) -> DataFrame:
+    """(keys, metric, mean, lower, upper): mean and shortest interval over the draws of each metric of ``fit_of_draws``."""
+    long = scores.unpivot([*keys, "draw"], ["nrmse", "log_likelihood", "bic"], "metric", "value")
+    by = [*keys, "metric"]
+    means = long.groupBy(*by).agg(F.avg(missing(F.col("value"))).alias("mean"))
+    spans = shortest_interval(long, by, "value", mass)
+    return means.join(spans, by).select(*by, "mean", F.col("hdi_lo").alias("lower"), F.col("hdi_hi").alias("upper"))
 
 
 def estimates(draws: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.safe import missing
+from ..functions.stable import stable
 
 
 def time_slice(rows: DataFrame, low: float, high: float, time: str = "time") -> DataFrame:
@@ -43,13 +44,15 @@ def initial_values(rows: DataFrame, high: float | None = None) -> DataFrame:
 
 def regrid(rows: DataFrame, grid: DataFrame) -> DataFrame:
     """y of each series at the (gene, time) rows of ``grid``, linearly between its neighbours, null outside."""
-    known = rows.select("gene", "time", "y", F.col("time").alias("knot"), F.lit(False).alias("asked"))
+    known = rows.where(missing(F.col("y")).isNotNull()).select("gene", "time", "y", F.col("time").alias("knot"), F.lit(False).alias("asked"))
     asked = grid.select("gene", "time", F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("knot"), F.lit(True).alias("asked"))
     back = Window.partitionBy("gene").orderBy("time").rangeBetween(Window.unboundedPreceding, 0)
-    on = Window.partitionBy("gene").orderBy("time").rangeBetween(0, Window.unboundedFollowing)
+    # the knot after a time is the last one before it from the other end: growing frames, read once
+    on = Window.partitionBy("gene").orderBy(F.desc("time")).rangeBetween(Window.unboundedPreceding, 0)
     both = known.union(asked)
-    for name, f, w in (("0", F.last, back), ("1", F.first, on)):
-        both = both.withColumn("t" + name, f("knot", ignorenulls=True).over(w)).withColumn("y" + name, f("y", ignorenulls=True).over(w))
+    for name, w in (("0", back), ("1", on)):
+        both = both.withColumn("_k", F.last(F.when(F.col("knot").isNotNull(), F.struct("knot", "y")), ignorenulls=True).over(w))
+        both = both.withColumn("t" + name, F.col("_k.knot")).withColumn("y" + name, F.col("_k.y"))
     lerp = F.when(F.col("t0") == F.col("t1"), F.col("y0")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("time") - F.col("t0")) / F.nullif(F.col("t1") - F.col("t0"), F.lit(0.0)))
     return both.where("asked").select("gene", "time", lerp.alias("y"))
 
@@ -66,7 +69,7 @@ def chunks(rows: DataFrame, key: str, size: int = 500, parts: int = 64) -> DataF
 
     Rows are numbered inside key ranges and shifted by the sizes of the ranges before, so no task sees all rows.
     """
-    ranged = rows.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id())
+    ranged = stable(rows.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     shift = sizes.select(F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
     numbered = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(key)))

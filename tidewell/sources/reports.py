@@ -1,53 +1,146 @@
-"""Per-series report files: key/value goodness of fit, and packed parameter tables."""
+"""Per-series report files and settings: text lines with their numbers, tidy rows.
+
+Report, settings and list files are small, so a file is one row that is cut into lines: line numbers are exact
+whatever the partitioning, and nothing passes through Python. Missing files give no rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-GOODNESS = "metric STRING, y DOUBLE, model DOUBLE"
-PARAMETERS = "param STRING, value STRING"
 GENE = r"ENSDARG[0-9]+"
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def basename(path: Column) -> Column:
+    """The last part of a path."""
+    return F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
+
+
+def file_lines(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """(path, line, value) of every line of the text files at or below ``path``, numbered from 1 in each file."""
+    reader = spark.read.option("recursiveFileLookup", True)
+    files = (reader.option("pathGlobFilter", name) if name else reader).text(path, wholetext=True)
+    cut = F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n")
+    lines = files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(cut).alias("at", "value"))
+    last = F.max("at").over(Window.partitionBy("path"))
+    return lines.withColumn("_last", last).where((F.col("value") != "") | (F.col("at") < F.col("_last"))).select("path", (F.col("at") + 1).cast("long").alias("line"), "value")
+
+
+def numbered_lines(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """(line, value) of lines first..last of a text file, from 1; first = last reads one line."""
+    return file_lines(spark, path).where(F.col("line").between(first, last)).select("line", "value").orderBy("line")
+
+
+def path_list(spark: SparkSession, path: str) -> DataFrame:
+    """(line, path, name) of a file that lists paths; blank lines are left out."""
+    lines = file_lines(spark, path).where(F.trim("value") != "")
+    return lines.select("line", F.trim("value").alias("path"), basename(F.trim("value")).alias("name")).orderBy("line")
+
 
+def file_count(spark: SparkSession, path: str, name: str) -> int:
+    """How many files of a name are at or below ``path``."""
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).format("binaryFile").load(path).select("path").count()
 
-def _read(spark: SparkSession, path: str, schema: str, name: str) -> DataFrame:
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).csv(path)
-    return df.select(F.regexp_extract(F.col("_metadata.file_path"), GENE, 0).alias("gene_id"), F.col("_metadata.file_path").alias("path"), *df.columns)
+
+def _number(text: Column) -> Column:
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def goodness_of_fit(spark: SparkSession, path: str) -> DataFrame:
-    """(gene_id, path, metric, y, model) of every goodness_of_fit.csv below ``path``; missing files give no rows."""
-    return _read(spark, path, GOODNESS, "goodness_of_fit.csv")
+    """(gene_id, path, line, metric, y, model) of every goodness_of_fit.csv below ``path``, without its header line."""
+    rows = file_lines(spark, path, "goodness_of_fit.csv").where("line > 1")
+    fields = F.split("value", ",")
+    return rows.select(
+        F.regexp_extract("path", GENE, 0).alias("gene_id"), "path", "line",
+        F.get(fields, F.lit(0)).alias("metric"), _number(F.get(fields, F.lit(1))).alias("y"), _number(F.get(fields, F.lit(2))).alias("model"),
+    ).orderBy("path", "line")
 
 
 def parameter_estimates(spark: SparkSession, path: str) -> DataFrame:
-    """(gene_id, path, param, value) of every parameter table below ``path``; rows without a name are left out."""
-    return _read(spark, path, PARAMETERS, "report_table_parameter_estimates.csv").where(F.regexp_replace("param", r"\s", "") != "")
+    """(gene_id, path, line, param, value) of every parameter table below ``path``, split at the first comma; white space in names is dropped."""
+    rows = file_lines(spark, path, "report_table_parameter_estimates.csv").where("line > 1")
+    param = F.regexp_replace(F.regexp_extract("value", "^([^,]*)", 1), r"\s", "")
+    rows = rows.select(F.regexp_extract("path", GENE, 0).alias("gene_id"), "path", "line", param.alias("param"), F.regexp_extract("value", "^[^,]*,(.*)$", 1).alias("value"))
+    return rows.where("param <> ''").orderBy("path", "line")
+
+
+def wide_matrix(spark: SparkSession, path: str, samples: list[str] | None = None) -> DataFrame:
+    """A transcript matrix with one column a sample; without ``samples`` their names are those of the header line."""
+    ids = ["ensembl_gene_id", "ensembl_transcript_id"]
+    if samples is None:
+        samples = [c for c in spark.read.option("header", True).csv(path).columns if c not in ids]
+    schema = ", ".join([*(f"{c} STRING" for c in ids), *(f"`{s}` DOUBLE" for s in samples)])
+    return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def wide_matrix(spark: SparkSession, path: str, samples: list[str]) -> DataFrame:
-    """A transcript matrix with one column a sample."""
-    schema = ", ".join(["ensembl_gene_id STRING", "ensembl_transcript_id STRING", *(f"`{s}` DOUBLE" for s in samples)])
-    return spark.read.schema(schema).option("header", True).csv(path)
+def sample_table(spark: SparkSession, path: str) -> DataFrame:
+    """(sample_id, time_hpf) of a sample file, whatever other columns it has."""
+    return spark.read.option("header", True).csv(path).select("sample_id", F.col("time_hpf").try_cast("double").alias("time_hpf"))
 
 
-def numbered_lines(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
-    """Lines first..last of a text file with their numbers, from 1."""
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
-    return lines.toDF("line long, value string").where(F.col("line").between(first, last))
+def annotation(spark: SparkSession, path: str) -> DataFrame:
+    """(ensembl_gene_id, cluster, tpm_level, type, cluster_name); a cluster that is no number is null."""
+    rows = spark.read.option("header", True).csv(path)
+    return rows.select("ensembl_gene_id", _number(F.col("cluster")).alias("cluster"), *(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("tpm_level", "type", "cluster_name")))
 
 
-def settings(lines: DataFrame) -> DataFrame:
-    """(section, key, value) of an INI text given as (line, value) rows of one file."""
-    from pyspark.sql.window import Window
+def summaries(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """One table with a column ``model`` from the summary files (csv with header) of several models; header rows inside are left out."""
+    out = None
+    for model, path in paths.items():
+        part = spark.read.option("header", True).csv(path).withColumn("model", F.lit(model))
+        key = part.columns[0]
+        part = part.where(F.col(key) != key)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out.select("model", *(F.when(F.col(c).rlike(NUMBER), F.col(c).try_cast("double")).alias(c) if i else F.col(c) for i, c in enumerate(x for x in out.columns if x != "model")))
+
+
+def series_dataset(spark: SparkSession, path: str, kind: str = "mean") -> DataFrame:
+    """A dataset of series in long form (parquet). ``mean``: one row a gene and time; else every sample."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy("gene", "time").agg(F.avg("y").alias("y")) if kind == "mean" else rows
+
+
+def posterior(spark: SparkSession, path: str, model: str | None = None, kind: str | None = None, genes: list[str] | None = None) -> DataFrame:
+    """Stored draws or predictions, pruned to partitions by model and kind; genes are pushed to the scan."""
+    rows = spark.read.parquet(path)
+    for column, wanted in (("model", model), ("kind", kind)):
+        rows = rows if wanted is None else rows.where(F.col(column) == wanted)
+    return rows if genes is None else rows.where(F.col("gene").isin(genes))
+
 
+def settings(lines: DataFrame) -> DataFrame:
+    """(section, key, value) of INI texts given as (line, value) rows; with a column path, of each file by itself."""
+    own = ["path"] if "path" in lines.columns else []
     section = F.regexp_extract("value", r"^\[(.+)\]\s*$", 1)
-    named = lines.withColumn("section", F.last(F.when(section != "", section), ignorenulls=True).over(Window.orderBy("line")))
+    # a file is short; without a path the rows are those of one file
+    order = Window.partitionBy(*own).orderBy("line")
+    named = lines.withColumn("section", F.last(F.when(section != "", section), ignorenulls=True).over(order))
     parts = F.regexp_extract("value", r"^\s*([^=\[#;][^=]*?)\s*=\s*(.*?)\s*$", 1), F.regexp_extract("value", r"^\s*([^=\[#;][^=]*?)\s*=\s*(.*?)\s*$", 2)
-    return named.select("section", parts[0].alias("key"), parts[1].alias("value")).where("key <> ''")
+    return named.select(*own, "section", parts[0].alias("key"), parts[1].alias("value")).where("key <> ''")
+
 
+def terms(value: Column) -> Column:
+    """name -> text of the settings' small language: "f(a=1, b=x)" or "a=1 b=2"."""
+    inside = F.regexp_replace(F.regexp_replace(value, r"^\s*[A-Za-z_]\w*\(", ""), r"\)\s*$", "")
+    pairs = F.filter(F.split(inside, r"[,\s]+"), lambda x: x.contains("="))
+    return F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1), F.substring_index(x, "=", -1))))
 
-def lognormal_terms(value) -> tuple:
+
+def lognormal_terms(value: Column) -> tuple[Column, Column]:
     """(median, sd) of "lognorm(scale=.., s=..)"."""
     take = lambda key: F.regexp_extract(value, rf"{key}=([0-9eE.+-]+)", 1).try_cast("double")
     return take("scale"), take(r"\bs")
+
+
+def lognormal_text(scale: Column, sd: Column) -> Column:
+    """The text that ``lognormal_terms`` reads."""
+    return F.concat(F.lit("lognorm(scale="), scale.cast("string"), F.lit(", s="), sd.cast("string"), F.lit(")"))
+
+
+def case_name(model: Column, kernel: Column, t_end: Column) -> Column:
+    """The folder of a case: model_kernel_end."""
+    return F.concat_ws("_", model, kernel, t_end.cast("string"))

@@ -258,7 +258,7 @@ def posterior_estimates(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- comparison of models: order priorities stand for models, parts for series
 
-FITS = f"""base AS (SELECT o_orderpriority AS model, l_partkey AS gene, l_quantity AS obs, l_quantity * (1 + (l_discount - 0.05::DOUBLE) * p_size / 5) AS pred
+FITS = f"""base AS (SELECT o_orderpriority AS model, l_partkey AS gene, l_quantity AS obs, l_quantity * (1 + (l_discount - 0.05::DOUBLE) * p_size / 2) AS pred
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 {_errors_sql("base", "model, gene")}, {RHO.format(k="model, gene", a="obs", b="pred", t="base")},
 fits AS (SELECT model, gene, n, rmse / nullif(span, 0) AS nrmse_range, mase, spearman, gene % 5 AS cluster FROM err JOIN rho USING (model, gene)),
@@ -274,7 +274,7 @@ def _fits(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
     rows = lines.join(orders, "l_orderkey").join(part, "l_partkey")
-    pred = F.col("l_quantity") * (1.0 + (F.col("l_discount") - 0.05) * F.col("p_size") / 5.0)
+    pred = F.col("l_quantity") * (1.0 + (F.col("l_discount") - 0.05) * F.col("p_size") / 2.0)
     rows = rows.select(F.col("o_orderpriority").alias("model"), F.col("l_partkey").alias("gene"), F.col("l_quantity").alias("obs"), pred.alias("pred"))
     out = metrics.fit_metrics(rows, ["model", "gene"]).select("model", "gene", "n", *(F.round(c, 8).alias(c) for c in ("nrmse_range", "mase", "spearman")))
     return out.withColumn("cluster", F.col("gene") % 5).withColumn("ok", compare.accepted())

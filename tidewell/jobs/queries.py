@@ -262,7 +262,7 @@ FITS = f"""base AS (SELECT o_orderpriority AS model, l_partkey AS gene, l_quanti
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 {_errors_sql("base", "model, gene")}, {RHO.format(k="model, gene", a="obs", b="pred", t="base")},
 fits AS (SELECT model, gene, n, rmse / nullif(span, 0) AS nrmse_range, mase, spearman, gene % 5 AS cluster FROM err JOIN rho USING (model, gene)),
-flagged AS (SELECT *, coalesce(round(spearman, 8) > 0.7 AND round(nrmse_range, 8) < 0.2 AND round(mase, 8) < 1, false) AS ok FROM fits)"""
+flagged AS (SELECT *, coalesce(round(spearman, 10) > 0.7 AND round(nrmse_range, 10) < 0.2 AND round(mase, 10) < 1, false) AS ok FROM fits)"""
 
 
 def _fits(spark: SparkSession, sf: str) -> DataFrame:
@@ -276,13 +276,13 @@ def _fits(spark: SparkSession, sf: str) -> DataFrame:
     rows = lines.join(orders, "l_orderkey").join(part, "l_partkey")
     pred = F.col("l_quantity") * (1.0 + (F.col("l_discount") - 0.05) * F.col("p_size") / 2.0)
     rows = rows.select(F.col("o_orderpriority").alias("model"), F.col("l_partkey").alias("gene"), F.col("l_quantity").alias("obs"), pred.alias("pred"))
-    out = metrics.fit_metrics(rows, ["model", "gene"]).select("model", "gene", "n", *(F.round(c, 8).alias(c) for c in ("nrmse_range", "mase", "spearman")))
+    out = metrics.fit_metrics(rows, ["model", "gene"]).select("model", "gene", "n", *(F.round(c, 10).alias(c) for c in ("nrmse_range", "mase", "spearman")))
     return out.withColumn("cluster", F.col("gene") % 5).withColumn("ok", compare.accepted())
 
 
-@query(f"WITH {FITS} SELECT model, gene, n, round(nrmse_range, 8) AS nrmse_range, round(mase, 8) AS mase, round(spearman, 8) AS spearman FROM flagged WHERE ok")
+@query(f"WITH {FITS} SELECT model, gene, n, round(nrmse_range, 10) AS nrmse_range, round(mase, 10) AS mase, round(spearman, 10) AS spearman FROM flagged WHERE ok")
 def accept_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_fits(spark, sf).where("ok").select("model", "gene", "n", "nrmse_range", "mase", "spearman"), 8)
+    return rounded(_fits(spark, sf).where("ok").select("model", "gene", "n", "nrmse_range", "mase", "spearman"), 10)
 
 
 @query(f"WITH {FITS} SELECT cluster, model, count(*) AS n FROM flagged WHERE ok GROUP BY 1, 2")
@@ -324,12 +324,12 @@ def venn_pairs_by_cluster(spark: SparkSession, sf: str) -> DataFrame:
     return compare.venn_pairs(_fits(spark, sf).where("ok"), "model", "gene", PRIORITIES, ["cluster"])
 
 
-@query(f"WITH {FITS} SELECT coalesce(a.gene, b.gene) AS gene, round(a.nrmse_range, 8) AS urgent, round(b.nrmse_range, 8) AS low FROM (SELECT * FROM fits WHERE model = '1-URGENT') a FULL JOIN (SELECT * FROM fits WHERE model = '5-LOW') b ON a.gene = b.gene")
+@query(f"WITH {FITS} SELECT coalesce(a.gene, b.gene) AS gene, round(a.nrmse_range, 10) AS urgent, round(b.nrmse_range, 10) AS low FROM (SELECT * FROM fits WHERE model = '1-URGENT') a FULL JOIN (SELECT * FROM fits WHERE model = '5-LOW') b ON a.gene = b.gene")
 def outer_align(spark: SparkSession, sf: str) -> DataFrame:
     """The same series under two models side by side, missing ones null."""
     fits = _fits(spark, sf).select("model", "gene", "nrmse_range")
     side = lambda m, name: fits.where(F.col("model") == m).select("gene", F.col("nrmse_range").alias(name))
-    return rounded(side("1-URGENT", "urgent").join(side("5-LOW", "low"), "gene", "full"), 8)
+    return rounded(side("1-URGENT", "urgent").join(side("5-LOW", "low"), "gene", "full"), 10)
 
 
 @query(" UNION ALL ".join(f"SELECT '{p}' AS model, o_custkey, count(*) AS n, round(avg(o_totalprice), 6) AS mean, max(n_regionkey)::BIGINT AS cluster FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority = '{p}' GROUP BY o_custkey" for p in PRIORITIES))
@@ -509,7 +509,7 @@ density AS (SELECT {keys}, i, lo + (hi - lo) * i / 49 AS x, sum(exp(-0.5::DOUBLE
   FROM g JOIN {source} s USING ({keys}) GROUP BY {keys}, i, lo, hi, n, h)"""
 
 
-@query(f"""WITH {FITS}, shown AS (SELECT model, cluster, round(nrmse_range, 8) AS x FROM fits WHERE round(nrmse_range, 8) < 1 AND round(mase, 8) < 2), {_kde_sql("shown", "model, cluster")},
+@query(f"""WITH {FITS}, shown AS (SELECT model, cluster, round(nrmse_range, 10) AS x FROM fits WHERE round(nrmse_range, 10) < 1 AND round(mase, 10) < 2), {_kde_sql("shown", "model, cluster")},
 q AS (SELECT model, cluster, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS q2, quantile_cont(x, 0.75) AS q3 FROM shown GROUP BY ALL)
 SELECT model, cluster, i, round(x, 6) AS x, round(density, 6) AS density, round(q1, 6) AS q1, round(q2, 6) AS q2, round(q3, 6) AS q3 FROM density JOIN q USING (model, cluster)""")
 def violin_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -517,7 +517,7 @@ def violin_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(dists.violin(compare.in_plot_range(_fits(spark, sf)), ["model", "cluster"], "nrmse_range"))
 
 
-@query(f"""WITH {FITS}, s AS (SELECT model, cluster, round(nrmse_range, 8) AS v FROM fits WHERE nrmse_range IS NOT NULL), e AS (SELECT model, min(v) AS lo, max(v) AS hi FROM s GROUP BY 1)
+@query(f"""WITH {FITS}, s AS (SELECT model, cluster, round(nrmse_range, 10) AS v FROM fits WHERE nrmse_range IS NOT NULL), e AS (SELECT model, min(v) AS lo, max(v) AS hi FROM s GROUP BY 1)
 SELECT model, cluster, least(coalesce(floor((v - lo) / nullif((hi - lo) / 50, 0)), 0)::BIGINT + 1, 50) AS bin, count(*) AS n FROM s JOIN e USING (model) GROUP BY ALL""")
 def hist50_by_cluster(spark: SparkSession, sf: str) -> DataFrame:
     """Histograms by model and cluster; the clusters of a model share their bins."""

@@ -127,7 +127,10 @@ def test_keep_first_repeated_ids(spark):
     assert len([x for x in got if x[0] == 2]) == 1
 
 
-def test_dedup(docs, spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_dedup(docs, spark, monkeypatch, small):
+    """The same results whether the index goes to the documents or the blocks are shuffled to it."""
+    monkeypatch.setattr(rlz_dedup, "BROADCAST_ROWS", 100_000 if small else 0)
     want = brute.repeats(plain())
     assert got(rlz_dedup.digest(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == want
     out = {r.doc_id: r for r in rlz_dedup.remove_spans(docs).collect()}
@@ -375,6 +378,15 @@ def test_page_names_and_malformed_pages():
         lines(page)  # in one pass each
 
 
+def test_index_of_blocks():
+    import numpy as np
+    import pyarrow as pa
+
+    index = rlz_dedup.Index(pa.table({"a": [5, 6, 7, 8], "b": [1, 1, 2, -3], "least": [0, 1, 2, 3], "split": [True, False, True, False]}))
+    at = index.find(np.array([6, 5, 9, 8, 7]), np.array([1, 1, 1, -3, 4]))
+    assert [int(index.least[i]) if i >= 0 else None for i in at] == [1, 0, None, 3, None]
+
+
 def test_factors():
     span = lambda start, words: {"start": start, "words": words}
     assert rlz_dedup.factors(None) == []

@@ -58,6 +58,15 @@ def bounded(df: DataFrame, count: int) -> DataFrame:
     return F.broadcast(df) if count <= BROADCAST_ROWS else df
 
 
+#: Rows of a narrow table in one file of the shared folder.
+STORED_ROWS = 20_000
+
+
+def stored(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most about ``rows`` rows, written to the shared folder in no more files than these rows need."""
+    return df.coalesce(partitions_for(rows, STORED_ROWS)).checkpoint()
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply ``fn`` to each Arrow batch; batches without rows are passed over."""
 

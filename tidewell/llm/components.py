@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links: each node with the least node of its local component."""
@@ -36,15 +38,16 @@ def _thin(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of ``links(a, b)``; component is its least node.
+def components(links: DataFrame, rows: int, max_rounds: int = 60) -> DataFrame:
+    """(node, component) for every node of ``links(a, b)``, at most about ``rows`` of them; component is its least node.
 
     Links are thinned to forests inside each batch first, so no round handles more rows than
     there are nodes in a batch. Every round is written with checkpoint(); a node with very many links
     is only ever aggregated (partial minimum) and joined to one row.
     """
-    links = links.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).mapInArrow(_thin, "a long, b long").distinct().checkpoint()
-    before = None
+    links = links.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = stored(links.mapInArrow(_thin, "a long, b long").distinct(), rows)
+    rows, before = links.count(), None
     for _ in range(max_rounds):
         # large star: what is above u points at the least neighbour of u
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -53,7 +56,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: what is below u, and u, point at the least of them
         least = links.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("u"), "m")
         joined = links.join(least, links.b == least.u)
-        links = joined.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct().checkpoint()
+        links = joined.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
+        links = stored(links, rows)
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

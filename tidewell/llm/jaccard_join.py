@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import map_batches, partitions_for, prepare, sealed, text_bytes
+from .common import STORED_ROWS, map_batches, partitions_for, prepare, sealed, stored, text_bytes
 from .components import components, forest
 
 REGION, WIDEST, DENSE = 128, 1024, 16
@@ -485,15 +485,16 @@ def _divided(cells: DataFrame, sizes: DataFrame, sets: DataFrame, round_no: int,
 
 
 def _joined(cells: DataFrame, sets: DataFrame, tasks: int, num: int, den: int) -> DataFrame:
-    return cells.withColumn("task", F.pmod(F.xxhash64("cell"), F.lit(tasks))).join(sets, "node").groupBy("task").applyInPandas(_region_links(num, den), "a long, b long")
+    return cells.withColumn("task", F.pmod(F.xxhash64("cell"), F.lit(tasks))).join(sets, "node").groupBy("task").applyInPandas(_region_links(num, den), "a long, b long").coalesce(tasks)
 
 
-def region_links(cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) inside the groups ``cells(cell, node)`` of ``sets(node, n, tokens)``, as spanning forests."""
+def region_links(cells: DataFrame, sets: DataFrame, rows: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) inside the groups ``cells(cell, node)`` of ``sets(node, n, tokens)``, as spanning forests; ``rows`` sets in all."""
     cells = cells.withColumn("held", F.lit(None).cast("long"))
     out = None
     for round_no in range(ROUNDS + 1):
-        counted = cells.join(sets.select("node", "n"), "node").groupBy("cell").agg(F.count("*").alias("now"), F.sum("n").alias("words"), F.max("held").alias("before")).where("now > 1").checkpoint()
+        counted = cells.join(sets.select("node", "n"), "node").groupBy("cell").agg(F.count("*").alias("now"), F.sum("n").alias("words"), F.max("held").alias("before")).where("now > 1")
+        counted = stored(counted, rows)
         fits = (F.col("now") <= CELL_SETS) & (F.col("words") <= CELL_SHINGLES)
         stuck = F.lit(round_no == ROUNDS) | (F.col("now") > 0.9 * F.coalesce("before", F.lit(1 << 60)))
         total, large, over = counted.agg(F.sum(F.when(fits, F.col("words"))), F.count(F.when(~fits, 1)), F.count(F.when(~fits & stuck, 1))).first()
@@ -509,6 +510,7 @@ def region_links(cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
             break
         left = counted.where(~fits & ~stuck).select("cell", F.col("now").alias("held"), "words")
         cells = _divided(cells.select("cell", "node"), left, sets, round_no, num, den).checkpoint()
+        rows = cells.count()
     return out if out is not None else cells.sparkSession.createDataFrame([], "a long, b long")
 
 
@@ -550,7 +552,7 @@ def _ties(documents: DataFrame, scanned: DataFrame, nodes: DataFrame, k: int, nu
         pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("slices").alias(f"s_{side}")), side)
     pairs = pairs.where(F.col("met") >= F.least(*(x for c in ("n_a", "n_b") for x in (F.floor(F.col(c) / PREFIX_STEP) + 1, -F.floor(-num * F.col(c) / den)))))
     pairs = map_batches(pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b"), _windows(num, den), "a long, b long")
-    return components(pairs.union(found.where("large").select("a", "b")))
+    return components(pairs.union(found.where("large").select("a", "b")), found.count())
 
 
 def _grouped(documents: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -561,16 +563,20 @@ def _grouped(documents: DataFrame, k: int, num: int, den: int) -> DataFrame:
     named = scanned.where("chunk IS NULL").drop("chunk", "counts")
     # a node's least document, whose text stands for it
     nodes = named.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "uid", "n_shingles", "slices")).alias("least"))
-    nodes = nodes.select("node", F.col("least.doc_id").alias("least"), F.col("least.uid").alias("uid"), F.col("least.n_shingles").alias("n"), F.col("least.slices").alias("slices")).checkpoint()
-    placed = _ties(documents, scanned, nodes, k, num, den).join(nodes, "node").select("node", F.col("component").alias("cell"), F.col("least").alias("doc"), F.col("uid").alias("of")).checkpoint()
+    nodes = nodes.select("node", F.col("least.doc_id").alias("least"), F.col("least.uid").alias("uid"), F.col("least.n_shingles").alias("n"), F.col("least.slices").alias("slices"))
+    nodes = stored(nodes, named.count())
+    placed = _ties(documents, scanned, nodes, k, num, den).join(nodes, "node").select("node", F.col("component").alias("cell"), F.col("least").alias("doc"), F.col("uid").alias("of"))
+    placed = stored(placed, nodes.count())
+    tied = placed.count()
     # the set of each node's least document, made once more from its text and stored once
     wanted = maybe_among(documents, placed.select(F.col("doc").alias("doc_id"), F.col("of").alias("uid")), F.xxhash64("doc_id", "uid"))
     texts = wanted.join(placed, (wanted.doc_id == F.col("doc")) & (wanted.uid == F.col("of"))).dropDuplicates(["doc_id", "uid"]).select("node", "text")
-    sets = map_batches(texts, _token_sets(k), "node long, n long, tokens binary").checkpoint()
-    groups = components(region_links(placed.select("cell", "node"), sets, num, den))
+    sets = map_batches(texts, _token_sets(k), "node long, n long, tokens binary").coalesce(partitions_for(tied, STORED_ROWS // 20)).checkpoint()
+    groups = components(region_links(placed.select("cell", "node"), sets, tied, num, den), tied)
     merged = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     tops = merged.groupBy("component").agg(F.min(F.struct("least", "uid")).alias("top"))
-    by_node = merged.join(tops, "component").select(F.col("node").alias("of_node"), F.col("top.least").alias("top"), F.col("top.uid").alias("top_uid")).checkpoint()
+    by_node = merged.join(tops, "component").select(F.col("node").alias("of_node"), F.col("top.least").alias("top"), F.col("top.uid").alias("top_uid"))
+    by_node = stored(by_node, nodes.count())
     out = named.join(by_node, named.node == by_node.of_node, "left")
     own = lambda top: F.when(F.col("n_shingles") > 0, F.col(top))
     return out.select("doc_id", "uid", "n_shingles", F.coalesce(own("top"), "doc_id").alias("component_id"), F.coalesce(own("top_uid"), "uid").alias("component_uid"))

@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import map_batches, prepare, sealed, text_bytes
+from .common import BROADCAST_ROWS, map_batches, prepare, sealed, text_bytes
 
 WIDTH, GRAM = 50, 8
 SEGMENTS = "doc_id long, uid long, anchor long, block long, start int, n int"
 KEY = ["doc_id", "uid"]
+SPANS = "array<struct<start: int, words: int>>"
 
 
 def minimizers(grams: np.ndarray, span: int) -> np.ndarray:
@@ -72,6 +73,47 @@ def _segments(width: int, gram: int):
     return run
 
 
+class Index:
+    """Reference blocks in sorted arrays, for a task's own lookups."""
+
+    def __init__(self, rows: pa.Table):
+        block, anchor, least, split = (rows.column(c).to_numpy() for c in ("b", "a", "least", "split"))
+        order = np.lexsort((anchor, block))
+        self.block, self.anchor, self.least, self.split = block[order], anchor[order], least[order], split[order]
+
+    def find(self, anchor: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """Place of each (anchor, block), -1 where it is not indexed."""
+        if not len(self.block):
+            return np.full(len(block), -1)
+        at = np.searchsorted(self.block, block)
+        last = np.searchsorted(self.block, block, side="right")
+        for _ in range(int((last - at).max(initial=0))):  # blocks of one hash and several anchors hardly exist
+            on = (at < last) & (self.anchor[np.minimum(at, len(self.block) - 1)] != anchor)
+            if not on.any():
+                break
+            at = at + on
+        return np.where(at < last, at, -1)
+
+
+def _look_up(index, width: int, gram: int):
+    """Of each document the spans of the blocks that a smaller one holds, and the blocks to be opened."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held = index.value
+        spans, listed = [], []
+        for doc, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(2)), strict=True):
+            anchor, block, start, n = blocks_of(text.split(), width, gram)
+            at = held.find(anchor, block)
+            whole = (at >= 0) & (held.least[at] < doc) if len(held.block) else at >= 0
+            split = (at >= 0) & ~whole & held.split[at] if len(held.block) else at >= 0
+            spans.append([{"start": int(s), "words": int(k) + width - 1} for s, k in zip(start[whole], n[whole])])
+            listed.append([{"start": int(s), "n": int(k), "anchor": int(a)} for s, k, a in zip(start[split], n[split], anchor[split])])
+        kinds = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())])), pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64())]))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kinds[0]), pa.array(listed, kinds[1])], ["doc_id", "uid", "spans", "listed"])
+
+    return run
+
+
 def _open(width: int, gram: int):
     """Windows of the listed blocks: hash and first word of each."""
 
@@ -103,16 +145,24 @@ def spans_of(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFram
     holders = segments.groupBy("anchor", "block").agg(F.min("doc_id").alias("least"), F.count("*").alias("held"))
     split = holders.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", F.lit(True).alias("split"))
     index = holders.join(split, "anchor", "left").where("held > 1 OR split").select(F.col("anchor").alias("a"), F.col("block").alias("b"), "least", F.coalesce("split", F.lit(False)).alias("split")).checkpoint()
-    factors = segments.join(index, (segments.anchor == index.a) & (segments.block == index.b)).where((F.col("least") < F.col("doc_id")) | F.col("split"))
-    factors = factors.select(*KEY, "anchor", "start", "n", (F.col("least") < F.col("doc_id")).alias("whole")).checkpoint()
-    listed = factors.where("not whole").groupBy(*KEY).agg(F.collect_list(F.struct("start", "n", "anchor")).alias("listed"))
+    span = lambda words: F.struct(F.col("start"), words.cast("int").alias("words"))
+    if index.count() <= BROADCAST_ROWS:  # a small index goes to the documents, else the blocks meet it in a shuffle
+        shared = keyed.sparkSession.sparkContext.broadcast(Index(index.toArrow()))
+        found = map_batches(usable, _look_up(shared, width, gram), f"doc_id long, uid long, spans {SPANS}, listed array<struct<start: int, n: int, anchor: long>>")
+        found = found.where((F.size("spans") > 0) | (F.size("listed") > 0)).checkpoint()
+        whole = found.where(F.size("spans") > 0).select(*KEY, "spans")
+        listed = found.where(F.size("listed") > 0).dropDuplicates(KEY).select(*KEY, "listed")
+    else:
+        found = segments.join(index, (segments.anchor == index.a) & (segments.block == index.b)).where((F.col("least") < F.col("doc_id")) | F.col("split"))
+        found = found.select(*KEY, "anchor", "start", "n", (F.col("least") < F.col("doc_id")).alias("whole")).checkpoint()
+        whole = found.where("whole").select(*KEY, F.array(span(F.col("n") + (width - 1))).alias("spans"))
+        listed = found.where("not whole").groupBy(*KEY).agg(F.collect_list(F.struct("start", "n", "anchor")).alias("listed"))
     rest = [c for c in keyed.columns if c not in (*KEY, "text")]
     windows = map_batches(keyed.join(listed, KEY).select(*KEY, "text", "listed", *rest), _open(width, gram), "doc_id long, uid long, anchor long, window long, start int")
     least = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(F.col("anchor").alias("a"), F.col("window").alias("w"), "least")
     matched = windows.join(least, (windows.anchor == least.a) & (windows.window == least.w)).where(F.col("least") < F.col("doc_id"))
-    span = lambda words: F.struct(F.col("start"), words.cast("int").alias("words"))
-    both = factors.where("whole").select(*KEY, span(F.col("n") + (width - 1)).alias("span")).union(matched.select(*KEY, span(F.lit(width)).alias("span")))
-    return both.groupBy(*KEY).agg(F.collect_set("span").alias("spans"))
+    both = whole.union(matched.select(*KEY, F.array(span(F.lit(width))).alias("spans")))
+    return both.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def factors(spans: list[dict] | None, width: int = WIDTH) -> list[tuple[int, int]]:

@@ -130,7 +130,7 @@ def test_keep_first_repeated_ids(spark):
 @pytest.mark.parametrize("small", [True, False])
 def test_dedup(docs, spark, monkeypatch, small):
     """The same results whether the index goes to the documents or the blocks are shuffled to it."""
-    monkeypatch.setattr(rlz_dedup, "BROADCAST_ROWS", 100_000 if small else 0)
+    monkeypatch.setattr(rlz_dedup, "INDEX_ROWS", 100_000 if small else 0)
     want = brute.repeats(plain())
     assert got(rlz_dedup.digest(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == want
     out = {r.doc_id: r for r in rlz_dedup.remove_spans(docs).collect()}

@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import BROADCAST_ROWS, map_batches, prepare, sealed, text_bytes
+from .common import map_batches, prepare, sealed, text_bytes
 
 WIDTH, GRAM = 50, 8
+#: Blocks in an index that is sent to the tasks.
+INDEX_ROWS = 1 << 16
 SEGMENTS = "doc_id long, uid long, anchor long, block long, start int, n int"
 KEY = ["doc_id", "uid"]
 SPANS = "array<struct<start: int, words: int>>"
@@ -146,7 +148,7 @@ def spans_of(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFram
     split = holders.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", F.lit(True).alias("split"))
     index = holders.join(split, "anchor", "left").where("held > 1 OR split").select(F.col("anchor").alias("a"), F.col("block").alias("b"), "least", F.coalesce("split", F.lit(False)).alias("split")).checkpoint()
     span = lambda words: F.struct(F.col("start"), words.cast("int").alias("words"))
-    if index.count() <= BROADCAST_ROWS:  # a small index goes to the documents, else the blocks meet it in a shuffle
+    if index.count() <= INDEX_ROWS:  # a small index goes to the documents, else the blocks meet it in a shuffle
         shared = keyed.sparkSession.sparkContext.broadcast(Index(index.toArrow()))
         found = map_batches(usable, _look_up(shared, width, gram), f"doc_id long, uid long, spans {SPANS}, listed array<struct<start: int, n: int, anchor: long>>")
         found = found.where((F.size("spans") > 0) | (F.size("listed") > 0)).checkpoint()

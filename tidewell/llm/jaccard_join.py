@@ -593,3 +593,19 @@ def keep_first(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     own = own.withColumn("uid", F.xxhash64("text"))
     kept = own.join(first, (own["doc_id"] == F.col("first_doc")) & (own["uid"] == F.col("first_uid")), "left_semi").dropDuplicates(["doc_id", "uid"])
     return restore(kept.union(own.where("doc_id IS NULL")))
+
+
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+ORACLE_SQL = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS name FROM sets GROUP BY 1),
+named AS (SELECT *, min(doc_id) OVER (PARTITION BY name) AS head FROM sizes),
+heads AS (SELECT doc_id, n, g FROM sets JOIN named USING (doc_id) WHERE doc_id = head),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n_a, any_value(b.n) AS n_b, count(*) AS c FROM heads a JOIN heads b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * c >= 85 * (n_a + n_b - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(d, x) AS (SELECT DISTINCT a, a FROM edges UNION SELECT d, b FROM reach JOIN edges ON a = x),
+tops AS (SELECT d, min(x) AS top FROM reach GROUP BY 1)
+SELECT docs.doc_id, coalesce(n, 0) AS n_shingles, coalesce(top, head, docs.doc_id) AS component_id FROM docs LEFT JOIN named USING (doc_id) LEFT JOIN tops ON d = head
+"""

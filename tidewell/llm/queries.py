@@ -57,4 +57,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_html_diff, op2_host_reputation, op3_jaccard_join, op4_ball_tree, op5_packing, op6_rlz_dedup, op7_wu_manber, op8_length_histogram, op9_boosted_trees, op10_byte_cnn)
 }
-ORACLE_SQL: dict[str, str] = {"op2_host_reputation": host_reputation.ORACLE_SQL, "op4_ball_tree": ball_tree.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_host_reputation": host_reputation.ORACLE_SQL,
+    "op3_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op4_ball_tree": ball_tree.ORACLE_SQL,
+    "op6_rlz_dedup": rlz_dedup.ORACLE_SQL,
+    "op7_wu_manber": wu_manber.ORACLE_SQL,
+}

@@ -262,3 +262,15 @@ def remove_spans(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     if counted:
         out = out.withColumn("n_chars", F.when(F.col("cut_text").isNotNull(), F.char_length("text").cast(keyed.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return restore(out)
+
+
+ORACLE_SQL = rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + {WIDTH - 1}], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WIDTH - 2})) AS i FROM docs WHERE len(w) >= {WIDTH})),
+first AS (SELECT h, min(doc_id) AS least FROM windows GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WIDTH})) AS k FROM windows JOIN first USING (h) WHERE least < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM docs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS t FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY 1),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
+"""

@@ -241,3 +241,20 @@ def clean(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> Dat
             documents = documents.checkpoint()
             items.destroy()
     return documents
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPLIT = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_SPLIT} AS w FROM documents), items AS (SELECT item_id, {_SPLIT} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS p
+  FROM (SELECT item_id, w, least({WIDTH}, len(w)) AS m, unnest(range(1, len(w) - least({WIDTH}, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+places AS (SELECT r, i, m, array_to_string(w[i:i + m - 1], ' ') AS p
+  FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM docs, (SELECT DISTINCT m FROM windows) WHERE len(w) >= m)),
+found AS (SELECT r, i, m, item_id FROM places JOIN windows USING (m, p)),
+hits AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS k FROM found) GROUP BY 1),
+named AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM found GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
+"""

@@ -76,9 +76,10 @@ def zygotic(t: Column, delta_z: Column, g: Callable[[Column], Column], n: int =
     return simpson(lambda u: F.exp(-delta_z * (t - u)) * g(u), t, n)
 
 
-def time_grid(ends: DataFrame, end: str, points: int = 1001) -> DataFrame:
-    """``ends`` with a row for each of ``points`` even times from 0 to the column ``end``."""
-    return ends.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_i")).withColumn("time", F.col("_i") * F.col(end) / float(points - 1)).drop("_i")
+def time_grid(ends: DataFrame, end: str, points: int = 1001, number: str = "i") -> DataFrame:
+    """``ends`` with a row for each of ``points`` even times from 0 to the column ``end``, and its number."""
+    rows = ends.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias(number))
+    return rows.withColumn("time", F.col(number) * F.col(end) / float(points - 1))
 
 
 def log_prior(x: Column, median: Column, sd: float) -> Column:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import models
-
 from ..operators import collect, compare, dists, etl, metrics, posterior, series
 from ..sources.tables import daily_series, table
 from . import infer
@@ -208,6 +207,16 @@ def fit_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.fit_metrics(_pairs(spark, sf), ["gene"]), spearman=8)
 
 
+@query(f"""WITH {PRED}, half AS (SELECT * FROM pairs WHERE time::BIGINT % 2 = 0), {_errors_sql("half", "gene")}
+SELECT gene, n, round(rmse, 6) AS rmse, round(mase, 6) AS mase FROM err""")
+def paired_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Observations against predictions that come as a table of their own and lack every other time."""
+    pairs = _pairs(spark, sf)
+    observed = daily_series(table(spark, sf, "events")).withColumnRenamed("y", "obs")
+    predicted = pairs.where(F.col("time").cast("long") % 2 == 0).select("gene", "time", "pred")
+    return rounded(metrics.errors(metrics.paired(observed, predicted, ["gene", "time"]), ["gene"]).select("gene", "n", "rmse", "mase"))
+
+
 @query(f"""WITH {PRED}, r AS (SELECT *, obs - pred AS r, lag(obs - pred) OVER w AS l, var_pop(obs - pred) OVER (PARTITION BY gene ORDER BY time ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v,
   count(*) OVER (PARTITION BY gene ORDER BY time ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS c FROM pairs WINDOW w AS (PARTITION BY gene ORDER BY time))
 SELECT gene, round(avg(CASE WHEN c = 3 THEN v END) / nullif(var_pop(r), 0), 6) AS variance_ratio, round(covar_pop(r, l) FILTER (l IS NOT NULL) / nullif(stddev_pop(r) FILTER (l IS NOT NULL) * stddev_pop(l), 0), 6) AS autocorrelation FROM r GROUP BY 1""")
@@ -402,17 +411,21 @@ long AS (UNPIVOT (SELECT gene, draw, nrmse, log_likelihood, bic FROM scored) ON
 {_hdi_sql("long", "gene, metric", "value", "spans")}"""
 
 
-def _predicted(spark: SparkSession, sf: str) -> DataFrame:
-    """Draws x times of the basic model: each fortieth of the users is a draw, with its own production and decay."""
+def _draw_params(spark: SparkSession, sf: str) -> tuple[DataFrame, Column]:
+    """Draws of the basic model, one for each fortieth of the users, and their curve."""
     events = table(spark, sf, "events")
-    daily = daily_series(events)
     told = events.groupBy(F.col("event_type").alias("gene"), (F.col("user_id") % 40).alias("draw")).agg(F.avg("value").alias("u"))
-    started = series.initial_values(daily).select("gene", "first", "beta0")
     middle = told.groupBy("gene").agg(F.avg("u").alias("m"))
+    started = series.initial_values(daily_series(events)).select("gene", "first", "beta0")
     draws = told.join(middle, "gene").join(started, "gene")
     draws = draws.select("gene", "draw", "first", (F.col("beta0") * F.col("u") / F.col("m")).alias("beta"), (0.1 * F.col("m") / F.col("u")).alias("delta"), F.lit(0.5).alias("sigma"))
-    curve = models.basic(F.col("first"), F.col("beta"), F.col("delta"), F.col("time"))
-    return posterior.predictive(draws, daily.withColumnRenamed("y", "obs"), ["gene"], curve)
+    return draws, models.basic(F.col("first"), F.col("beta"), F.col("delta"), F.col("time"))
+
+
+def _predicted(spark: SparkSession, sf: str) -> DataFrame:
+    """Draws x times of the basic model beside the observations."""
+    draws, curve = _draw_params(spark, sf)
+    return posterior.predictive(draws, daily_series(table(spark, sf, "events")).withColumnRenamed("y", "obs"), ["gene"], curve)
 
 
 @query(f"WITH {DRAWN} SELECT gene, time, round(avg(pred), 6) AS mean, round(median(pred), 6) AS median FROM predicted GROUP BY 1, 2")
@@ -421,6 +434,16 @@ def posterior_predictive(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(posterior.mean_median(_predicted(spark, sf), ["gene", "time"], "pred"))
 
 
+@query(f"""WITH {DRAWN}, ends AS (SELECT gene, max(time) AS t_end FROM daily GROUP BY 1), grid AS (SELECT gene, i, i * t_end / 999 AS time FROM ends, range(0, 1000) AS k(i))
+SELECT gene, i, round(avg(first * exp(-delta * time) + beta / delta * (1 - exp(-delta * time))), 6) AS mean FROM params JOIN grid USING (gene) GROUP BY 1, 2""")
+def predictive_dense(spark: SparkSession, sf: str) -> DataFrame:
+    """The mean curve over the draws on an even grid of 1000 points."""
+    draws, curve = _draw_params(spark, sf)
+    ends = daily_series(table(spark, sf, "events")).groupBy("gene").agg(F.max("time").alias("t_end"))
+    grid = models.time_grid(ends, "t_end", 1000, "i").select("gene", "i", "time")
+    return rounded(posterior.predictive(draws, grid, ["gene"], curve).groupBy("gene", "i").agg(F.avg("pred").alias("mean")))
+
+
 @query(f"WITH {DRAWN} SELECT gene, metric, round(avg(value), 6) AS mean, round(max(lower), 6) AS lower, round(max(upper), 6) AS upper FROM long JOIN spans USING (gene, metric) GROUP BY 1, 2")
 def gof_from_draws(spark: SparkSession, sf: str) -> DataFrame:
     """NRMSE, log-likelihood and BIC of every draw, their means and shortest 95 % intervals."""
@@ -449,15 +472,19 @@ def gof_wide(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(collect.goodness_wide(rows, ["gene"], "line"))
 
 
-@query("""WITH s AS (SELECT l_suppkey, avg(l_quantity) AS qm, stddev_samp(l_quantity) AS qs, avg(l_discount) AS dm, stddev_samp(l_discount) AS ds FROM lineitem GROUP BY 1)
-SELECT l_suppkey, round(dm, 3) AS discount_mean, round(qm, 3) AS quantity_mean, round(ds, 3) AS discount_std, round(qs, 3) AS quantity_std FROM s""")
+def _significant_sql(x: str) -> str:
+    return f"CASE WHEN {x} = 0 THEN 0 ELSE round({x} * pow(10, 2 - floor(log10(abs({x}))))) / pow(10, 2 - floor(log10(abs({x})))) END"
+
+
+@query(f"""WITH s AS (SELECT l_suppkey, avg(l_quantity) AS qm, stddev_samp(l_quantity) AS qs, avg(l_discount) AS dm, stddev_samp(l_discount) AS ds FROM lineitem GROUP BY 1)
+SELECT l_suppkey, {", ".join(f"round({_significant_sql(c)}, 9) AS {name}" for c, name in (("dm", "discount_mean"), ("qm", "quantity_mean"), ("ds", "discount_std"), ("qs", "quantity_std")))} FROM s""")
 def param_pack_unpack(spark: SparkSession, sf: str) -> DataFrame:
-    """Means and deviations packed as text, read back and pivoted; the last of repeated parameters counts."""
-    lines = table(spark, sf, "lineitem")
-    long = lines.select("l_suppkey", F.explode(F.array(F.struct(F.lit("quantity").alias("param"), F.col("l_quantity").alias("v")), F.struct(F.lit("discount").alias("param"), F.col("l_discount").alias("v")))).alias("r")).select("l_suppkey", "r.*")
-    packed = long.groupBy("l_suppkey", "param").agg(F.concat(F.round(F.avg("v"), 3).cast("string"), F.lit(" ± "), F.round(F.stddev_samp("v"), 3).cast("string")).alias("value")).withColumn("line", F.lit(2))
+    """Means and deviations packed as text of three significant figures, read back and pivoted; the last of repeated parameters counts."""
+    each = F.array(*(F.struct(F.lit(name).alias("param"), F.col(c).alias("value")) for name, c in ((" quan tity", "l_quantity"), ("discount", "l_discount"))))
+    long = table(spark, sf, "lineitem").select("l_suppkey", F.explode(each).alias("r")).select("l_suppkey", "r.*")
+    packed = posterior.estimates(long, ["l_suppkey", "param"]).select("l_suppkey", "param", F.col("packed").alias("value"), F.lit(2).alias("line"))
     stale = packed.withColumn("value", F.lit("1e-05 ± 2e-06")).withColumn("line", F.lit(1))
-    return collect.parameters_wide(packed.union(stale), ["l_suppkey"], "line", ["discount", "quantity"])
+    return rounded(collect.parameters_wide(packed.union(stale), ["l_suppkey"], "line", ["discount", "quantity"]), 9)
 
 
 # ---- distributions

@@ -24,6 +24,11 @@ def spearman(rows: DataFrame, keys: list[str], a: str, b: str, out: str = "spear
     return ranked.groupBy(*keys).agg(correlation(F.col("_ra"), F.col("_rb")).alias(out))
 
 
+def paired(observed: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
+    """Observations and predictions that meet by key, never by position; keys of one side only have no row."""
+    return observed.join(predicted, keys)
+
+
 def _complete(rows: DataFrame, obs: str, pred: str) -> DataFrame:
     """Rows whose sides are both there."""
     return rows.where(missing(F.col(obs)).isNotNull() & missing(F.col(pred)).isNotNull())

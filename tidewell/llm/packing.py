@@ -2,9 +2,9 @@
 
 Documents become pieces of at most ``size`` tokens (only longer ones are cut). Pieces are spread
 over partitions and packed there by best-fit decreasing. A dual-feasible-function bound says how
-few bins the partition could need. Where the bound is met, the packing is final; partitions with
-a gap keep their full bins and pass the pieces of the others on, to be dealt out anew
-and packed again, until no gap is left or an exchange saves nothing more.
+few bins the partition could need. Where the bound is met, the packing is final but for the loosest bin, which
+may fit with those of other partitions; partitions with a gap keep their full bins only. The pieces of all other bins are
+passed on, to be dealt out anew and packed again, until no gap is left or an exchange settles hardly anything more.
 
 Only (doc_id, piece, length) rows are shuffled, never texts. A null or empty text is a single
 end token. Repeated doc_ids are told apart by a row number of their own.
@@ -24,7 +24,9 @@ from .common import map_batches, partitions_for, prepare
 from .tokens import cache_for, default_path
 
 SIZE, END_ID = 2048, 0
-PARTITION_PIECES, ROUNDS = 20_000, 3
+PARTITION_PIECES, ROUNDS = 20_000, 8
+#: An exchange that leaves more than this part of its pieces open is the last but one.
+HARDLY = 0.9
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -39,7 +41,8 @@ def pieces(documents: DataFrame, size: int = SIZE, path: str | None = None, end_
             ids = packed + end
             total = len(ids) // 4
             out += [(doc, n, at, min(size, total - at), zlib.crc32(ids[4 * at : 4 * (at + size)])) for n, at in enumerate(range(0, total, size))]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return map_batches(documents.select("doc_id", "text"), cut, PIECES)
 
@@ -89,7 +92,7 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
 PACKED = "row long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, settled boolean"
 
 
-def _pack(size: int, round_no: int, last: bool):
+def _pack(size: int, round_no: int, parts: int, last: bool):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece", "row"], ascending=[False, True, True, True], ignore_index=True)
         lengths = rows["length"].to_numpy(np.int64)
@@ -97,6 +100,8 @@ def _pack(size: int, round_no: int, last: bool):
         settled = np.full(len(rows), True)
         if not last and len(free) > lower_bound(lengths, size):
             settled = free[bins] == 0
+        elif not last and parts > 1:
+            settled = bins != free.argmax()
         sequence = (round_no << 56) + (int(key[0]) << 24) + bins
         return rows.drop(columns="part").assign(sequence_id=sequence, offset=offsets, settled=settled)
 
@@ -115,10 +120,10 @@ def pack(documents: DataFrame, size: int = SIZE, path: str | None = None, partit
     for n in range(rounds):
         if not left:
             break
-        last = n == rounds - 1 or left == before
+        last = n == rounds - 1 or before is not None and left > HARDLY * before
         parts = partitions_for(left, partition_pieces)
         dealt = todo.withColumn("part", F.pmod(F.xxhash64("row", F.lit(n)), F.lit(parts)).cast("int"))
-        packed = dealt.groupBy("part").applyInPandas(_pack(size, n, last), PACKED).checkpoint()
+        packed = dealt.groupBy("part").applyInPandas(_pack(size, n, parts, last), PACKED).checkpoint()
         done.append(packed.where("settled").select(*columns))
         if last:
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -45,6 +46,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, upon which Spark deletes the shuffle files of plans that are no longer referred to.
+
+    Called after a checkpoint that ends a large plan; otherwise these files stay until the driver happens to collect.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sealed(documents: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``documents`` with all columns but ``own`` under names that no operator uses, and what gives the names and their order back."""
     columns = documents.columns

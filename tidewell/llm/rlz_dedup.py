@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import map_batches, prepare, sealed, text_bytes
+from .common import map_batches, prepare, release, sealed, text_bytes
 
 WIDTH, GRAM = 50, 8
 #: Blocks in an index that is sent to the tasks.
@@ -147,6 +147,8 @@ def spans_of(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFram
     holders = segments.groupBy("anchor", "block").agg(F.min("doc_id").alias("least"), F.count("*").alias("held"))
     split = holders.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", F.lit(True).alias("split"))
     index = holders.join(split, "anchor", "left").where("held > 1 OR split").select(F.col("anchor").alias("a"), F.col("block").alias("b"), "least", F.coalesce("split", F.lit(False)).alias("split")).checkpoint()
+    del holders, split
+    release(keyed.sparkSession)
     span = lambda words: F.struct(F.col("start"), words.cast("int").alias("words"))
     if index.count() <= INDEX_ROWS:  # a small index goes to the documents, else the blocks meet it in a shuffle
         shared = keyed.sparkSession.sparkContext.broadcast(Index(index.toArrow()))
@@ -159,6 +161,7 @@ def spans_of(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFram
         found = found.select(*KEY, "anchor", "start", "n", (F.col("least") < F.col("doc_id")).alias("whole")).checkpoint()
         whole = found.where("whole").select(*KEY, F.array(span(F.col("n") + (width - 1))).alias("spans"))
         listed = found.where("not whole").groupBy(*KEY).agg(F.collect_list(F.struct("start", "n", "anchor")).alias("listed"))
+    release(keyed.sparkSession)
     rest = [c for c in keyed.columns if c not in (*KEY, "text")]
     windows = map_batches(keyed.join(listed, KEY).select(*KEY, "text", "listed", *rest), _open(width, gram), "doc_id long, uid long, anchor long, window long, start int")
     least = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(F.col("anchor").alias("a"), F.col("window").alias("w"), "least")

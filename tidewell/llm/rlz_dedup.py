@@ -159,14 +159,17 @@ def spans_of(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFram
     else:
         found = segments.join(index, (segments.anchor == index.a) & (segments.block == index.b)).where((F.col("least") < F.col("doc_id")) | F.col("split"))
         found = found.select(*KEY, "anchor", "start", "n", (F.col("least") < F.col("doc_id")).alias("whole")).checkpoint()
-        whole = found.where("whole").select(*KEY, F.array(span(F.col("n") + (width - 1))).alias("spans"))
+        whole = found.where("whole").select(*KEY, span(F.col("n") + (width - 1)).alias("span"))
         listed = found.where("not whole").groupBy(*KEY).agg(F.collect_list(F.struct("start", "n", "anchor")).alias("listed"))
     release(keyed.sparkSession)
     rest = [c for c in keyed.columns if c not in (*KEY, "text")]
     windows = map_batches(keyed.join(listed, KEY).select(*KEY, "text", "listed", *rest), _open(width, gram), "doc_id long, uid long, anchor long, window long, start int")
     least = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(F.col("anchor").alias("a"), F.col("window").alias("w"), "least")
     matched = windows.join(least, (windows.anchor == least.a) & (windows.window == least.w)).where(F.col("least") < F.col("doc_id"))
-    both = whole.union(matched.select(*KEY, F.array(span(F.lit(width))).alias("spans")))
+    matched = matched.select(*KEY, span(F.lit(width)).alias("span"))
+    if "span" in whole.columns:
+        return whole.union(matched).groupBy(*KEY).agg(F.collect_set("span").alias("spans"))
+    both = whole.union(matched.groupBy(*KEY).agg(F.collect_set("span").alias("spans")))
     return both.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ball_tree, boosted_trees, byte_cnn, host_reputation, html_diff, jaccard_join, length_histogram, packing, rlz_dedup, wu_manber
+from . import ball_tree, boosted_trees, byte_cnn, host_reputation, html_diff, jaccard_join, length_histogram, packing, rlz_dedup, token_alignment, wu_manber
 from .common import table
 
 
@@ -53,9 +53,13 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.predict(documents, byte_cnn.train(documents))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.links(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_diff, op2_host_reputation, op3_jaccard_join, op4_ball_tree, op5_packing, op6_rlz_dedup, op7_wu_manber, op8_length_histogram, op9_boosted_trees, op10_byte_cnn)
+    for f in (op1_html_diff, op2_host_reputation, op3_jaccard_join, op4_ball_tree, op5_packing, op6_rlz_dedup, op7_wu_manber, op8_length_histogram, op9_boosted_trees, op10_byte_cnn, op11_token_alignment)
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_host_reputation": host_reputation.ORACLE_SQL,

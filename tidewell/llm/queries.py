@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ball_tree, boosted_trees, byte_cnn, host_reputation, html_diff, jaccard_join, length_histogram, packing, rlz_dedup, token_alignment, wu_manber
+from . import ball_tree, boosted_trees, byte_cnn, hard_negatives, host_reputation, html_diff, jaccard_join, length_histogram, packing, rlz_dedup, token_alignment, winnowing, wu_manber
 from .common import table
 
 
@@ -57,9 +57,17 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.links(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.prepared(table(spark, sf_dir, "embeddings")), "vec_id % 100 = 0")
+
+
+def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compared(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_diff, op2_host_reputation, op3_jaccard_join, op4_ball_tree, op5_packing, op6_rlz_dedup, op7_wu_manber, op8_length_histogram, op9_boosted_trees, op10_byte_cnn, op11_token_alignment)
+    for f in (op1_html_diff, op2_host_reputation, op3_jaccard_join, op4_ball_tree, op5_packing, op6_rlz_dedup, op7_wu_manber, op8_length_histogram, op9_boosted_trees, op10_byte_cnn, op11_token_alignment, op12_hard_negatives, op13_winnowing)
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_host_reputation": host_reputation.ORACLE_SQL,
@@ -67,4 +75,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_ball_tree": ball_tree.ORACLE_SQL,
     "op6_rlz_dedup": rlz_dedup.ORACLE_SQL,
     "op7_wu_manber": wu_manber.ORACLE_SQL,
+    "op12_hard_negatives": hard_negatives.ORACLE_SQL,
 }

@@ -15,7 +15,6 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,17 +92,19 @@ PACKED = "row long, doc_id long, piece int, start long, length long, ids_crc32 l
 
 
 def _pack(size: int, round_no: int, parts: int, last: bool):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "row"], ascending=[False, True, True, True], ignore_index=True)
-        lengths = rows["length"].to_numpy(np.int64)
+    def run(rows: pa.Table) -> pa.Table:
+        # Arrow carries the ids as they are; in pandas a null among them would turn them into floats
+        rows = rows.take(pa.array(np.lexsort((rows["row"].to_numpy(), -rows["length"].to_numpy()))))
+        lengths = rows["length"].to_numpy()
         bins, offsets, free = best_fit(lengths, size)
         settled = np.full(len(rows), True)
         if not last and len(free) > lower_bound(lengths, size):
             settled = free[bins] == 0
         elif not last and parts > 1:
             settled = bins != free.argmax()
-        sequence = (round_no << 56) + (int(key[0]) << 24) + bins
-        return rows.drop(columns="part").assign(sequence_id=sequence, offset=offsets, settled=settled)
+        sequence = (round_no << 56) + (rows["part"][0].as_py() << 24) + bins
+        columns = [rows[c].combine_chunks() for c in ("row", "doc_id", "piece", "start", "length", "ids_crc32")]
+        return pa.table([*columns, pa.array(sequence), pa.array(offsets), pa.array(settled)], names=[c.split()[0] for c in PACKED.split(", ")])
 
     return run
 
@@ -123,7 +124,7 @@ def pack(documents: DataFrame, size: int = SIZE, path: str | None = None, partit
         last = n == rounds - 1 or before is not None and left > HARDLY * before
         parts = partitions_for(left, partition_pieces)
         dealt = todo.withColumn("part", F.pmod(F.xxhash64("row", F.lit(n)), F.lit(parts)).cast("int"))
-        packed = dealt.groupBy("part").applyInPandas(_pack(size, n, parts, last), PACKED).checkpoint()
+        packed = dealt.groupBy("part").applyInArrow(_pack(size, n, parts, last), PACKED).checkpoint()
         done.append(packed.where("settled").select(*columns))
         if last:
             break

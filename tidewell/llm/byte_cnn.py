@@ -11,7 +11,6 @@ The prediction is ``und`` with score 0 if the text is null or has no letter, or
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,11 @@ from .common import bounded, map_batches, prepare
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 PER_LANGUAGE, WINDOWS_PER_DOC, EPOCHS, BATCH = 1000, 4, 3, 128
 SPARE, LOTS = 2, 1 << 30
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; digits and numbers in other forms are none."""
+    return any(map(str.isalpha, text))
 
 
 def cut(text: bytes) -> np.ndarray:
@@ -124,7 +127,7 @@ def _samples(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Windows spread evenly over each text."""
     langs, out = [], []
     for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        if text and _LETTER.search(text):
+        if text and has_letter(text):
             windows = cut(text.encode())
             for i in sorted({int(x) for x in np.linspace(0, len(windows) - 1, WINDOWS_PER_DOC)}):
                 langs.append(lang)
@@ -170,7 +173,7 @@ def predict(documents: DataFrame, model: Network | None) -> DataFrame:
             ready.append(net.tables())
         texts = batch.column(2).to_pylist()
         pred, best = ["und"] * len(texts), np.zeros(len(texts))
-        told = [i for i, t in enumerate(texts) if net is not None and t and _LETTER.search(t)]
+        told = [i for i, t in enumerate(texts) if net is not None and t and has_letter(t)]
         cuts = [cut(texts[i].encode()) for i in told]
         if told:
             flat = np.concatenate(cuts)

@@ -263,6 +263,62 @@ def test_empty_tables(nothing, spark):
     assert ball_tree.top_k(vectors, vectors).count() == 0
 
 
+def test_packing_keeps_ids(spark):
+    """Ids beyond double precision beside a null one."""
+    rows = [(None, "a b"), (9007199254740993, "c"), (5, "d"), (None, None)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r.doc_id for r in got), key=str) == [5, 9007199254740993, None, None]
+
+
+def test_top_k_of_repeated_queries(spark):
+    """Rows with one vec_id have each their own answer; scores beyond doubles and longs are exact or the nearest long."""
+    rows = [(50, [1.0, 2.0]), (50, [2.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 3.0]), (3, [1.0, 1.0])]
+    vectors = ball_tree.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    out = sorted((r.rank, r.vec_id, r.score) for r in ball_tree.top_k(vectors, vectors.where("vec_id = 50"), 2, shard_rows=2, block_rows=1).collect())
+    unit = 256 * 256
+    assert out == [(1, 1, 6 * unit), (1, 2, 6 * unit), (2, 1, 3 * unit), (2, 2, 3 * unit)]
+    big = [(0, [2.0**19, 3.0, 2.0**19 + 1]), (1, [2.0**19, 1.0, 2.0**19]), (2, [2.0**19 + 1, 1.0, 2.0**19]), (3, [1e30, 0.0, 1.0]), (4, [-1e30, 0.0, 1.0])]
+    vectors = ball_tree.quantised(spark.createDataFrame(big, "vec_id long, embedding array<float>"))
+    out = {r.vec_id: r.score for r in ball_tree.top_k(vectors, vectors.where("vec_id = 0"), 5).collect()}
+    whole = [[int(256 * x) for x in v] for _, v in big[:3]]
+    assert [out[i] for i in (1, 2)] == [sum(x * y for x, y in zip(whole[0], whole[i])) for i in (1, 2)]
+    assert out[3] == 2**63 - 1 and out[4] == -(2**63)
+
+
+def test_letters():
+    assert [byte_cnn.has_letter(t) for t in ("²", "½ ①", "_ 3", "", "é", "日", "a1")] == [False, False, False, False, True, True, True]
+
+
+def test_adverts_and_comments_inside_articles():
+    kept = lambda inner: [t for t, _ in html_diff.lines_of(f"<body><article><h1>Title</h1><p>Text of some length</p>{inner}</article></body>")][2:]
+    for name in "google-ads adsbygoogle ad-leaderboard advert-300x250 in-article-ad mid-ad sticky-banner inline-promo related-stories commentlist fb-comments wp-block-comments guest-comments".split():
+        assert kept(f'<div class="{name}"><p>gone</p></div>') == [] and kept(f'<ul class="{name}"><li>gone</li></ul>') == [], name
+    assert kept('<section id="comments"><p>gone</p></section>') == []
+    for inner in ('<h2 id="navigation">kept</h2>', '<h2 id="comments">kept</h2>', '<p id="menu">kept</p>', '<section id="subscription"><p>kept</p></section>', '<div class="ad-hoc"><p>kept</p></div>', '<div class="post has-comments"><p>kept</p></div>', '<p class="notice-period">kept</p>'):
+        assert kept(inner) == ["kept"], inner
+    teaser = "<article><h2>Elsewhere</h2></article>"
+    assert [t for t, _ in html_diff.lines_of(f"<body><article><p>{'long text ' * 9}</p></article>{teaser}</body>")] == [("long text " * 9).strip()]
+    assert [t for t, _ in html_diff.lines_of("<article><p>first part</p></article><article><p>other part</p></article>")] == ["first part", "other part"]
+
+
+def test_alignment_in_linear_space(monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    lists = [([rng.randint(0, 6) for _ in range(rng.randint(0, 40))], [rng.randint(0, 6) for _ in range(rng.randint(0, 40))]) for _ in range(150)]
+    whole = [html_diff.common_lines(a, b) for a, b in lists]
+    monkeypatch.setattr(html_diff, "_TABLE_CELLS", 9)
+    for (a, b), want in zip(lists, whole):
+        got = html_diff.common_lines(a, b)
+        assert len(got) == len(want)
+        for side in (a, b):
+            left = iter(side)
+            assert all(x in left for x in got)
+    monkeypatch.undo()
+    many = [i % 5000 for i in range(12_000)]
+    assert len(html_diff.common_lines(many, many[1:] + [7])) >= 11_999  # a full table would hold 576 MB
+
+
 def test_null_ids(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f"), (1, "x y z"), (2, "x y z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -46,7 +46,7 @@ def test_odd_rows(spark, shard_rows, block_rows):
     rows = [(i, int(rng.integers(0, 10)), (centres[rng.integers(0, 4)] + rng.normal(size=8) * rng.choice([0.0, 0.1, 1.0])).astype(np.float32).tolist()) for i in range(300)]
     rows += [(10, 3, rows[10][2]), (10, 3, rows[10][2]), (20, None, rows[1][2]), (None, 1, rows[1][2]), (30, 1, None), (40, 1, [1.0, None]), (50, 2, [float("nan")] * 8), (60, 2, [float("inf")] * 8)]
     rows += [(500 + i, i % 3, [0.0] * 8) for i in range(12)] + [(600 + i, i % 3, [1.0, float(i % 2)]) for i in range(12)] + [(700 + i, i % 2, []) for i in range(12)]
-    rows += [(800 + i, i % 2, [float(2**18), float(i), float(2**22 + i)]) for i in range(12)] + [(900 + i, i % 2, [1e12, float(i), 1.0, float(1e30)]) for i in range(12)]
+    rows += [(800 + i, i % 2, [float(2**18), float(i), float(2**22 + i)]) for i in range(12)] + [(900 + i, i % 2, [1e12, float(i), 1.0, float(1e30) * (-1) ** i]) for i in range(12)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, label int, embedding array<float>, row int").repartition(4)
     plain_rows = [(a, b, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for a, b, v in rows]
     got = mined(df, 10, shard_rows=shard_rows, block_rows=block_rows)

@@ -1,14 +1,15 @@
 """Exact top-k inner-product search: a ball tree for each shard, searched by branch and bound.
 
 The inner product of a query q with any vector of a node is at most q.c + |q| r (centre c,
-radius r). Nodes are visited in the order of that bound and left out when it is strictly below the
+radius r). Of two children the one with the higher bound is opened first, and a node is left out when it is strictly below the
 query's current k-th score, so that ties go to the least vec_id. Each query first searches one shard; the k-th score found there is
 the floor with which it enters all other shards, so most of their nodes are never opened.
 
 Queries travel to shards in blocks; a task holds one shard and one block, whatever the table's
 size. Null vectors, and vectors with null or non-finite components, take no part. Vectors of
 different lengths never meet; an empty vector scores 0 with other empty ones. A repeated vec_id
-is a row of its own for others, but no row is a candidate for its own vec_id.
+is a row of its own: each of its queries has its own answer, but no row is a candidate for its own vec_id. Scores are exact
+integers; components and scores beyond a long count as the nearest long.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import partitions_for, prepare
+from .common import LONG, inner_products, partitions_for, prepare
 
 SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 8192, 2048, 64
 SCALE = 256.0
@@ -51,18 +52,19 @@ class BallTree:
         self.centres = np.array([self.vectors[a:b].mean(0) for a, b, _, _ in self.nodes])
         self.radii = np.array([np.sqrt(((self.vectors[a:b] - c) ** 2).sum(1).max()) for (a, b, _, _), c in zip(self.nodes, self.centres, strict=True)])
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (score, id) of each query with at least its floor; id -1 fills up."""
-        best = np.full((len(queries), k), -np.inf)
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best (score, id) of each query with at least its floor, and which of them there are."""
+        best = np.full((len(queries), k), -LONG, dtype=np.int64)
+        held = np.zeros((len(queries), k), dtype=bool)
         which = np.full((len(queries), k), np.iinfo(np.int64).max)
         norms = np.sqrt((queries**2).sum(1))
         # what rounding may take from a bound, whatever its sign: equal scores must not be left out
-        slack = norms[:, None] * (np.sqrt((self.centres**2).sum(1)) + self.radii) * 1e-11 + 1e-6
+        slack = norms[:, None] * (np.sqrt((self.centres**2).sum(1)) + self.radii) * 1e-9 + 1e-6
         bounds = queries @ self.centres.T + norms[:, None] * self.radii + slack
         todo = [(0, np.arange(len(queries)))]
         while todo:
             node, who = todo.pop()
-            who = who[bounds[who, node] >= np.maximum(best[who, -1], floors[who])]
+            who = who[bounds[who, node] >= np.maximum(best[who, -1], floors[who]).astype(np.float64)]
             if not len(who):
                 continue
             start, stop, left, right = self.nodes[node]
@@ -72,31 +74,32 @@ class BallTree:
                     if len(part):
                         todo += [(far, part), (near, part)]
                 continue
-            scores = np.rint(queries[who] @ self.vectors[start:stop].T)
+            scores = inner_products(queries[who], self.vectors[start:stop])
             ids = np.broadcast_to(self.ids[start:stop], scores.shape)
-            scores = np.where((ids == own[who][:, None]) | (scores < floors[who][:, None]), -np.inf, scores)
-            scores, ids = np.concatenate([best[who], scores], 1), np.concatenate([which[who], ids], 1)
-            top = np.lexsort((ids, -scores), axis=1)[:, :k]
-            best[who], which[who] = np.take_along_axis(scores, top, 1), np.take_along_axis(ids, top, 1)
-        return best, np.where(np.isfinite(best), which, -1)
+            fits = (ids != own[who][:, None]) & (scores >= floors[who][:, None])
+            scores, ids, fits = np.concatenate([best[who], scores], 1), np.concatenate([which[who], ids], 1), np.concatenate([held[who], fits], 1)
+            top = np.lexsort((ids, ~scores, ~fits), axis=1)[:, :k]
+            found = np.take_along_axis(fits, top, 1)
+            best[who], which[who], held[who] = np.where(found, np.take_along_axis(scores, top, 1), -LONG), np.take_along_axis(ids, top, 1), found
+        return best, which, held
 
 
 def _search(k: int):
     def run(shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        none = pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
         if shard.empty or queries.empty:
             return none
         stack = lambda s: np.array(s.tolist(), dtype=np.float64).reshape(len(s), -1)
         tree = BallTree(stack(shard["v"]), shard["vec_id"].to_numpy(np.int64))
         asked = queries["asked"].to_numpy(np.int64)
-        best, ids = tree.search(stack(queries["q"]), asked, k, queries["q_floor"].to_numpy(np.float64))
-        row, col = np.nonzero(ids != -1)
-        return pd.DataFrame({"query_id": asked[row], "vec_id": ids[row, col], "score": best[row, col].astype(np.int64)})
+        best, ids, held = tree.search(stack(queries["q"]), asked, k, queries["q_floor"].to_numpy(np.int64))
+        row, col = np.nonzero(held)
+        return pd.DataFrame({"query": queries["query"].to_numpy(np.int64)[row], "query_id": asked[row], "vec_id": ids[row, col], "score": best[row, col]})
 
     return run
 
 
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query long, query_id long, vec_id long, score long"
 
 
 def quantised(embeddings: DataFrame) -> DataFrame:
@@ -112,29 +115,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     prepare(vectors.sparkSession)
     vectors = vectors.checkpoint()
     shards = partitions_for(vectors.count(), shard_rows)
+    queries = queries.withColumn("query", F.monotonically_increasing_id()).checkpoint()
     blocks = partitions_for(queries.count(), block_rows)
     part = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
     vectors = vectors.withColumn("shard", part(shards, "vec_id", F.lit(1)))
-    asked = queries.withColumn("block", part(blocks, "vec_id", F.lit(2))).withColumn("home", part(shards, "vec_id", F.lit(1)))
+    asked = queries.withColumn("block", part(blocks, "query", F.lit(2))).withColumn("home", part(shards, "vec_id", F.lit(1)))
     keys = ["shard", "block", "dim"]
     stored = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*keys, "vec_id", "v")
 
     def meet(q: DataFrame) -> DataFrame:
-        named = q.select(*(F.col(c).alias(f"q_{c}") for c in keys), F.col("vec_id").alias("asked"), F.col("v").alias("q"), F.col("floor").alias("q_floor"))
+        named = q.select(*(F.col(c).alias(f"q_{c}") for c in keys), "query", F.col("vec_id").alias("asked"), F.col("v").alias("q"), F.col("floor").alias("q_floor"))
         return stored.groupBy(*keys).cogroup(named.groupBy(*(f"q_{c}" for c in keys))).applyInPandas(_search(k), FOUND)
 
-    home = meet(asked.withColumn("shard", F.col("home")).withColumn("floor", F.lit(float("-inf")))).checkpoint()
-    floors = home.groupBy(F.col("query_id").alias("asked_id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-    others = asked.join(floors, F.col("vec_id") == F.col("asked_id"), "left").withColumn("floor", F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf"))))
+    home = meet(asked.withColumn("shard", F.col("home")).withColumn("floor", F.lit(-LONG))).checkpoint()
+    floors = home.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+    others = asked.join(floors, "query", "left").withColumn("floor", F.coalesce("kth", F.lit(-LONG)))
     others = others.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     found = home.union(meet(others)) if shards > 1 else home
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast(T.IntegerType()).alias("rank"), "vec_id", "score")
 
 
 ORACLE_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
-SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """

@@ -108,5 +108,22 @@ def column_lists(column: pa.Array) -> list[np.ndarray]:
     return np.split(flat, ends[:-1]) if len(column) else []
 
 
+#: One beyond the greatest long.
+LONG = 2**63
+
+
+def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Integer inner products of rows of whole numbers, beyond a long the nearest long."""
+    most = np.abs(a).max(initial=0.0) * np.abs(b).max(initial=0.0) * max(1, a.shape[1])
+    if most < float(2**53):
+        return (a @ b.T).astype(np.int64)
+    if most < LONG / 2:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = np.vectorize(int, otypes=[object])
+    if not a.size or not b.size:
+        return np.zeros((len(a), len(b)), dtype=np.int64)
+    return np.clip(whole(a) @ whole(b).T, -LONG, LONG - 1).astype(np.int64)
+
+
 def partitions_for(rows: int, per_partition: int) -> int:
     return max(1, -(-rows // per_partition))

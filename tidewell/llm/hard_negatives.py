@@ -26,28 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions_for, prepare
+from .common import LONG, inner_products, partitions_for, prepare
 
 SHARD_ROWS, BLOCK_ROWS = 8192, 1024
 #: Directions to put anchors with, fitted to a bounded sample of anchors; answers don't depend on them.
 DIRECTIONS, SAMPLE, FIT_ROUNDS = 64, 4096, 5
 POSITIVES, NEGATIVES, LOW_PERCENT = 5, 5, 80
 SCALE = 256.0
-_LONG = 2**63
-_EXACT = float(2**53)
-
-
-def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products of rows of whole numbers, beyond a long the nearest long."""
-    most = np.abs(a).max(initial=0.0) * np.abs(b).max(initial=0.0) * max(1, a.shape[1])
-    if most < _EXACT:
-        return (a @ b.T).astype(np.int64)
-    if most < _LONG / 2:
-        return a.astype(np.int64) @ b.astype(np.int64).T
-    whole = np.vectorize(int, otypes=[object])
-    if not a.size or not b.size:
-        return np.zeros((len(a), len(b)), dtype=np.int64)
-    return np.clip(whole(a) @ whole(b).T, -_LONG, _LONG - 1).astype(np.int64)
 
 
 def _directions(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +98,7 @@ def walk(members: np.ndarray, who: np.ndarray, low: np.ndarray, high: np.ndarray
 def _top(found: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
     """The k best (walker, id, score) of each walker, in order; ties go to the lesser id."""
     walker, vec, score = found
-    order = np.lexsort((vec, -score, walker))
+    order = np.lexsort((vec, ~score, walker))
     walker = walker[order]
     first = np.append(True, walker[1:] != walker[:-1])
     rank = np.arange(len(walker)) - np.maximum.accumulate(np.where(first, np.arange(len(walker)), 0))
@@ -133,7 +118,7 @@ def _positives(k: int):
         own, label = shard["row"].to_numpy(), shard["label"].to_numpy()
         anchors, labels = block["a_row"].to_numpy(), block["a_label"].to_numpy()
         fits = lambda w, c: (label[c] == labels[w][:, None]) & (own[c] != anchors[w][:, None])
-        lowest, highest = (np.full(len(block), x, dtype=np.int64) for x in (-_LONG, _LONG - 1))
+        lowest, highest = (np.full(len(block), x, dtype=np.int64) for x in (-LONG, LONG - 1))
         who, ids, scores = walk(_stack(block["a_v"]), np.arange(len(block)), lowest, highest, k, _stack(shard["v"]), shard["vec_id"].to_numpy(np.int64), fits)
         return pd.DataFrame({"anchor": anchors[who], "vec_id": ids, "score": scores})
 

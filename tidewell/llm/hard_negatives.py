@@ -30,7 +30,7 @@ from .common import LONG, inner_products, partitions_for, prepare
 
 SHARD_ROWS, BLOCK_ROWS = 8192, 1024
 #: Directions to put anchors with, fitted to a bounded sample of anchors; answers don't depend on them.
-DIRECTIONS, SAMPLE, FIT_ROUNDS = 64, 4096, 5
+DIRECTIONS, SAMPLE, FIT_ROUNDS, MEMBERS = 64, 4096, 5, 512
 POSITIVES, NEGATIVES, LOW_PERCENT = 5, 5, 80
 SCALE = 256.0
 
@@ -153,12 +153,16 @@ def prepared(embeddings: DataFrame) -> DataFrame:
 
 
 def _fitted(anchors: DataFrame) -> dict[int, np.ndarray]:
-    """Directions by length of vector, spherical k-means on a bounded sample of anchors."""
+    """Directions by length of vector, spherical k-means on a bounded sample of anchors, one for about ``MEMBERS`` of all.
+
+    Every cluster costs a copy of the candidates, so few anchors get few of them.
+    """
+    wanted = min(DIRECTIONS, 1 + anchors.count() // MEMBERS)
     sample = anchors.orderBy(F.xxhash64("vec_id", "row")).limit(SAMPLE).select("v").toPandas()["v"]
     out = {}
     for dim in {len(x) for x in sample if len(x)}:
         units, _ = _directions(np.array([x for x in sample if len(x) == dim], dtype=np.float64))
-        centres = units[: min(DIRECTIONS, 1 + len(units) // 16)]
+        centres = units[:wanted]
         for _ in range(FIT_ROUNDS):
             near = (units @ centres.T).argmax(1)
             sums = np.array([units[near == c].sum(0) for c in range(len(centres))])

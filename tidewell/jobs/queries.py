@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import models
-from ..operators import collect, compare, dists, etl, metrics, posterior, series
+from ..functions import models, normal
+from ..operators import collect, compare, diagnostics, dists, etl, metrics, posterior, series, vectors
+from ..operators.ranks import percentiles
 from ..sources.tables import daily_series, table
 from . import infer
 
@@ -64,15 +65,25 @@ def densify_grid(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(etl.densify(daily, "user_id", "day", "total"))
 
 
-@query("""WITH d AS (SELECT event_type AS gene, hour(ts)::DOUBLE + (minute(ts) // 15)::DOUBLE / 4 AS time, avg(value) AS y FROM events WHERE user_id % 3 = 0 GROUP BY 1, 2)
+@query("""WITH d AS (SELECT event_type AS gene, hour(ts)::DOUBLE + (minute(ts) // 15)::DOUBLE / 4 AS time, avg(value) AS y FROM events GROUP BY 1, 2)
 SELECT gene, time, round(y, 6) AS y FROM (SELECT DISTINCT gene FROM d) CROSS JOIN (SELECT DISTINCT time FROM d) LEFT JOIN d USING (gene, time)""")
 def densify_fractional(spark: SparkSession, sf: str) -> DataFrame:
     """Series over observed times that are no integers: quarters of an hour of the day."""
     time = F.hour("ts") + F.floor(F.minute("ts") / 15).cast("double") / 4.0
-    rows = table(spark, sf, "events").where("user_id % 3 = 0").groupBy(F.col("event_type").alias("gene"), time.alias("time")).agg(F.avg("value").alias("y"))
+    rows = table(spark, sf, "events").groupBy(F.col("event_type").alias("gene"), time.alias("time")).agg(F.avg("value").alias("y"))
     return rounded(etl.densify(rows, "gene", "time", "y"))
 
 
+@query("""WITH d AS (SELECT user_id, date_diff('day', DATE '1970-01-01', ts::DATE)::DOUBLE AS day, sum(value) AS total FROM events GROUP BY 1, 2), t AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i FROM (SELECT DISTINCT day FROM d))
+SELECT user_id, i, t.day, round(total, 6) AS total FROM (SELECT DISTINCT user_id FROM d) CROSS JOIN t LEFT JOIN d USING (user_id, day)""")
+def dense_series(spark: SparkSession, sf: str) -> DataFrame:
+    """One array a user over all days that any user has, null where the user has none; told place by place."""
+    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("double")
+    daily = table(spark, sf, "events").groupBy("user_id", day.alias("day")).agg(F.sum("value").alias("total"))
+    rows = vectors.dense(daily, "user_id", "day", "total").select("user_id", F.posexplode("series").alias("i", "p"))
+    return rounded(rows.select("user_id", F.col("i").cast("long").alias("i"), "p.day", "p.total"))
+
+
 @query(f"WITH {DAILY} SELECT gene, time, round(y, 6) AS y FROM daily WHERE time BETWEEN 2 AND 12")
 def time_slice(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(series.time_slice(daily_series(table(spark, sf, "events")), 2, 12))
@@ -114,17 +125,25 @@ def forcing_exposure(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(series.exposure(daily, "f").select("gene", "time", "exposure"), 9)
 
 
-@query(f"""WITH {DAILY}, ends AS (SELECT gene, max(time) AS t_end FROM daily GROUP BY 1),
+GRIDDED = """ends AS (SELECT gene, max(time) AS t_end FROM daily GROUP BY 1),
 grid AS (SELECT gene, i, i * t_end / 1000 AS time, least(greatest(i * t_end / 1000 - 3, 0), 1)::DOUBLE AS f FROM ends, range(0, 1001) AS k(i)),
-near AS (SELECT d.gene, d.time, max(g.i) FILTER (g.time <= d.time) AS a, min(g.i) FILTER (g.time >= d.time) AS b FROM daily d JOIN grid g USING (gene) GROUP BY 1, 2)
-SELECT gene, near.time, round(x.f + CASE WHEN x.time = y.time THEN 0 ELSE (y.f - x.f) * (near.time - x.time) / (y.time - x.time) END, 6) AS forcing
-FROM near JOIN grid x USING (gene) JOIN grid y USING (gene) WHERE x.i = a AND y.i = b""")
+near AS (SELECT d.gene, d.time, max(g.i) FILTER (g.time <= d.time) AS a, min(g.i) FILTER (g.time >= d.time) AS b FROM daily d JOIN grid g USING (gene) GROUP BY 1, 2),
+forced AS (SELECT gene, near.time, x.f + CASE WHEN x.time = y.time THEN 0 ELSE (y.f - x.f) * (near.time - x.time) / (y.time - x.time) END AS forcing
+  FROM near JOIN grid x USING (gene) JOIN grid y USING (gene) WHERE x.i = a AND y.i = b)"""
+
+
+@query(f"WITH {DAILY}, {GRIDDED} SELECT gene, time, round(forcing, 6) AS forcing FROM forced")
 def forcing_regrid(spark: SparkSession, sf: str) -> DataFrame:
     """The ramp sampled on 1001 points up to each series' end, read again at its own times."""
+    return rounded(forcing_on_grid(spark, sf).withColumnRenamed("f", "forcing"))
+
+
+def forcing_on_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """(gene, time, f): ``forcing_regrid`` as it is."""
     daily = daily_series(table(spark, sf, "events"))
     ends = daily.groupBy("gene").agg(F.max("time").alias("t_end"))
     grid = models.time_grid(ends, "t_end").withColumn("y", models.ramp(F.col("time")).cast("double"))
-    return rounded(series.regrid(grid, daily.select("gene", "time")).withColumnRenamed("y", "forcing"))
+    return series.regrid(grid, daily.select("gene", "time")).withColumnRenamed("y", "f")
 
 
 @query("WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS rn FROM part) SELECT p_partkey, rn, (rn - 1) // 500 + 1 AS chunk FROM p")
@@ -140,33 +159,41 @@ def _started(spark: SparkSession, sf: str) -> DataFrame:
     return daily.join(series.initial_values(daily).select("gene", "first", "beta0", "alpha0"), "gene")
 
 
-def _model(name: str):
-    """A query that evaluates one model at each series' own times, with priors' medians as parameters."""
+def _model(name: str, gridded: bool = False):
+    """A query that evaluates one model at each series' own times, with priors' medians as parameters.
+
+    ``gridded``: the forcing is sampled on 1001 points up to the series' end, read again at its own times, integrated between them
+    and told beside the output; else it is the ramp itself.
+    """
     prior = {k: v.median for k, v in models.PRIORS[name].items()}
     z_decay, repressed = name.endswith("_z"), "alpha" in prior
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = _started(spark, sf).withColumn("f", models.ramp(F.col("time")))
+        rows = _started(spark, sf)
+        rows = rows.join(forcing_on_grid(spark, sf), ["gene", "time"]) if gridded else rows.withColumn("f", models.ramp(F.col("time")))
         rows = series.exposure(rows, "f")
         t = F.col("time")
         m = models.maternal(F.col("first"), F.lit(prior["delta_m"]), F.col("exposure") if z_decay else t)
         extra = (F.col("alpha0"), F.lit(prior["dt_rep"])) if repressed else ()
         z = models.zygotic(t, F.lit(prior["delta_z"]), lambda u: models.production(u, F.col("beta0"), F.lit(prior["t_zga"]), *extra))
-        return rounded(rows.select("gene", "time", (m + z).alias("y")))
+        return rounded(rows.select("gene", "time", (m + z).alias("y"), *(["f"] if gridded else [])))
 
     on, off = "(1 / (1 + exp(-greatest(least(5 * (u - 3), 700), -700))))", "(1 / (1 + exp(-greatest(least(5 * (u - 9), 700), -700))))"
     g = f"(alpha0 * {on} * (1 - {off}) + beta0 * {off})" if repressed else f"(beta0 * {on})"
-    sql = f"""WITH {DAILY}, {INIT}, r AS (SELECT gene, time, least(greatest(time - 3, 0), 1) AS f FROM daily),
-e AS (SELECT gene, time, sum(coalesce(step, 0)) OVER (PARTITION BY gene ORDER BY time) AS exposure FROM (SELECT *, (time - lag(time) OVER w) * (f + lag(f) OVER w) / 2 AS step FROM r WINDOW w AS (PARTITION BY gene ORDER BY time))),
+    forcing = f"{GRIDDED}, r AS (SELECT gene, time, forcing AS f FROM forced)" if gridded else "r AS (SELECT gene, time, least(greatest(time - 3, 0), 1) AS f FROM daily)"
+    sql = f"""WITH {DAILY}, {INIT}, {forcing},
+e AS (SELECT gene, time, f, sum(coalesce(step, 0)) OVER (PARTITION BY gene ORDER BY time) AS exposure FROM (SELECT *, (time - lag(time) OVER w) * (f + lag(f) OVER w) / 2 AS step FROM r WINDOW w AS (PARTITION BY gene ORDER BY time))),
 z AS (SELECT gene, time, sum(w * exp(-0.1::DOUBLE * (time - u)) * {g}) * time / 1000 / 3 AS z FROM
   (SELECT e.gene, time, beta0, alpha0, i * time / 1000 AS u, CASE WHEN i = 0 OR i = 1000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM e JOIN start USING (gene), range(0, 1001) AS k(i)) GROUP BY 1, 2)
-SELECT gene, time, round(first * exp(-{prior["delta_m"]}::DOUBLE * {"exposure" if z_decay else "time"}) + z, 6) AS y FROM e JOIN start USING (gene) JOIN z USING (gene, time)"""
-    run.__name__ = f"model_{name}"
+SELECT gene, time, round(first * exp(-{prior["delta_m"]}::DOUBLE * {"exposure" if z_decay else "time"}) + z, 6) AS y{", round(f, 6) AS f" if gridded else ""} FROM e JOIN start USING (gene) JOIN z USING (gene, time)"""
+    run.__name__ = f"model_{name}{'_grid' if gridded else ''}"
     query(sql)(run)
 
 
 for _name in ("zga_m", "zga_z", "rep_m", "rep_z"):
     _model(_name)
+for _name in ("zga_z", "rep_z"):
+    _model(_name, gridded=True)
 
 PRED = f"{DAILY}, {INIT}, pairs AS (SELECT gene, time, y AS obs, first * exp(-0.1::DOUBLE * time) + beta0 / 0.1::DOUBLE * (1 - exp(-0.1::DOUBLE * time)) AS pred FROM daily JOIN start USING (gene))"
 
@@ -185,7 +212,7 @@ def model_basic(spark: SparkSession, sf: str) -> DataFrame:
 def prior_density(spark: SparkSession, sf: str) -> DataFrame:
     """Log-normal density of each part's price around its brand's median."""
     part = table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice")
-    middle = part.groupBy("p_brand").agg(F.median("p_retailprice").alias("m"))
+    middle = percentiles(part, ["p_brand"], "p_retailprice", {"m": 0.5})
     return rounded(part.join(middle, "p_brand").select("p_partkey", models.log_prior(F.col("p_retailprice"), F.col("m"), 1.0).alias("log_prior")))
 
 
@@ -207,6 +234,18 @@ def fit_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.fit_metrics(_pairs(spark, sf), ["gene"]), spearman=8)
 
 
+@query(f"""WITH {PRED}, {_errors_sql("pairs", "gene")}, {RHO.format(k="gene", a="obs", b="pred", t="pairs")},
+r AS (SELECT *, obs - pred AS r, lag(obs - pred) OVER w AS l, var_pop(obs - pred) OVER (PARTITION BY gene ORDER BY time ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v,
+  count(*) OVER (PARTITION BY gene ORDER BY time ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS c FROM pairs WINDOW w AS (PARTITION BY gene ORDER BY time)),
+d AS (SELECT gene, avg(CASE WHEN c = 3 THEN v END) / nullif(var_pop(r), 0) AS variance_ratio, covar_pop(r, l) FILTER (l IS NOT NULL) / nullif(stddev_pop(r) FILTER (l IS NOT NULL) * stddev_pop(l), 0) AS autocorrelation,
+  sum(-0.5::DOUBLE * ln(2 * pi() * 0.25::DOUBLE) - pow(ln(1 + obs) - ln(1 + pred), 2) / 0.5::DOUBLE) AS log_likelihood FROM r GROUP BY 1)
+SELECT gene, n, round(rmse, 6) AS rmse, round(rmse / nullif(span, 0), 6) AS nrmse_range, round(rmse / nullif(mean, 0), 6) AS nrmse_mean, round(rmse / nullif(sd, 0), 6) AS nrmse_std, round(mase, 6) AS mase, round(spearman, 8) AS spearman,
+  round(variance_ratio, 6) AS variance_ratio, round(autocorrelation, 6) AS autocorrelation, round(log_likelihood, 6) AS log_likelihood, round(3 * ln(n) - 2 * log_likelihood, 6) AS bic FROM err JOIN rho USING (gene) JOIN d USING (gene)""")
+def fit_metrics_dense(spark: SparkSession, sf: str) -> DataFrame:
+    """All metrics of each series as folds over one array."""
+    return rounded(vectors.fold_metrics(vectors.vectors(_pairs(spark, sf), ["gene"], ["time", "obs", "pred"])), spearman=8)
+
+
 @query(f"""WITH {PRED}, half AS (SELECT * FROM pairs WHERE time::BIGINT % 2 = 0), {_errors_sql("half", "gene")}
 SELECT gene, n, round(rmse, 6) AS rmse, round(mase, 6) AS mase FROM err""")
 def paired_errors(spark: SparkSession, sf: str) -> DataFrame:
@@ -285,7 +324,7 @@ def _fits(spark: SparkSession, sf: str) -> DataFrame:
     rows = lines.join(orders, "l_orderkey").join(part, "l_partkey")
     pred = F.col("l_quantity") * (1.0 + (F.col("l_discount") - 0.05) * F.col("p_size") / 2.0)
     rows = rows.select(F.col("o_orderpriority").alias("model"), F.col("l_partkey").alias("gene"), F.col("l_quantity").alias("obs"), pred.alias("pred"))
-    out = metrics.fit_metrics(rows, ["model", "gene"]).select("model", "gene", "n", *(F.round(c, 10).alias(c) for c in ("nrmse_range", "mase", "spearman")))
+    out = vectors.fold_metrics(vectors.vectors(rows, ["model", "gene"], ["obs", "pred"])).select("model", "gene", "n", *(F.round(c, 10).alias(c) for c in ("nrmse_range", "mase", "spearman")))
     return out.withColumn("cluster", F.col("gene") % 5).withColumn("ok", compare.accepted())
 
 
@@ -391,6 +430,29 @@ def value_counts(spark: SparkSession, sf: str) -> DataFrame:
     return compare.value_counts(table(spark, sf, "orders").where(~F.col("o_orderpriority").eqNullSafe("5-LOW")), "o_orderpriority")
 
 
+_CHAINS = """base AS (SELECT event_type AS gene, user_id % 4 AS chain, value AS x, row_number() OVER (PARTITION BY event_type, user_id % 4 ORDER BY event_id) AS draw, count(*) OVER (PARTITION BY event_type, user_id % 4) AS held FROM events),
+far AS (SELECT *, abs(x - median(x) OVER (PARTITION BY gene)) AS f, min(held) OVER (PARTITION BY gene) AS n_draws FROM base),
+ranked AS (SELECT *, rank() OVER (PARTITION BY gene ORDER BY x) + (count(*) OVER (PARTITION BY gene, x) - 1) / 2.0::DOUBLE AS rx,
+  rank() OVER (PARTITION BY gene ORDER BY f) + (count(*) OVER (PARTITION BY gene, f) - 1) / 2.0::DOUBLE AS rf, count(*) OVER (PARTITION BY gene) AS n FROM far),
+shares AS (SELECT *, n_draws // 2 AS half, (rx - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS px, (rf - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS pf FROM ranked),
+halves AS (SELECT gene, n_draws, half, chain * 2 + (draw > half)::INT AS part, CASE WHEN draw > half THEN draw - (held - half) ELSE draw END AS i, {px} AS z, {pf} AS zf FROM shares WHERE draw <= half OR draw > held - half),
+each AS (SELECT gene, n_draws, half, part, avg(z) AS m, var_samp(z) AS v, avg(zf) AS mf, var_samp(zf) AS vf FROM halves GROUP BY ALL),
+hats AS (SELECT gene, n_draws, half, count(*) AS parts, sqrt(((half - 1) / half::DOUBLE * avg(v) + var_samp(m)) / avg(v)) AS a, sqrt(((half - 1) / half::DOUBLE * avg(vf) + var_samp(mf)) / avg(vf)) AS b,
+  avg(v) AS within, avg(v) * (half - 1) / half::DOUBLE + var_samp(m) AS over_all FROM each GROUP BY gene, n_draws, half),
+lags AS (SELECT x.gene, y.i - x.i AS t, sum((x.z - e.m) * (y.z - e.m)) / e.half::DOUBLE / any_value(h.parts) AS c FROM halves x JOIN halves y ON x.gene = y.gene AND x.part = y.part AND y.i >= x.i JOIN each e ON e.gene = x.gene AND e.part = x.part JOIN hats h ON h.gene = x.gene GROUP BY x.gene, y.i - x.i, e.half),
+rho AS (SELECT gene, t, CASE WHEN t = 0 THEN 1 ELSE 1 - (within - c) / over_all END AS r FROM lags JOIN hats USING (gene)),
+pairs AS (SELECT gene, t // 2 AS j, sum(r) AS p FROM rho GROUP BY 1, 2 HAVING count(*) = 2),
+open AS (SELECT *, min(p) OVER (PARTITION BY gene ORDER BY j) AS kept FROM pairs),
+taus AS (SELECT gene, sum(kept) FILTER (kept >= 0) AS s FROM open GROUP BY 1)""".format(px=normal.quantile_sql("px"), pf=normal.quantile_sql("pf"))
+
+
+@query(f"""WITH {_CHAINS} SELECT gene, 4::BIGINT AS chains, n_draws, round(greatest(a, b), 6) AS rhat, round(parts * half / greatest(2 * s - 1, 1 / log10(parts * half)), 3) AS ess FROM hats JOIN taus USING (gene)""")
+def chain_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    """R-hat and effective sample size of four chains a type of event, a quarter of the users each."""
+    draws = table(spark, sf, "events").select(F.col("event_type").alias("gene"), (F.col("user_id") % 4).alias("chain"), F.col("event_id").alias("draw"), "value")
+    return rounded(diagnostics.convergence(draws, ["gene"]), ess=3)
+
+
 # ---- reports
 
 def _hdi_sql(t: str, keys: str, value: str, out: str) -> str:
@@ -444,6 +506,33 @@ def predictive_dense(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(posterior.predictive(draws, grid, ["gene"], curve).groupBy("gene", "i").agg(F.avg("pred").alias("mean")))
 
 
+@query(f"""WITH {DRAWN}, numbered AS (SELECT DISTINCT gene, draw, dense_rank() OVER (PARTITION BY gene ORDER BY draw) AS i, n FROM params JOIN (SELECT gene, count(*) AS n FROM params GROUP BY 1) USING (gene)),
+thin AS (SELECT gene, time, pred FROM predicted JOIN numbered USING (gene, draw) WHERE i * 25 // n > (i - 1) * 25 // n), {_hdi_sql("thin", "gene, time", "pred", "band")}
+SELECT gene, time, round(avg(pred), 6) AS mean, round(median(pred), 6) AS median, round(max(lower), 6) AS hdi_lo, round(max(upper), 6) AS hdi_hi, count(*) AS n FROM thin JOIN band USING (gene, time) GROUP BY 1, 2""")
+def predictive_band(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean, median and shortest 95 % interval over 25 evenly spaced draws at every time of a series."""
+    draws, curve = _draw_params(spark, sf)
+    times = daily_series(table(spark, sf, "events")).select("gene", "time")
+    return rounded(posterior.predictive_band(posterior.predictive(posterior.thinned(draws, ["gene"], 25), times, ["gene"], curve), ["gene", "time"]))
+
+
+_PRIOR_U = {p: f"((0.5::DOUBLE + draw * {a!r}::DOUBLE) - floor(0.5::DOUBLE + draw * {a!r}::DOUBLE))" for p, a in zip(models.PRIORS["basic"], posterior.STEPS)}
+
+
+@query(f"""WITH {DAILY}, {INIT}, u AS (SELECT gene, first, beta0, draw::BIGINT AS draw, {", ".join(f"{u} AS u_{p}" for p, u in _PRIOR_U.items())} FROM start, range(0, 64) AS k(draw)),
+params AS (SELECT gene, first, draw, beta0 * exp({normal.quantile_sql("u_beta")}) AS beta, 0.1::DOUBLE * exp({normal.quantile_sql("u_delta")}) AS delta FROM u)
+SELECT gene, time, round(avg(p), 6) AS mean, round(median(p), 6) AS median, round(quantile_cont(p, 0.05), 6) AS lo, round(quantile_cont(p, 0.95), 6) AS hi
+FROM (SELECT gene, time, first * exp(-delta * time) + beta / delta * (1 - exp(-delta * time)) AS p FROM params JOIN daily USING (gene)) GROUP BY 1, 2""")
+def prior_predictive(spark: SparkSession, sf: str) -> DataFrame:
+    """Curves of the basic model under its priors alone: 64 draws a series, their mean, median and 90 % interval at each time."""
+    daily = daily_series(table(spark, sf, "events"))
+    draws = posterior.prior_draws(series.initial_values(daily), models.PRIORS["basic"], 64)
+    curve = models.basic(F.col("first"), F.col("beta"), F.col("delta"), F.col("time"))
+    rows = posterior.predictive(draws, daily.select("gene", "time"), ["gene"], curve)
+    spans = posterior.point_interval(rows, ["gene", "time"], "pred")
+    return rounded(rows.groupBy("gene", "time").agg(F.avg("pred").alias("mean")).join(spans, ["gene", "time"]).select("gene", "time", "mean", "median", "lo", "hi"))
+
+
 @query(f"WITH {DRAWN} SELECT gene, metric, round(avg(value), 6) AS mean, round(max(lower), 6) AS lower, round(max(upper), 6) AS upper FROM long JOIN spans USING (gene, metric) GROUP BY 1, 2")
 def gof_from_draws(spark: SparkSession, sf: str) -> DataFrame:
     """NRMSE, log-likelihood and BIC of every draw, their means and shortest 95 % intervals."""
@@ -568,6 +657,18 @@ def param_kde_by_cluster(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(compare.labelled(dists.kde(params, "cluster", "beta_mean"), "cluster", compare.CLUSTERS, "cluster_name").drop("cluster"))
 
 
+@query(f"""WITH x AS (SELECT o_orderpriority, o_totalprice AS x FROM orders),
+e AS (SELECT o_orderpriority, min(x) AS lo, max(x) AS hi, stddev_samp(x) * pow(count(*), -0.2::DOUBLE) AS h, count(*) AS n FROM x GROUP BY 1),
+p AS (SELECT o_orderpriority, (x - lo) / (hi - lo) * 65535 AS pos FROM x JOIN e USING (o_orderpriority)),
+c AS (SELECT o_orderpriority, cell, sum(w) AS w FROM (SELECT o_orderpriority, floor(pos) AS cell, 1 - (pos - floor(pos)) AS w FROM p UNION ALL SELECT o_orderpriority, floor(pos) + 1, pos - floor(pos) FROM p) GROUP BY 1, 2),
+g AS (SELECT *, unnest(range(0, 50)) AS i FROM e),
+z AS (SELECT o_orderpriority, i, n, w, lo + (hi - lo) * i / 49 AS x, (lo + (hi - lo) * i / 49 - (lo + (hi - lo) * cell / 65535)) / h AS z FROM g JOIN c USING (o_orderpriority))
+SELECT o_orderpriority, i, round(x, 6) AS x, round(sum(w * {normal.cdf_sql("z")}) / n, 6) AS cdf FROM z GROUP BY o_orderpriority, i, n, x""")
+def smooth_cumulative(spark: SparkSession, sf: str) -> DataFrame:
+    """Cumulative densities: each value counts by a normal distribution around it, values in cells of a fine grid first."""
+    return rounded(dists.smooth_cumulative(table(spark, sf, "orders").select("o_orderpriority", "o_totalprice"), ["o_orderpriority"], "o_totalprice"))
+
+
 _ORDER = ", ".join(f"({i}, '{p}')" for i, p in enumerate([*PRIORITIES, "6-NONE"], 1))
 
 

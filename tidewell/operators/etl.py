@@ -32,12 +32,17 @@ def series_from_wide(wide: DataFrame, samples: DataFrame, gene: str = "ensembl_g
 def densify(rows: DataFrame, key: str, index: str, value: str) -> DataFrame:
     """Every key at every index that any key has; missing values are null, null keys and indexes have no row.
 
-    Each key takes the sorted list of distinct indexes with it, so the grid costs a join with one row; a list of more
-    than ``MOST_INDEXES`` is cut into several such rows.
+    The list of distinct indexes is read as a scalar subquery and exploded beside each key, without any join. A list of more than
+    ``MOST_INDEXES`` is cut into blocks, which keys meet by block number in an equi-join.
     """
-    present = rows.where(F.col(key).isNotNull() & F.col(index).isNotNull())
-    block = F.pmod(F.xxhash64(index), F.lit(-(-present.select(index).distinct().count() // MOST_INDEXES) or 1))
-    lists = present.select(index).distinct().groupBy(block.alias("_block")).agg(F.collect_list(index).alias("_all"))
-    lists = lists.withColumn("_one", F.lit(1))
-    grid = present.select(key).distinct().withColumn("_one", F.lit(1)).join(F.broadcast(lists), "_one").select(key, F.explode("_all").alias(index))
+    present = rows.withColumn(index, missing(F.col(index))) if dict(rows.dtypes)[index] in ("double", "float") else rows
+    present = present.where(F.col(key).isNotNull() & F.col(index).isNotNull())
+    indexes, keys = present.select(index).distinct(), present.select(key).distinct()
+    blocks = -(-indexes.count() // MOST_INDEXES) or 1
+    if blocks == 1:
+        grid = keys.select(key, F.explode(indexes.agg(F.sort_array(F.collect_set(index))).scalar()).alias(index))
+    else:
+        lists = indexes.groupBy(F.pmod(F.xxhash64(index), F.lit(blocks)).alias("_block")).agg(F.collect_list(index).alias("_all"))
+        numbered = keys.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        grid = numbered.join(lists, "_block").select(key, F.explode("_all").alias(index))
     return grid.join(present.select(key, index, value), [key, index], "left").select(key, index, value)

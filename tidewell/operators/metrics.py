@@ -8,20 +8,28 @@ from pyspark.sql.window import Window
 
 from ..functions.models import residual
 from ..functions.safe import correlation, divide, missing
+from ..functions.stable import stable
+from .ranks import average_rank, counted, same_keys
 
 
-def average_ranks(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Ranks with ties sharing their mean rank."""
-    by = Window.partitionBy(*keys)
-    tie = Window.partitionBy(*keys, value)
-    return rows.withColumn(out, F.rank().over(by.orderBy(value)) + (F.count(F.lit(1)).over(tie) - 1) / 2.0)
+def spearman(rows: DataFrame, keys: list[str], a: str, b: str, out: str = "spearman") -> DataFrame:
+    """Rank correlation by group, null where a side is constant.
 
+    Equal pairs are counted first and each side's distinct values ranked over ranges (``ranks.counted``), then joined back by key and
+    value. The mean of average ranks is (n + 1) / 2 on both sides, so deviations are exact and their products are summed by key.
+    """
+    pairs = _complete(rows, a, b).select(*keys, (F.col(a) + 0.0).alias("_a"), (F.col(b) + 0.0).alias("_b")).groupBy(*keys, "_a", "_b").agg(F.count("*").alias("_c"))
+    pairs = stable(pairs)
 
-def spearman(rows: DataFrame, keys: list[str], a: str, b: str, out: str = "spearman") -> DataFrame:
-    """Rank correlation by group, null where a side is constant."""
-    pairs = rows.where(missing(F.col(a)).isNotNull() & missing(F.col(b)).isNotNull())
-    ranked = average_ranks(average_ranks(pairs, keys, a, "_ra"), keys, b, "_rb")
-    return ranked.groupBy(*keys).agg(correlation(F.col("_ra"), F.col("_rb")).alias(out))
+    def deviations(side: str, name: str) -> DataFrame:
+        ranked = counted(pairs, keys, side, F.col("_c"))
+        return ranked.select(*keys, F.col("v").alias(side), (average_rank() - (F.col("n") + 1) / 2.0).alias(name))
+
+    joined = pairs.alias("pairs")
+    for side, name in (("_a", "_da"), ("_b", "_db")):
+        joined = joined.join(deviations(side, name).alias("ranked"), same_keys("pairs", "ranked", [*keys, side])).select("pairs.*", *(["_da"] if name == "_db" else []), name).alias("pairs")
+    times = lambda x, y: F.sum(F.col("_c") * F.col(x) * F.col(y))
+    return joined.groupBy(*keys).agg(divide(times("_da", "_db"), F.sqrt(times("_da", "_da") * times("_db", "_db"))).alias(out))
 
 
 def paired(observed: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,28 +54,31 @@ def _error_columns(obs: str, pred: str, mean: str) -> list[Column]:
     ]
 
 
+def _deviating(rows: DataFrame, keys: list[str], obs: str) -> DataFrame:
+    """``rows`` with the mean of their group, which comes back by an equi-join that a large group can be split for."""
+    means = rows.groupBy(*keys).agg(F.avg(obs).alias("_mean"))
+    return rows.alias("rows").join(means.alias("means"), same_keys("rows", "means", keys)).select("rows.*", "_mean")
+
+
 def errors(rows: DataFrame, keys: list[str], obs: str = "obs", pred: str = "pred") -> DataFrame:
     """n, rmse, nrmse_range, nrmse_mean, nrmse_std (population), mase by group, over rows with both sides.
 
     mase divides the absolute error by the absolute deviation from the group's own mean.
     """
-    rows = _complete(rows, obs, pred).withColumn("_mean", F.avg(obs).over(Window.partitionBy(*keys)))
-    return rows.groupBy(*keys).agg(*_error_columns(obs, pred, "_mean"))
+    return _deviating(_complete(rows, obs, pred), keys, obs).groupBy(*keys).agg(*_error_columns(obs, pred, "_mean"))
 
 
 def fit_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The errors and the rank correlation of each group, in one partitioning by its keys.
+    """The errors and the rank correlation of each group, of any size; ``vectors.fold_metrics`` is for many short series.
 
     A group without any complete row is there with n = 0 and nulls.
     """
     rows = rows.withColumn("_ok", missing(F.col("obs")).isNotNull() & missing(F.col("pred")).isNotNull())
     for c in ("obs", "pred"):
         rows = rows.withColumn(c, F.when(F.col("_ok"), F.col(c)))
-    by = Window.partitionBy(*keys)
-    rank = lambda c: F.when(F.col("_ok"), F.rank().over(by.orderBy(F.col(c).asc_nulls_last())) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2.0)
-    rows = rows.withColumns({"_mean": F.avg("obs").over(by), "_ra": rank("obs"), "_rb": rank("pred")})
-    columns = [F.count("obs").alias("n"), *_error_columns("obs", "pred", "_mean")[1:]]
-    return rows.groupBy(*keys).agg(*columns, correlation(F.col("_ra"), F.col("_rb")).alias("spearman"))
+    found = _deviating(rows, keys, "obs").groupBy(*keys).agg(F.count("obs").alias("n"), *_error_columns("obs", "pred", "_mean")[1:])
+    both = found.alias("found").join(spearman(rows, keys, "obs", "pred").alias("rho"), same_keys("found", "rho", keys), "left")
+    return both.select("found.*", "spearman")
 
 
 def residual_diagnostics(rows: DataFrame, keys: list[str], time: str = "time", lag: int = 1) -> DataFrame:
@@ -81,7 +92,8 @@ def residual_diagnostics(rows: DataFrame, keys: list[str], time: str = "time", l
 
 
 def likelihood(rows: DataFrame, keys: list[str], sigma: float, free: int) -> DataFrame:
-    """Log-likelihood of log1p residuals under a normal error, and the BIC for ``free`` parameters."""
+    """Log-likelihood of log1p residuals under a normal error, and the BIC for ``free`` parameters, over rows with both sides."""
+    rows = _complete(rows, "obs", "pred")
     r = residual(F.col("obs"), F.col("pred"))
     each = -0.5 * F.log(F.lit(2.0 * 3.141592653589793 * sigma * sigma)) - r * r / (2.0 * sigma * sigma)
     out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(each).alias("log_likelihood"))

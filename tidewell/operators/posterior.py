@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.models import observe, residual
+from ..functions.models import Prior, observe, residual
+from ..functions.normal import quantile
 from ..functions.safe import divide, missing, significant
-from .ranks import percentile_of, percentiles, ranked, shortest_interval
+from ..functions.stable import stable
+from .ranks import counted, percentile_of, percentiles, shortest_interval
+from .scans import Scan
 
 
 def mean_median(draws: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean and exact median of each group; groups without values are not there."""
-    return ranked(draws, keys, value).groupBy(*keys).agg(F.avg("v").alias("mean"), percentile_of(0.5).alias("median"))
+    mean = F.sum(F.col("v") * F.col("held")) / F.sum("held")
+    return counted(draws, keys, value).groupBy(*keys).agg(mean.alias("mean"), percentile_of(0.5).alias("median"))
 
 
 def hdi_by(draws: DataFrame, keys: list[str], value: str, mass: float = 0.95) -> DataFrame:
@@ -40,6 +46,35 @@ def predictive(draws: DataFrame, times: DataFrame, keys: list[str], curve: Colum
     return both.withColumn("pred", observe(sigma * noise, F.col("pred")))
 
 
+def thinned(draws: DataFrame, keys: list[str], count: int, draw: str = "draw") -> DataFrame:
+    """``count`` evenly spaced draws of each key, in the order of ``draw``; all of them where there are no more."""
+    numbered = Scan(draws.select(*keys, draw).distinct(), keys, [draw]).number("_i").whole(F.lit(1), "_n").result()
+    step = lambda i: F.floor(i * count / F.col("_n"))
+    kept = numbered.where((F.col("_n") <= count) | (step(F.col("_i")) > step(F.col("_i") - 1))).select(*keys, draw)
+    return draws.join(kept, [*keys, draw], "left_semi")
+
+
+def predictive_band(predicted: DataFrame, keys: list[str], mass: float = 0.95) -> DataFrame:
+    """keys, mean, median, hdi_lo, hdi_hi, n of ``pred``: what a predictive check shows at each time."""
+    middle = predicted.where(missing(F.col("pred")).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"))
+    return mean_median(predicted, keys, "pred").join(shortest_interval(predicted, keys, "pred", mass), keys).join(middle, keys)
+
+
+#: Steps of the quasi-random draws of each parameter: fractional parts of square roots of primes.
+STEPS = tuple(math.sqrt(p) % 1 for p in (2, 3, 5, 7, 11, 13, 17))
+
+
+def prior_draws(starts: DataFrame, priors: dict[str, Prior], count: int) -> DataFrame:
+    """``starts`` with ``count`` draws of each parameter from its log-normal prior; medians given by name are columns of ``starts``.
+
+    Draws are quasi-random, so they are the same for every series and in every run, and spread evenly.
+    """
+    rows = starts.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
+    share = lambda step: F.lit(0.5) + F.col("draw") * step - F.floor(F.lit(0.5) + F.col("draw") * step)
+    median = lambda p: F.col(p.median) if isinstance(p.median, str) else F.lit(p.median)
+    return rows.select("*", *((median(p) * F.exp(p.sd * quantile(share(step)))).alias(name) for (name, p), step in zip(priors.items(), STEPS)))
+
+
 def fit_of_draws(predicted: DataFrame, keys: list[str], sigma: str = "sigma", free: int | Column = 3) -> DataFrame:
     """n, nrmse (by the observed range), log_likelihood and bic of every draw, of predictions beside ``obs``."""
     rows = predicted.where(missing(F.col("obs")).isNotNull() & missing(F.col("pred")).isNotNull())
@@ -56,7 +91,7 @@ def fit_of_draws(predicted: DataFrame, keys: list[str], sigma: str = "sigma", fr
 
 def goodness_of_draws(scores: DataFrame, keys: list[str], mass: float = 0.95) -> DataFrame:
     """(keys, metric, mean, lower, upper): mean and shortest interval over the draws of each metric of ``fit_of_draws``."""
-    long = scores.unpivot([*keys, "draw"], ["nrmse", "log_likelihood", "bic"], "metric", "value")
+    long = stable(scores).unpivot([*keys, "draw"], ["nrmse", "log_likelihood", "bic"], "metric", "value")
     by = [*keys, "metric"]
     means = long.groupBy(*by).agg(F.avg(missing(F.col("value"))).alias("mean"))
     spans = shortest_interval(long, by, "value", mass)

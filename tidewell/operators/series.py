@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.safe import missing
-from ..functions.stable import stable
+from .scans import RANGE_ROWS, Scan, counted_ranges
 
 
 def time_slice(rows: DataFrame, low: float, high: float, time: str = "time") -> DataFrame:
@@ -43,35 +43,29 @@ def initial_values(rows: DataFrame, high: float | None = None) -> DataFrame:
 
 
 def regrid(rows: DataFrame, grid: DataFrame) -> DataFrame:
-    """y of each series at the (gene, time) rows of ``grid``, linearly between its neighbours, null outside."""
+    """y of each series at the (gene, time) rows of ``grid``, linearly between its neighbours, null outside.
+
+    Knots and asked times meet in one ordered scan by ranges of time, so no task holds a series.
+    """
     known = rows.where(missing(F.col("y")).isNotNull()).select("gene", "time", "y", F.col("time").alias("knot"), F.lit(False).alias("asked"))
     asked = grid.select("gene", "time", F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("knot"), F.lit(True).alias("asked"))
-    back = Window.partitionBy("gene").orderBy("time").rangeBetween(Window.unboundedPreceding, 0)
-    # the knot after a time is the last one before it from the other end: growing frames, read once
-    on = Window.partitionBy("gene").orderBy(F.desc("time")).rangeBetween(Window.unboundedPreceding, 0)
-    both = known.union(asked)
-    for name, w in (("0", back), ("1", on)):
-        both = both.withColumn("_k", F.last(F.when(F.col("knot").isNotNull(), F.struct("knot", "y")), ignorenulls=True).over(w))
-        both = both.withColumn("t" + name, F.col("_k.knot")).withColumn("y" + name, F.col("_k.y"))
+    point = F.when(F.col("knot").isNotNull(), F.struct("knot", "y"))
+    # the knot after a time is the last one before it from the other end
+    both = Scan(known.union(asked), ["gene"], ["time"]).carry(point, "_k0").carry(point, "_k1", down=True).result()
+    both = both.select("gene", "time", "asked", *(F.col(f"_k{i}.{c}").alias(f"{name}{i}") for i in (0, 1) for c, name in (("knot", "t"), ("y", "y"))))
     lerp = F.when(F.col("t0") == F.col("t1"), F.col("y0")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("time") - F.col("t0")) / F.nullif(F.col("t1") - F.col("t0"), F.lit(0.0)))
     return both.where("asked").select("gene", "time", lerp.alias("y"))
 
 
 def exposure(rows: DataFrame, value: str, out: str = "exposure") -> DataFrame:
-    """Cumulative trapezoid of a column over time in each series."""
-    w = Window.partitionBy("gene").orderBy("time")
-    step = (F.col("time") - F.lag("time").over(w)) * (F.col(value) + F.lag(value).over(w)) / 2.0
-    return rows.withColumn("_step", F.coalesce(step, F.lit(0.0))).withColumn(out, F.sum("_step").over(w)).drop("_step")
+    """Cumulative trapezoid of a column over time in each series, by ranges of time."""
+    return Scan(rows, ["gene"], ["time"]).trapezoid("time", value, out).result()
 
 
-def chunks(rows: DataFrame, key: str, size: int = 500, parts: int = 64) -> DataFrame:
+def chunks(rows: DataFrame, key: str, size: int = 500, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Number of each row in key order, from 1, and its chunk of ``size`` rows.
 
-    Rows are numbered inside key ranges and shifted by the sizes of the ranges before, so no task sees all rows.
+    Rows are numbered inside key ranges, as many as the counted rows need, and shifted by the sizes of the ranges before.
     """
-    ranged = stable(rows.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    shift = sizes.select(F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
-    numbered = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
-    out = numbered.join(F.broadcast(shift), numbered._part == shift._of).withColumn("rn", F.col("_row") + F.col("_shift"))
-    return out.withColumn("chunk", F.floor((F.col("rn") - 1) / size) + 1).drop("_part", "_of", "_row", "_shift")
+    out = Scan(rows, [], [key], counted_ranges(rows, range_rows)).number("rn").result()
+    return out.withColumn("chunk", F.floor((F.col("rn") - 1) / size) + 1)

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.models import N, PRIORS, STEEPNESS
+from ..functions.stable import stable
 from ..operators.posterior import estimates
+from ..sources.sinks import pending_fits, publish_fits
 
 PARTITIONS = 10_000
 DRAWS = "gene string, model string, chain int, draw int, param string, value double, error string"
@@ -41,7 +43,9 @@ def predict(model: str, p: dict[str, float], m0: float, t: np.ndarray, forcing:
 
 
 def sample(model: str, t: np.ndarray, y: np.ndarray, seed: int, warmup: int = 1000, draws: int = 2000) -> dict[str, np.ndarray]:
-    """Posterior draws of the free parameters."""
+    """Posterior draws of the free parameters; values that the error model has no logarithm for are an error."""
+    if not (np.isfinite(y).all() and (y > -1).all()):
+        raise ValueError("values must be above -1")
     known = {"beta0": y[-3:].mean() * 0.1 + 1e-8, "alpha0": (y[2:-2].max() if len(y) > 4 else y.max()) * 0.1 + 1e-8}
     names = list(PRIORS[model])
     median = np.log([known.get(p.median, p.median) for p in PRIORS[model].values()])
@@ -56,6 +60,8 @@ def sample(model: str, t: np.ndarray, y: np.ndarray, seed: int, warmup: int = 10
     rng = np.random.default_rng(seed)
     x, scale = median.copy(), np.eye(len(names)) * 0.05
     here, size, walked, kept = log_density(x), 1.0, [], []
+    if not np.isfinite(here):
+        raise ValueError("the start of the chain has no finite density")
     for step in range(warmup + draws):
         to = x + size * scale @ rng.normal(size=len(x))
         there = log_density(to)
@@ -98,6 +104,20 @@ def fit(series: DataFrame, models: list[str], chains: int = 4, warmup: int = 100
     return runs.repartition(parts, "gene", "model", "chain").groupBy("gene", "model", "chain").applyInPandas(_fit(warmup, draws), DRAWS)
 
 
+def fit_pending(series: DataFrame, models: list[str], path: str, chains: int = 4, warmup: int = 1000, draws: int = 2000) -> int:
+    """Fit the chains that the store at ``path`` doesn't hold, and publish them; how many that were.
+
+    Only series with a pending chain are fitted, each chain once; a second call after a complete one fits nothing.
+    """
+    todo = series.select("gene").where("gene IS NOT NULL").distinct().withColumn("model", F.explode(F.array(*map(F.lit, models))))
+    todo = stable(pending_fits(todo.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1)))), path))
+    count = todo.count()
+    if count:
+        runs = series.select("gene", "time", "y").join(todo, "gene").repartition(min(PARTITIONS, count), "gene", "model", "chain")
+        publish_fits(runs.groupBy("gene", "model", "chain").applyInPandas(_fit(warmup, draws), DRAWS), path)
+    return count
+
+
 def wide_draws(draws: DataFrame, model: str) -> DataFrame:
     """(gene, draw, one column a parameter): the draws of one model, numbered over its chains."""
     params = list(PRIORS[model])

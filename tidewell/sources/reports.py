@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.safe import missing
+
 GENE = r"ENSDARG[0-9]+"
+#: Columns of summary files that hold text.
+TEXT = ("GeneID", "gene_id", "ensembl_gene_id", "ensembl_transcript_id", "model", "type", "tpm_level", "cluster_name")
 NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
@@ -49,9 +53,9 @@ def _number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
-def goodness_of_fit(spark: SparkSession, path: str) -> DataFrame:
-    """(gene_id, path, line, metric, y, model) of every goodness_of_fit.csv below ``path``, without its header line."""
-    rows = file_lines(spark, path, "goodness_of_fit.csv").where("line > 1")
+def goodness_of_fit(spark: SparkSession, path: str, name: str = "goodness_of_fit.csv") -> DataFrame:
+    """(gene_id, path, line, metric, y, model) of every file ``name`` below ``path``, without its header line."""
+    rows = file_lines(spark, path, name).where("line > 1")
     fields = F.split("value", ",")
     return rows.select(
         F.regexp_extract("path", GENE, 0).alias("gene_id"), "path", "line",
@@ -59,21 +63,26 @@ def goodness_of_fit(spark: SparkSession, path: str) -> DataFrame:
     ).orderBy("path", "line")
 
 
-def parameter_estimates(spark: SparkSession, path: str) -> DataFrame:
+def parameter_estimates(spark: SparkSession, path: str, name: str = "report_table_parameter_estimates.csv") -> DataFrame:
     """(gene_id, path, line, param, value) of every parameter table below ``path``, split at the first comma; white space in names is dropped."""
-    rows = file_lines(spark, path, "report_table_parameter_estimates.csv").where("line > 1")
+    rows = file_lines(spark, path, name).where("line > 1")
     param = F.regexp_replace(F.regexp_extract("value", "^([^,]*)", 1), r"\s", "")
     rows = rows.select(F.regexp_extract("path", GENE, 0).alias("gene_id"), "path", "line", param.alias("param"), F.regexp_extract("value", "^[^,]*,(.*)$", 1).alias("value"))
     return rows.where("param <> ''").orderBy("path", "line")
 
 
 def wide_matrix(spark: SparkSession, path: str, samples: list[str] | None = None) -> DataFrame:
-    """A transcript matrix with one column a sample; without ``samples`` their names are those of the header line."""
+    """A transcript matrix with one column a sample, found by its name in the header, whatever the order; without ``samples`` all columns but the ids.
+
+    A cell that is no number is null, a sample that the header lacks an error. Files of one path must have the same header.
+    """
     ids = ["ensembl_gene_id", "ensembl_transcript_id"]
-    if samples is None:
-        samples = [c for c in spark.read.option("header", True).csv(path).columns if c not in ids]
-    schema = ", ".join([*(f"{c} STRING" for c in ids), *(f"`{s}` DOUBLE" for s in samples)])
-    return spark.read.schema(schema).option("header", True).csv(path)
+    rows = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    absent = [c for c in [*ids, *(samples or [])] if c not in rows.columns]
+    if absent:
+        raise ValueError(f"{path} has no column {', '.join(absent)}")
+    named = lambda c: F.col(f"`{c}`")
+    return rows.select(*map(named, ids), *(missing(named(c).try_cast("double")).alias(c) for c in samples or [c for c in rows.columns if c not in ids]))
 
 
 def sample_table(spark: SparkSession, path: str) -> DataFrame:
@@ -87,15 +96,18 @@ def annotation(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("ensembl_gene_id", _number(F.col("cluster")).alias("cluster"), *(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("tpm_level", "type", "cluster_name")))
 
 
-def summaries(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """One table with a column ``model`` from the summary files (csv with header) of several models; header rows inside are left out."""
+def summaries(spark: SparkSession, paths: dict[str, str], text: tuple[str, ...] = TEXT) -> DataFrame:
+    """One table with a column ``model`` from the summary files (csv with header) of several models; header rows inside are left out.
+
+    The first column of a file and those named in ``text`` stay text, all others are numbers, null where a cell is none. Without paths the table is empty.
+    """
     out = None
     for model, path in paths.items():
-        part = spark.read.option("header", True).csv(path).withColumn("model", F.lit(model))
-        key = part.columns[0]
-        part = part.where(F.col(key) != key)
+        part = spark.read.option("header", True).csv(path)
+        key, named = part.columns[0], lambda c: F.col(f"`{c}`")
+        part = part.where(named(key) != key).select(F.lit(model).alias("model"), *(named(c) if c == key or c in text else _number(named(c)).alias(c) for c in part.columns if c != "model"))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out.select("model", *(F.when(F.col(c).rlike(NUMBER), F.col(c).try_cast("double")).alias(c) if i else F.col(c) for i, c in enumerate(x for x in out.columns if x != "model")))
+    return spark.createDataFrame([], "model string") if out is None else out
 
 
 def series_dataset(spark: SparkSession, path: str, kind: str = "mean") -> DataFrame:
@@ -123,17 +135,77 @@ def settings(lines: DataFrame) -> DataFrame:
     return named.select(*own, "section", parts[0].alias("key"), parts[1].alias("value")).where("key <> ''")
 
 
+def _depths(text: Column) -> Column:
+    """The depth of brackets after each character."""
+    deeper = lambda c: F.when(F.lit("([{").contains(c), 1).when(F.lit(")]}").contains(c), -1).otherwise(0)
+    add = lambda acc, c: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + deeper(c)))
+    return F.aggregate(F.split(text, ""), F.array().cast("array<int>"), add)
+
+
+def inside(text: Column) -> Column:
+    """What a call "name(...)" holds between its brackets; null for a text that is no single call."""
+    trimmed = F.trim(text)
+    closed = F.array_position(F.transform(_depths(trimmed), lambda d, i: (d == 0) & (i >= F.length(F.regexp_extract(trimmed, r"^[A-Za-z_][\w.]*\(", 0)))), True)
+    body = F.regexp_extract(trimmed, r"^[A-Za-z_][\w.]*\((?s)(.*)\)$", 1)
+    return F.when(trimmed.rlike(r"^[A-Za-z_][\w.]*\((?s).*\)$") & (closed == F.length(trimmed)), body)
+
+
+def split_outside(text: Column) -> Column:
+    """The parts of a text between commas and blanks that stand outside of all brackets; empty parts are left out."""
+    depths = _depths(text)
+    marked = F.zip_with(F.split(text, ""), depths, lambda c, d: F.when((d == 0) & c.rlike(r"[,\s]"), F.lit("\n")).otherwise(F.regexp_replace(c, "\n", " ")))
+    return F.filter(F.split(F.concat_ws("", marked), "\n"), lambda x: x != "")
+
+
 def terms(value: Column) -> Column:
-    """name -> text of the settings' small language: "f(a=1, b=x)" or "a=1 b=2"."""
-    inside = F.regexp_replace(F.regexp_replace(value, r"^\s*[A-Za-z_]\w*\(", ""), r"\)\s*$", "")
-    pairs = F.filter(F.split(inside, r"[,\s]+"), lambda x: x.contains("="))
-    return F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1), F.substring_index(x, "=", -1))))
+    """name -> text of the settings' small language: "f(a=1, b=g(x, y))" or "a=1 b=[2, 3]"; the last of repeated names counts.
+
+    Brackets are counted character by character, so a text is split only outside of all of them; the values keep theirs.
+    """
+    whole = F.regexp_replace(value, r"\s*=\s*", "=")
+    pairs = F.filter(split_outside(F.coalesce(inside(whole), whole)), lambda x: x.contains("="))
+    pairs = F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.regexp_extract(x, "^[^=]*=((?s).*)$", 1).alias("value")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return F.when(value.isNotNull(), F.map_from_entries(last))
+
+
+def _flag(text: Column) -> Column:
+    return F.lower(text).try_cast("boolean")
+
+
+def parameters(lines: DataFrame) -> DataFrame:
+    """(name, value, dims, median, sd, hyper, free) of the section [model-parameters] of ``settings`` rows; with a column path, by file.
+
+    ``median`` and ``sd`` are those of a log-normal prior, null for a parameter without one. A free parameter without a readable prior raises an error.
+    """
+    own = ["path"] if "path" in lines.columns else []
+    rows = lines.where("section = 'model-parameters'").withColumn("_t", terms(F.col("value")))
+    prior = F.try_element_at("_t", F.lit("prior"))
+    median, sd = lognormal_terms(prior)
+    free = F.coalesce(_flag(F.try_element_at("_t", F.lit("free"))), F.lit(False))
+    broken = F.raise_error(F.format_string("parameter %s is free and has the prior %s", F.col("key"), F.coalesce(prior, F.lit("none"))))
+    dims = split_outside(F.regexp_replace(F.try_element_at("_t", F.lit("dims")), r"^\[|\]$|['\"]", ""))
+    return rows.select(
+        *own, F.col("key").alias("name"), F.try_element_at("_t", F.lit("value")).try_cast("double").alias("value"), dims.alias("dims"),
+        F.when(free & (median.isNull() | sd.isNull()), broken.cast("double")).otherwise(median).alias("median"), sd.alias("sd"),
+        F.coalesce(_flag(F.try_element_at("_t", F.lit("hyper"))), F.lit(False)).alias("hyper"), free.alias("free"),
+    )
+
+
+def variables(lines: DataFrame) -> DataFrame:
+    """(name, dimensions, min, max, observed) of the section [data-structure] of ``settings`` rows; bounds that are nan are null."""
+    own = ["path"] if "path" in lines.columns else []
+    rows = lines.where("section = 'data-structure'").withColumn("_t", terms(F.col("value"))).where(F.map_contains_key("_t", F.lit("dimensions")))
+    number = lambda name: missing(F.try_element_at("_t", F.lit(name)).try_cast("double")).alias(name)
+    dimensions = split_outside(F.regexp_replace(F.element_at("_t", F.lit("dimensions")), r"^\[|\]$|['\"]", ""))
+    return rows.select(*own, F.col("key").alias("name"), dimensions.alias("dimensions"), number("min"), number("max"), F.coalesce(_flag(F.try_element_at("_t", F.lit("observed"))), F.lit(False)).alias("observed"))
 
 
 def lognormal_terms(value: Column) -> tuple[Column, Column]:
     """(median, sd) of "lognorm(scale=.., s=..)"."""
-    take = lambda key: F.regexp_extract(value, rf"{key}=([0-9eE.+-]+)", 1).try_cast("double")
-    return take("scale"), take(r"\bs")
+    take = lambda key: F.try_element_at(terms(value), F.lit(key)).try_cast("double")
+    is_prior = F.trim(value).startswith("lognorm(")
+    return F.when(is_prior, take("scale")), F.when(is_prior, take("s"))
 
 
 def lognormal_text(scale: Column, sd: Column) -> Column:

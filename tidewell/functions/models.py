@@ -76,6 +76,16 @@ def zygotic(t: Column, delta_z: Column, g: Callable[[Column], Column], n: int =
     return simpson(lambda u: F.exp(-delta_z * (t - u)) * g(u), t, n)
 
 
+def curve(name: str, n: int = N) -> Column:
+    """The curve of a model over the columns of its parameters, ``first`` (the value at the start), ``time`` and, for Z-decay models, ``exposure``."""
+    p, t = {k: F.col(k) for k in PRIORS[name]}, F.col("time")
+    if name == "basic":
+        return basic(F.col("first"), p["beta"], p["delta"], t)
+    extra = (p["alpha"], p["dt_rep"]) if "alpha" in p else ()
+    z = zygotic(t, p["delta_z"], lambda u: production(u, p["beta"], p["t_zga"], *extra), n)
+    return maternal(F.col("first"), p["delta_m"], F.col("exposure") if name.endswith("_z") else t) + z
+
+
 def time_grid(ends: DataFrame, end: str, points: int = 1001, number: str = "i") -> DataFrame:
     """``ends`` with a row for each of ``points`` even times from 0 to the column ``end``, and its number."""
     rows = ends.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias(number))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import models, normal
-from ..operators import collect, compare, diagnostics, dists, etl, metrics, posterior, series, vectors
+from ..operators import collect, compare, diagnostics, dists, etl, metrics, posterior, series, variational, vectors
 from ..operators.ranks import percentiles
 from ..sources.tables import daily_series, table
 from . import infer
@@ -687,6 +687,13 @@ def variable_extremes(spark: SparkSession, sf: str) -> DataFrame:
 # ---- inference
 
 
+@query(f"WITH RECURSIVE {DAILY}, {INIT}, {variational.fit_sql('daily', 'start', 400, 0.02)}\nSELECT gene, " + ", ".join(f"round(mean_[{j}], 5) AS {p}_mean, round(exp(mean_[{j + 3}]), 5) AS {p}_sd" for j, p in enumerate(variational.NAMES, 1)) + " FROM variational WHERE i = 400")
+def variational_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Means and deviations of the basic model's log-parameters for each series, after 400 steps."""
+    daily = daily_series(table(spark, sf, "events"))
+    return rounded(variational.fit(daily, series.initial_values(daily), 400, 0.02), 5)
+
+
 @query()
 def mcmc_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Posterior mean and deviation of all models' parameters for each series; a failed chain is a row with its error."""

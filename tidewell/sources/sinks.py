@@ -85,6 +85,16 @@ def write_merged(merged: DataFrame, path: str) -> None:
     merged.write.mode("overwrite").partitionBy("model").parquet(path)
 
 
+def write_bucketed(rows: DataFrame, table: str, keys: list[str], buckets: int) -> DataFrame:
+    """``rows`` as a table of the warehouse, in ``buckets`` by ``keys`` and sorted in them; the table.
+
+    Joins and groups of such tables on these keys need no shuffle; all tables that are to meet must have as many buckets.
+    """
+    dealt = rows.repartition(buckets, *keys)  # so that a bucket is one file
+    dealt.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
 def write_report(rows: DataFrame, path: str, keys: list[str]) -> None:
     """A wide report as csv with one header a file, in the order of the keys."""
     rows.orderBy(*keys).write.mode("overwrite").option("header", True).csv(path)

@@ -11,7 +11,6 @@ The prediction is ``und`` with score 0 if the text is null or has no letter, or
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame

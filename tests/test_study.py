@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import models
 from tidewell.jobs import infer, study
-from tidewell.operators import checks
-from tidewell.sources import sinks
+from tidewell.operators import checks, series
+from tidewell.sources import reports, sinks
 
 
 def test_study(spark, tmp_path):
@@ -46,6 +46,10 @@ def test_broken_contracts_name_their_key(spark):
     with pytest.raises(Exception, match="no y: gene = b"):
         checks.required(rows, "y", ["gene"]).collect()
     assert checks.required(rows.where("gene = 'a'"), "y", ["gene"]).count() == 2
+    starts = spark.createDataFrame([("a", 0.0, 1.0), ("b", 1.0, 1.0)], "gene string, time double, y double")
+    assert series.initial_values(starts).where("m0 IS NULL").count() == 1
+    with pytest.raises(Exception, match="no value at time 0: gene = b"):
+        series.initial_values(starts, strict=True).collect()
     ids = lambda *names: spark.createDataFrame([(n,) for n in names], "gene string")
     assert sorted(r.model for r in checks.known(rows, ids("a"), "gene").collect()) == ["m", "n"]
     with pytest.raises(Exception, match="unknown gene: z"):
@@ -57,6 +61,7 @@ def test_broken_contracts_name_their_key(spark):
         checks.paired(obs, pred.where("time < 2"), ["gene", "time"]).collect()
     with pytest.raises(Exception, match="not observed once: gene = a, time = 1.0"):
         checks.paired(obs.where("time > 1"), pred, ["gene", "time"]).collect()
+    assert [r.gene for r in reports.without_file(ids("a", "q"), rows, "gene").collect()] == ["q"]
     seen_rows, seen = checks.watched(obs, "obs", F.max("time").alias("last"))
     seen_rows.collect()
     assert seen.get == {"rows": 2, "last": 2.0}

@@ -14,7 +14,7 @@ def stable(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if given is None:
-            if not sc.master.startswith("local["):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.safe import missing
+from . import checks
 from .scans import RANGE_ROWS, Scan, counted_ranges
 
 
@@ -20,10 +21,10 @@ def points(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFr
     return rows.join(ids, key, "left_semi"), ids.join(rows, key, "left_anti")
 
 
-def initial_values(rows: DataFrame, high: float | None = None) -> DataFrame:
+def initial_values(rows: DataFrame, high: float | None = None, strict: bool = False) -> DataFrame:
     """gene, n, m0, first, z_ss0, z_max0, beta0, alpha0, t_min, t_max of each series, after slicing to ``high``.
 
-    m0 is the value at time 0 (null if there is none), z_ss0 the mean of the last three, z_max0 the
+    m0 is the value at time 0 (null if there is none; with ``strict`` that is an error which names the series), z_ss0 the mean of the last three, z_max0 the
     maximum without the first and last two (null for up to four observations).
     """
     rows = (rows if high is None else time_slice(rows, 0.0, high)).withColumn("y", missing(F.col("y")))
@@ -39,6 +40,7 @@ def initial_values(rows: DataFrame, high: float | None = None) -> DataFrame:
         F.min("time").alias("t_min"),
         F.max("time").alias("t_max"),
     )
+    out = checks.required(out, "m0", ["gene"], "no value at time 0") if strict else out
     return out.withColumn("beta0", F.col("z_ss0") * 0.1 + 1e-8).withColumn("alpha0", F.col("z_max0") * 0.1 + 1e-8)
 
 

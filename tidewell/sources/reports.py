@@ -49,6 +49,11 @@ def file_count(spark: SparkSession, path: str, name: str) -> int:
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).format("binaryFile").load(path).select("path").count()
 
 
+def without_file(ids: DataFrame, files: DataFrame, key: str = "gene_id") -> DataFrame:
+    """The listed ids that no row of ``files`` (what a reader has found) is of: what was skipped, to be told or run again."""
+    return ids.select(key).where(F.col(key).isNotNull()).distinct().join(files.select(key).distinct(), key, "left_anti")
+
+
 def _number(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 

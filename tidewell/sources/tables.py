@@ -10,11 +10,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def seconds(ts) -> object:
-    """Seconds since 1970 of a timestamp without zone, whatever the session's zone."""
-    return F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")) * 86400.0 + F.hour(ts) * 3600.0 + F.minute(ts) * 60.0 + F.extract(F.lit("SECOND"), ts).cast("double")
-
-
 def daily_series(events: DataFrame) -> DataFrame:
     """(gene, time, y): mean value of each event type by day, days counted from the first of all."""
     start = events.agg(F.min(F.to_date("ts"))).first()[0]

@@ -285,6 +285,36 @@ def test_top_k_of_repeated_queries(spark):
     assert out[3] == 2**63 - 1 and out[4] == -(2**63)
 
 
+def test_shards_that_no_query_needs(spark, monkeypatch):
+    """Clustered shards whose ball lies below a query's floor are never opened; answers are those of a plain scan."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    centres = 40 * np.eye(6)
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 6] + rng.normal(size=6)]) for i in range(1200)] + [(2000 + i, [1.0] * (i % 3)) for i in range(30)]
+    vectors = ball_tree.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    pairs = spark.sparkContext.accumulator(0)
+    inner = ball_tree._search
+
+    def counting(k):
+        run = inner(k)
+
+        def wrapped(shard, queries):
+            pairs.add(1 if len(shard) and len(queries) else 0)
+            return run(shard, queries)
+
+        return wrapped
+
+    monkeypatch.setattr(ball_tree, "_search", counting)
+    out = ball_tree.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5, shard_rows=100, block_rows=8).collect()
+    whole = {i: np.floor(256 * np.array(v)) for i, v in rows}
+    for q in range(0, 1200, 50):
+        want = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q and len(v) == 6)[:5]
+        assert [(-r.score, r.vec_id) for r in sorted(out, key=lambda r: r.rank) if r.query_id == q] == want
+    shards = ball_tree._shards(vectors.withColumn("row", F.monotonically_increasing_id()), 100)[1]
+    assert pairs.value < 3 * shards  # of 3 blocks and all shards; those of the home pass are among them
+
+
 def test_letters():
     assert [byte_cnn.has_letter(t) for t in ("²", "½ ①", "_ 3", "", "é", "日", "a1")] == [False, False, False, False, True, True, True]
 

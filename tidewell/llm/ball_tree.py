@@ -5,8 +5,10 @@ radius r). Of two children the one with the higher bound is opened first, and a
 query's current k-th score, so that ties go to the least vec_id. Each query first searches one shard; the k-th score found there is
 the floor with which it enters all other shards, so most of their nodes are never opened.
 
-Queries travel to shards in blocks; a task holds one shard and one block, whatever the table's
-size. Null vectors, and vectors with null or non-finite components, take no part. Vectors of
+Shards are clusters: rows go to the nearest of a few centres, fitted to a bounded sample, and large clusters are dealt out over several
+shards. A query goes on to another shard only if the bound of that shard's root, a ball around all its vectors, reaches its floor.
+Queries travel in blocks; a task holds one shard and one block, whatever the table's size, and a shard is copied only for blocks
+that have a query for it. Null vectors, and vectors with null or non-finite components, take no part. Vectors of
 different lengths never meet; an empty vector scores 0 with other empty ones. A repeated vec_id
 is a row of its own: each of its queries has its own answer, but no row is a candidate for its own vec_id. Scores are exact
 integers; components and scores beyond a long count as the nearest long.
@@ -14,6 +16,8 @@ integers; components and scores beyond a long count as the nearest long.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,6 +28,8 @@ from pyspark.sql.window import Window
 from .common import LONG, inner_products, partitions_for, prepare
 
 SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 8192, 2048, 64
+#: Centres of shards, the sample that they are fitted to, and rounds of fitting; answers don't depend on them.
+CENTRES, SAMPLE, FIT_ROUNDS = 256, 4096, 5
 SCALE = 256.0
 
 
@@ -89,10 +95,9 @@ def _search(k: int):
         none = pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
         if shard.empty or queries.empty:
             return none
-        stack = lambda s: np.array(s.tolist(), dtype=np.float64).reshape(len(s), -1)
-        tree = BallTree(stack(shard["v"]), shard["vec_id"].to_numpy(np.int64))
+        tree = BallTree(_stacked(shard["v"]), shard["vec_id"].to_numpy(np.int64))
         asked = queries["asked"].to_numpy(np.int64)
-        best, ids, held = tree.search(stack(queries["q"]), asked, k, queries["q_floor"].to_numpy(np.int64))
+        best, ids, held = tree.search(_stacked(queries["q"]), asked, k, queries["q_floor"].to_numpy(np.int64))
         row, col = np.nonzero(held)
         return pd.DataFrame({"query": queries["query"].to_numpy(np.int64)[row], "query_id": asked[row], "vec_id": ids[row, col], "score": best[row, col]})
 
@@ -110,29 +115,101 @@ def quantised(embeddings: DataFrame) -> DataFrame:
     return kept.where(fine).select("vec_id", v.alias("v"), F.size("embedding").alias("dim"))
 
 
+def _stacked(vectors: pd.Series) -> np.ndarray:
+    return np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1)
+
+
+def _nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(1) - 2 * (vectors @ centres.T)).argmin(1)
+
+
+def _fitted(vectors: DataFrame, wanted: int) -> dict[int, np.ndarray]:
+    """Centres by length of vector: k-means on a bounded sample."""
+    sample = vectors.orderBy(F.xxhash64("vec_id", "row")).limit(SAMPLE).select("v").toPandas()["v"]
+    out = {}
+    for dim in {len(x) for x in sample if len(x)}:
+        own = np.array([x for x in sample if len(x) == dim], dtype=np.float64)
+        centres = own[: min(wanted, 1 + len(own) // 8)]
+        for _ in range(FIT_ROUNDS):
+            near = _nearest(own, centres)
+            centres = np.array([own[near == c].mean(0) if (near == c).any() else centres[c] for c in range(len(centres))])
+        out[dim] = centres
+    return out
+
+
+def _shards(vectors: DataFrame, shard_rows: int):
+    """A function that gives rows their shard (by a column that tells rows apart), and the number of shards."""
+    rows = vectors.count()
+    wanted = min(CENTRES, partitions_for(rows, shard_rows))
+    if wanted == 1:
+        return lambda df, by: df.withColumn("shard", F.lit(0)), 1
+    centres = _fitted(vectors, wanted)
+
+    def clustered(df: DataFrame) -> DataFrame:
+        schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, cluster int"
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in batches:
+                cluster = np.zeros(len(part), dtype=np.int32)
+                dims = part["v"].map(len).to_numpy()
+                for dim, own in centres.items():
+                    at = np.flatnonzero(dims == dim)
+                    if len(at):
+                        cluster[at] = _nearest(_stacked(part["v"].iloc[at]), own)
+                yield part.assign(cluster=cluster)
+
+        return df.mapInPandas(run, schema)
+
+    sizes = {r["cluster"]: r["count"] for r in clustered(vectors).groupBy("cluster").count().collect()}  # at most CENTRES rows
+    first, parts, shards = {}, {}, 0
+    for cluster in range(max(len(c) for c in centres.values()) if centres else 1):
+        first[cluster], parts[cluster] = shards, partitions_for(sizes.get(cluster, 1), shard_rows)
+        shards += parts[cluster]
+    table = lambda pairs: F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))[F.col("cluster")]
+    return lambda df, by: clustered(df).withColumn("shard", (table(first) + F.pmod(F.xxhash64(by), table(parts))).cast("int")).drop("cluster"), shards
+
+
+def _ball(rows: pd.DataFrame) -> pd.DataFrame:
+    """The ball around a shard's vectors."""
+    vectors = _stacked(rows["v"])
+    centre = vectors.mean(0)
+    radius = float(np.sqrt(((vectors - centre) ** 2).sum(1).max()))
+    return pd.DataFrame({"shard": rows["shard"].iloc[:1], "dim": rows["dim"].iloc[:1], "centre": [centre.tolist()], "centre_norm": [float(np.sqrt((centre**2).sum()))], "radius": [radius]})
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of ``vectors(vec_id, v, dim)`` for each query."""
     prepare(vectors.sparkSession)
-    vectors = vectors.checkpoint()
-    shards = partitions_for(vectors.count(), shard_rows)
+    vectors = vectors.withColumn("row", F.monotonically_increasing_id()).checkpoint()
     queries = queries.withColumn("query", F.monotonically_increasing_id()).checkpoint()
     blocks = partitions_for(queries.count(), block_rows)
-    part = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
-    vectors = vectors.withColumn("shard", part(shards, "vec_id", F.lit(1)))
-    asked = queries.withColumn("block", part(blocks, "query", F.lit(2))).withColumn("home", part(shards, "vec_id", F.lit(1)))
+    place, shards = _shards(vectors, shard_rows)
+    vectors = place(vectors, "row").checkpoint()
+    asked = place(queries, "query").withColumnRenamed("shard", "home").withColumn("block", F.pmod(F.xxhash64("query", F.lit(2)), F.lit(blocks)).cast("int")).checkpoint()
     keys = ["shard", "block", "dim"]
-    stored = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*keys, "vec_id", "v")
+    stored = vectors.select("shard", "dim", "vec_id", "v")
 
     def meet(q: DataFrame) -> DataFrame:
         named = q.select(*(F.col(c).alias(f"q_{c}") for c in keys), "query", F.col("vec_id").alias("asked"), F.col("v").alias("q"), F.col("floor").alias("q_floor"))
-        return stored.groupBy(*keys).cogroup(named.groupBy(*(f"q_{c}" for c in keys))).applyInPandas(_search(k), FOUND)
+        wanted = q.select(*keys).distinct().groupBy("shard", "dim").agg(F.collect_list("block").alias("_blocks"))  # no more than there are blocks
+        copies = stored.join(wanted, ["shard", "dim"]).select("shard", F.explode("_blocks").alias("block"), "dim", "vec_id", "v")
+        return copies.groupBy(*keys).cogroup(named.groupBy(*(f"q_{c}" for c in keys))).applyInPandas(_search(k), FOUND)
 
     home = meet(asked.withColumn("shard", F.col("home")).withColumn("floor", F.lit(-LONG))).checkpoint()
-    floors = home.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-    others = asked.join(floors, "query", "left").withColumn("floor", F.coalesce("kth", F.lit(-LONG)))
-    others = others.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
+    if shards == 1:
+        found = home
+    else:
+        floors = home.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+        others = asked.join(floors, "query", "left").withColumn("floor", F.coalesce("kth", F.lit(-LONG)))
+        others = others.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
+        balls = vectors.groupBy("shard", "dim").applyInPandas(_ball, "shard int, dim int, centre array<double>, centre_norm double, radius double")
+        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
+        product = F.aggregate(F.zip_with("v", "centre", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+        # the slack is what rounding may take from a bound
+        bound = product + F.col("_norm") * F.col("radius") + F.col("_norm") * (F.col("centre_norm") + F.col("radius")) * 1e-9 + 1e-6
+        others = others.withColumn("_norm", norm).join(balls, ["shard", "dim"]).where(bound >= F.col("floor").cast("double")).select(*asked.columns, "floor", "shard")
+        found = home.union(meet(others))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
-    found = home.union(meet(others)) if shards > 1 else home
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast(T.IntegerType()).alias("rank"), "vec_id", "score")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def divide(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def bind(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once: what a lambda only mentions is computed anew for every element."""
+    return F.transform(F.array(x), f)[0]
+
+
 def sum0(x: Column) -> Column:
     """Sum with 0 for a group of nulls only."""
     return F.coalesce(F.sum(x), F.lit(0.0))

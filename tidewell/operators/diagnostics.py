@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normal import quantile
-from ..functions.safe import divide, missing
+from ..functions.safe import bind, divide, missing
 from ..functions.stable import stable
 from .ranks import average_rank, counted, percentile_of, same_keys
 
@@ -21,8 +21,7 @@ def _mean(x: Column) -> Column:
 
 def _variance(x: Column) -> Column:
     """Sample variance of an array."""
-    m = _mean(x)
-    return divide(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + (v - m) * (v - m)), F.size(x) - 1)
+    return bind(_mean(x), lambda m: divide(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + (v - m) * (v - m)), F.size(x) - 1))
 
 
 def _normal_scores(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
@@ -48,9 +47,8 @@ def _reduction(halves: Column, n: Column) -> Column:
 
 def _effective(halves: Column, n: Column) -> Column:
     """Draws of the same worth without correlation: autocorrelations are summed in pairs of lags up to the first negative pair, none above the pair before."""
-    deviations = F.transform(halves, lambda h: F.transform(h, lambda v: v - _mean(h)))
+    deviations = F.transform(halves, lambda h: bind(_mean(h), lambda m: F.transform(h, lambda v: v - m)))
     lagged = lambda h, t: F.aggregate(F.zip_with(F.slice(h, F.lit(1), n - t), F.slice(h, t + 1, n - t), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v) / n
-    bind = lambda x, f: F.transform(F.array(x), f)[0]
 
     def total(d: Column) -> Column:
         covariance = lambda t: _mean(F.transform(d, lambda h: lagged(h, t)))

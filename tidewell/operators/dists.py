@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import cdf
 from ..functions.safe import divide, missing
+from ..functions.stable import stable
 from .ranks import counted, percentiles
 
 
@@ -52,6 +53,7 @@ def cumulative(rows: DataFrame, keys: list[str], value: str, points: int = 50, c
 
 def violin(rows: DataFrame, keys: list[str], value: str, points: int = 50) -> DataFrame:
     """(keys, i, x, density, q1, q2, q3): density of the values themselves with the quartiles of each group."""
+    rows = stable(rows.select(*keys, value))  # they are read for the ranks, the extremes and the sums
     q = percentiles(rows, keys, value, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     return kde(rows, keys, value, points, log=False).join(q, keys)
 

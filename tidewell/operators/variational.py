@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.models import PRIORS
 from ..functions.normal import quantile, quantile_sql
-from ..functions.safe import missing
+from ..functions.safe import bind, missing
 from .posterior import STEPS
 from .vectors import vectors
 
@@ -20,11 +20,6 @@ NAMES = tuple(PRIORS["basic"])
 ITERATIONS, RATE = 20_000, 1e-3
 
 
-def _bind(x: Column, f) -> Column:
-    """f of a value that is computed once."""
-    return F.transform(F.array(x), f)[0]
-
-
 def _noise(i: Column) -> Column:
     share = lambda step: F.lit(0.5) + i * step - F.floor(F.lit(0.5) + i * step)
     return F.array(*(quantile(share(step)) for step, _ in zip(STEPS, NAMES)))
@@ -46,11 +41,11 @@ def _slopes(x: Column, series: Column) -> Column:
                 by_delta = (p["beta"] - p["delta"] * o["first"]) * o["time"] * v["decay"] - v["made"]
                 return F.array(acc[0] + pull * v["made"], acc[1] + pull * by_delta, acc[2] + r * r * p["weight"] - 1.0)
 
-            return _bind(value, of)
+            return bind(value, of)
 
         return F.aggregate(series, F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)), add)
 
-    return _bind(p, summed)
+    return bind(p, summed)
 
 
 def fit(observed: DataFrame, starts: DataFrame, steps: int = ITERATIONS, rate: float = RATE) -> DataFrame:
@@ -78,14 +73,14 @@ def fit(observed: DataFrame, starts: DataFrame, steps: int = ITERATIONS, rate: f
 
                 def climb(x: Column) -> Column:
                     prior = [(F.col("_prior")[j] - x[j]) / (spread[j] * spread[j]) for j in range(3)]
-                    slope = _bind(_slopes(x, F.col("series")), lambda g: F.array(*(g[j] + prior[j] for j in range(3))))
-                    return _bind(slope, lambda g: _update(acc, F.array(*(g[j] for j in range(3)), *(g[j] * d[j] + 1.0 for j in range(3))), i, steps, rate))
+                    slope = bind(_slopes(x, F.col("series")), lambda g: F.array(*(g[j] + prior[j] for j in range(3))))
+                    return bind(slope, lambda g: _update(acc, F.array(*(g[j] for j in range(3)), *(g[j] * d[j] + 1.0 for j in range(3))), i, steps, rate))
 
-                return _bind(x, climb)
+                return bind(x, climb)
 
-            return _bind(reach, at_point)
+            return bind(reach, at_point)
 
-        return _bind(_noise(i), moved)
+        return bind(_noise(i), moved)
 
     folded = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
     out = rows.select("gene", F.when(F.col("_ok"), folded["mean"]).alias("_mean"))
@@ -104,11 +99,11 @@ def _update(acc: Column, gradient: Column, i: Column, steps: int, rate: float) -
             move = F.zip_with(m["one"], m["two"], lambda a, b: rate * (a / (1.0 - F.pow(F.lit(0.9), i))) / (F.sqrt(b / (1.0 - F.pow(F.lit(0.999), i))) + 1e-8))
             to = F.zip_with(acc["at"], move, lambda a, b: a + b)
             mean = lambda t: F.when(i > steps // 2, F.zip_with(acc["mean"], t, lambda a, b: a + b / float(steps - steps // 2))).otherwise(acc["mean"])
-            return _bind(to, lambda t: F.struct(t.alias("at"), m["one"].alias("one"), m["two"].alias("two"), mean(t).alias("mean")))
+            return bind(to, lambda t: F.struct(t.alias("at"), m["one"].alias("one"), m["two"].alias("two"), mean(t).alias("mean")))
 
-        return _bind(F.struct(one.alias("one"), two.alias("two")), with_moments)
+        return bind(F.struct(one.alias("one"), two.alias("two")), with_moments)
 
-    return _bind(gradient, with_gradient)
+    return bind(gradient, with_gradient)
 
 
 def fit_sql(observed: str, starts: str, steps: int, rate: float) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.models import residual
-from ..functions.safe import divide, missing
+from ..functions.safe import bind, divide, missing
 
 
 def vectors(rows: DataFrame, keys: list[str], columns: list[str], out: str = "series") -> DataFrame:
@@ -38,16 +38,16 @@ def _sum(x: Column) -> Column:
 
 def centred_ranks(x: Column) -> Column:
     """Average ranks of an array's values less their mean, by the first and last place of each value in the sorted array."""
-    up = F.array_sort(x)
-    return F.transform(x, lambda v: (F.array_position(up, v) - F.array_position(F.reverse(up), v)) / 2.0)
+    sides = F.struct(F.array_sort(x).alias("up"), F.reverse(F.array_sort(x)).alias("down"))
+    return bind(sides, lambda s: F.transform(x, lambda v: (F.array_position(s["up"], v) - F.array_position(s["down"], v)) / 2.0))
 
 
 def _correlation(a: Column, b: Column) -> Column:
     """Pearson correlation of two arrays, null where one is constant."""
-    centred = lambda x: F.transform(x, lambda v: v - _sum(x) / F.size(x))
-    da, db = centred(a), centred(b)
+    centred = lambda x: bind(_sum(x) / F.size(x), lambda m: F.transform(x, lambda v: v - m))
     times = lambda x, y: _sum(F.zip_with(x, y, lambda u, v: u * v))
-    return divide(times(da, db), F.sqrt(times(da, da) * times(db, db)))
+    both = F.struct(centred(a).alias("a"), centred(b).alias("b"))
+    return bind(both, lambda d: divide(times(d["a"], d["b"]), F.sqrt(times(d["a"], d["a"]) * times(d["b"], d["b"]))))
 
 
 def fold_metrics(series: DataFrame, column: str = "series", obs: str = "obs", pred: str = "pred", sigma: float = 0.5, free: int = 3) -> DataFrame:
@@ -66,7 +66,7 @@ def fold_metrics(series: DataFrame, column: str = "series", obs: str = "obs", pr
     rmse = F.sqrt(divide(square(r), n))
     spread = F.transform(o, lambda v: v - F.col("_mean"))
     three = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.slice(r, i, F.lit(3)))
-    variance = lambda x: divide(_sum(F.transform(x, lambda v: (v - _sum(x) / F.size(x)) * (v - _sum(x) / F.size(x)))), F.size(x))
+    variance = lambda x: bind(divide(_sum(x), F.size(x)), lambda m: divide(_sum(F.transform(x, lambda v: (v - m) * (v - m))), F.size(x)))
     local = F.when(n >= 3, divide(_sum(F.transform(three, variance)), n - 2))
     lagged = F.when(n >= 2, _correlation(F.slice(r, F.lit(2), n - 1), F.slice(r, F.lit(1), n - 1)))
     each = F.zip_with("_o", "_p", lambda x, y: -0.5 * F.log(F.lit(2.0 * 3.141592653589793 * sigma * sigma)) - F.pow(residual(x, y), F.lit(2.0)) / (2.0 * sigma * sigma))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,13 @@ def stored(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(partitions_for(rows, STORED_ROWS)).checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, smaller than a checkpoint and read by column."""
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply ``fn`` to each Arrow batch; batches without rows are passed over."""
 

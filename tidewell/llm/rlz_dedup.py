@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import map_batches, prepare, release, sealed, text_bytes
+from .common import map_batches, prepare, release, sealed, text_bytes, written
 
 WIDTH, GRAM = 50, 8
 #: Blocks in an index that is sent to the tasks.
 INDEX_ROWS = 1 << 16
 SEGMENTS = "doc_id long, uid long, anchor long, block long, start int, n int"
 KEY = ["doc_id", "uid"]
+#: The same without nulls: inner and outer joins on it read one shuffle of the texts.
+PLACE = ["place", "uid"]
 SPANS = "array<struct<start: int, words: int>>"
 
 
@@ -138,13 +140,15 @@ def _open(width: int, gram: int):
 def spans_of(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, uid, spans (first word and number of words) of every document that repeats a smaller one.
 
-    ``keyed`` are documents with ``uid``, the xxhash64 of the text. Very common passages are
+    ``keyed`` are documents with ``uid``, the xxhash64 of the text, and ``place``, the doc_id or 0 for null. Very common passages are
     aggregated to their least holder before the shuffle; the join back is a plain equi-join that can split hot
-    keys. The windows are left lazy: in one plan with the caller's join of ``keyed`` the texts are shuffled once.
+    keys. The windows are left lazy: in one plan with the caller's join of ``keyed`` on ``PLACE`` the texts are shuffled once.
     """
     usable = keyed.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(*KEY, "text")
     segments = map_batches(usable, _segments(width, gram), SEGMENTS)
     holders = segments.groupBy("anchor", "block").agg(F.min("doc_id").alias("least"), F.count("*").alias("held"))
+    holders = written(holders)  # read twice, and a plan with two uses of it would scan the texts twice
+    release(keyed.sparkSession)
     split = holders.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", F.lit(True).alias("split"))
     index = holders.join(split, "anchor", "left").where("held > 1 OR split").select(F.col("anchor").alias("a"), F.col("block").alias("b"), "least", F.coalesce("split", F.lit(False)).alias("split")).checkpoint()
     del holders, split
@@ -163,7 +167,7 @@ def spans_of(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFram
         listed = found.where("not whole").groupBy(*KEY).agg(F.collect_list(F.struct("start", "n", "anchor")).alias("listed"))
     release(keyed.sparkSession)
     rest = [c for c in keyed.columns if c not in (*KEY, "text")]
-    windows = map_batches(keyed.join(listed, KEY).select(*KEY, "text", "listed", *rest), _open(width, gram), "doc_id long, uid long, anchor long, window long, start int")
+    windows = map_batches(keyed.join(listed.withColumnRenamed("doc_id", "place"), PLACE).select(*KEY, "text", "listed", *rest), _open(width, gram), "doc_id long, uid long, anchor long, window long, start int")
     least = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(F.col("anchor").alias("a"), F.col("window").alias("w"), "least")
     matched = windows.join(least, (windows.anchor == least.a) & (windows.window == least.w)).where(F.col("least") < F.col("doc_id"))
     matched = matched.select(*KEY, span(F.lit(width)).alias("span"))
@@ -211,8 +215,9 @@ def _digest(batch: pa.RecordBatch) -> pa.RecordBatch:
 def with_spans(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """``documents`` with uid and the column spans, null where nothing repeats."""
     prepare(documents.sparkSession)
-    keyed = documents.withColumn("uid", F.xxhash64("text"))
-    return keyed.join(spans_of(keyed, width), KEY, "left")
+    keyed = documents.withColumns({"uid": F.xxhash64("text"), "place": F.coalesce("doc_id", F.lit(0).cast("long"))})
+    found = keyed.join(spans_of(keyed, width).withColumnRenamed("doc_id", "place"), PLACE, "left")
+    return found.withColumn("spans", F.when(F.col("doc_id").isNotNull(), F.col("spans")))
 
 
 def digest(documents: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -12,24 +12,10 @@ import xxhash
 _MASK = (1 << 64) - 1
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_CACHE_WORDS = 150_000
-
-
-class WordHashes(dict):
-    """word -> hash, forgetting everything when it has grown too large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_WORDS = WordHashes()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -494,3 +494,17 @@ def test_factors():
     assert rlz_dedup.factors([span(10, 52), span(13, 50)]) == [(10, 53)]
     assert rlz_dedup.factors([span(14, 50), span(10, 52)]) == [(10, 52), (14, 50)]
     assert rlz_dedup.covered(70, [span(14, 50), span(10, 52)]).sum() == 54
+
+
+def test_differencing_covers_every_page(spark):
+    """Pages with an article are differenced over all of their lines; the check by containers comes after it."""
+    page = "<nav>menu</nav><article><p>text {0}</p><p>in both</p></article><div class=ad>advert {0}</div><footer>foot</footer>"
+    rows = [(1, "http://h.org/a/1", page.format("one")), (2, "http://h.org/a/2", page.format("two")), (3, "http://h.org/b", "<div>menu</div><div>plain</div>"), (4, "http://z.org/", page.format("four")), (None, "http://h.org/a/3", page.format("none")), (6, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    of = lambda *lines: {html_diff.line_hash(x) for x in lines}
+    both = of("menu", "in both", "foot")
+    assert {r.page_id: (r.near, set(r.shared)) for r in html_diff.template_lines(pages).collect()} == {1: (2, both), 2: (1, both), 3: (2, of("menu"))}
+    out = {r.page_id: tuple(r)[2:] for r in html_diff.extract(pages).collect()}
+    assert out[1] == ("text one\n\nin both", 17, 2, 5, 3) and out[2] == ("text two\n\nin both", 17, 1, 5, 3)
+    assert out[3] == ("plain", 5, 2, 2, 1) and out[4] == ("text four\n\nin both", 18, None, 5, 0)
+    assert out[None] == ("text none\n\nin both", 18, None, 5, 0) and out[6] == ("", 0, None, 0, 0)

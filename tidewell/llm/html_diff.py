@@ -1,12 +1,12 @@
 """Main text of web pages: nearest-URL page differencing over text lines.
 
-A page is read into lines (its blocks). Each page is paired with the page of the same host whose URL path is
-nearest in order; their lines are aligned by longest common subsequence, and shared lines
-that no article claims are deleted as template. Differencing alone gives wrong texts here: menus, adverts
-and footers that differ from page to page would stay, and paragraphs that two articles share would go. So
-containers decide first: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-comments never give lines, and lines inside an article (or main) element always stay; where a
-page has such an element nothing outside of it is text. Differencing decides the rest: pages without one.
+A page is read into lines (its blocks, those of menus and adverts included). Each page is paired with the page of the
+same host whose URL path is nearest in order; their lines are aligned by longest common subsequence, and
+shared lines are template. What differs is the text, but for two mistakes of differencing: menus, adverts and footers that
+differ from page to page stay, and paragraphs that two articles share go. An exact check by containers mends them in
+each page's differences: lines of menus, headers, footers, sidebars, notices, adverts, forms and comments go,
+lines inside an article (or main) element come back; where a page has such an element nothing
+outside of it is text. Scripts and styles give no lines.
 
 White space in a block becomes one space, blocks are joined by two newlines; a line break element is
 white space. Null and empty html give an empty text. Rows that repeat a page_id get each their
@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Collection
 from os.path import commonprefix
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded, list_array, map_batches, prepare
+from .common import list_array, map_batches, prepare
 from .host_reputation import url_parts
 
 #: All repetitions are possessive, so a tag is read in one pass. Without quotes is for what an unclosed quote has spoilt.
@@ -99,41 +100,57 @@ def _tags(page: str):
 
 def lines_of(page: str | None) -> list[tuple[str, bool]]:
     """(text, inside an article) of each block that is not in a menu, advert and the like, nor in a short article beside a long one."""
-    out = _lines(page)
+    lines = all_lines(page)
+    return [(text, number > 0) for (text, number, _), claim in zip(lines, _claims(lines), strict=True) if claim is not False]
+
+
+def _claims(lines: list[tuple[str, int, bool]]) -> list[bool | None]:
+    """What containers say of each line: in an article (true), in a menu, advert, teaser and the like (false), or nothing."""
     held: Counter[int] = Counter()
-    for text, number in out:
-        held[number] += len(text) if number else 0
+    for text, number, chrome in lines:
+        held[number] += len(text) if number and not chrome else 0
     least = TEASER * max(held.values(), default=0)
-    return [(text, number > 0) for text, number in out if not number or held[number] >= least]
+    return [False if chrome or number and held[number] < least else True if number else None for _, number, chrome in lines]
+
 
+def text_of(page: str | None, shared: Collection[int]) -> tuple[str, int, int]:
+    """Main text, number of lines, and of those whose hash is in ``shared``: differencing, then the check by containers."""
+    lines = all_lines(page)
+    template = [bool(shared) and line_hash(text) in shared for text, _, _ in lines]
+    claims = _claims(lines)
+    if True in claims:
+        claims = [claim is True for claim in claims]
+    kept = [text for (text, _, _), gone, claim in zip(lines, template, claims, strict=True) if (not gone if claim is None else claim)]
+    return "\n\n".join(kept), len(lines), sum(template)
 
-def _lines(page: str | None) -> list[tuple[str, int]]:
-    """(text, number of the outermost article it is in, from 1, or 0) of each block that is not in a menu, advert and the like."""
-    out: list[tuple[str, int]] = []
+
+def all_lines(page: str | None) -> list[tuple[str, int, bool]]:
+    """(text, number of the outermost article it is in, from 1, or 0, in a menu, advert and the like) of each block."""
+    out: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, bool, int]] = []  # tag, chrome, number of the article
     articles = 0
     opened: Counter[str] = Counter()
-    said: list[str] = []
+    said: tuple[list[str], list[str]] = ([], [])  # by whether it is in a menu and the like
     state = [False, 0]
 
     def close() -> None:
-        line = " ".join(html.unescape("".join(said)).split())
-        said.clear()
-        if line:
-            out.append((line, state[1]))
+        for chrome, parts in enumerate(said):
+            line = " ".join(html.unescape("".join(parts)).split())
+            parts.clear()
+            if line:
+                out.append((line, state[1], bool(chrome)))
 
     page, at = page or "", 0
     tags = _tags(page)
     m = next(tags, None)
     while m is not None:
-        if not state[0]:
-            said.append(page[at : m.start()])
+        said[state[0]].append(page[at : m.start()])
         at, skip = m.end(), None
         tag = (m[2] or "").lower()
         if tag and tag not in _INLINE:
             close()
-        elif tag == "br" and not state[0]:
-            said.append(" ")
+        elif tag == "br":
+            said[state[0]].append(" ")
         if m[1]:
             while opened[tag]:
                 top = stack.pop()[0]
@@ -156,8 +173,7 @@ def _lines(page: str | None) -> list[tuple[str, int]]:
             m = tags.send(skip)
         except StopIteration:
             m = None
-    if not state[0]:
-        said.append(page[at:])
+    said[state[0]].append(page[at:])
     close()
     return out
 
@@ -215,11 +231,9 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
 
 
 def _outline(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Hashes of a page's lines, and whether they are undecided (no article on the page)."""
-    pages = [lines_of(p) for p in batch.column(1).to_pylist()]
-    undecided = pa.array([bool(p) and not any(main for _, main in p) for p in pages])
-    hashes = [np.array([line_hash(t) for t, _ in p], dtype=np.int64) for p in pages]
-    return pa.RecordBatch.from_arrays([batch.column(0), list_array(hashes, pa.int64()), undecided], ["page_id", "lines", "undecided"])
+    """Hashes of all lines of a page."""
+    hashes = [np.array([line_hash(text) for text, _, _ in all_lines(p)], dtype=np.int64) for p in batch.column(1).to_pylist()]
+    return pa.RecordBatch.from_arrays([batch.column(0), list_array(hashes, pa.int64())], ["page_id", "lines"])
 
 
 def _nearest(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -254,40 +268,41 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
     inside = Window.partitionBy("part").orderBy(*order)
     placed = keys.withColumn("before", F.lag(entry).over(inside)).withColumn("after", F.lead(entry).over(inside))
     placed = placed.join(edges, placed.part == edges.edge).select("page_id", "host", "path", F.coalesce("before", "edge_before").alias("before"), F.coalesce("after", "edge_after").alias("after"))
-    return map_batches(placed, _nearest, "page_id long, near long").where("near IS NOT NULL").dropDuplicates(["page_id"])
+    return map_batches(placed, _nearest, "page_id long, near long").where("near IS NOT NULL").groupBy("page_id").agg(F.min("near").alias("near"))
 
 
 def _shared(batch: pa.RecordBatch) -> pa.RecordBatch:
-    drops = [common_lines(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(drops, pa.list_(pa.int64()))], ["page_id", "drops"])
+    shared = [common_lines(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.list_(pa.int64()))], ["page_id", "near", "shared"])
 
 
 def template_lines(pages: DataFrame) -> DataFrame:
-    """(page_id, drops): hashes of the undecided lines that a page shares with its nearest page."""
-    outlines = map_batches(pages.where("page_id IS NOT NULL").select("page_id", "html"), _outline, "page_id long, lines array<long>, undecided boolean").dropDuplicates(["page_id"]).checkpoint()
-    own = outlines.where("undecided").join(nearest_pages(pages), "page_id")
+    """(page_id, near, shared) of every page with a nearest page: hashes of all lines that it shares with it, in the order of the alignment."""
+    outlines = map_batches(pages.where("page_id IS NOT NULL").select("page_id", "html"), _outline, "page_id long, lines array<long>")
+    outlines = outlines.groupBy("page_id").agg(F.max("lines").alias("lines")).checkpoint()
     other = outlines.select(F.col("page_id").alias("near"), F.col("lines").alias("near_lines"))
-    both = own.join(other, "near").select("page_id", "lines", "near_lines")
-    return map_batches(both, _shared, "page_id long, drops array<long>").where(F.size("drops") > 0)
+    both = outlines.join(nearest_pages(pages), "page_id").join(other, "near").select("page_id", "near", "lines", "near_lines")
+    return map_batches(both, _shared, "page_id long, near long, shared array<long>")
 
 
 def _extract(batch: pa.RecordBatch) -> pa.RecordBatch:
-    texts = []
-    for page, drops in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-        lines = lines_of(page)
-        if any(main for _, main in lines):
-            lines = [line for line in lines if line[1]]
-        gone = set(drops or ())
-        texts.append("\n\n".join(t for t, main in lines if main or not gone or line_hash(t) not in gone))
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+    found = [text_of(page, set(shared or ())) for page, shared in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+    texts, lines, shared = ([f[i] for f in found] for i in range(3))
+    longs = [pa.array(x, pa.int64()) for x in ([len(t) for t in texts], lines, shared)]
+    columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), longs[0], batch.column(3), *longs[1:]]
+    return pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars", "near_id", "n_lines", "n_shared"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row of ``pages(page_id, url, html)``."""
+    """page_id, url, text, n_chars, near_id, n_lines, n_shared of every row of ``pages(page_id, url, html)``.
+
+    near_id is the page that a row was held against (null: none), n_lines counts its lines, n_shared those of them that
+    differencing takes for template. Each page meets its own differences in a shuffle; rows without page_id, which meet none, are spread.
+    """
     prepare(pages.sparkSession)
-    drops = template_lines(pages).checkpoint()
-    held = drops.agg(F.count("*") + F.coalesce(F.sum(F.size("drops")), F.lit(0))).first()[0]  # rows and hashes in them
-    drops = bounded(drops.withColumnRenamed("page_id", "of_page"), held)
-    pages = pages.select("page_id", "url", "html")
-    joined = pages.join(drops, pages.page_id == drops.of_page, "left").select("page_id", "url", "html", "drops")
-    return map_batches(joined, _extract, "page_id long, url string, text string, n_chars long")
+    template = template_lines(pages).select(F.col("page_id").alias("of_page"), "near", "shared", F.lit(0).cast("long").alias("of_spread"))
+    spread = F.when(F.col("page_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0)).cast("long")
+    pages = pages.select("page_id", "url", "html", spread.alias("spread"))
+    same = (F.col("page_id") == F.col("of_page")) & (F.col("spread") == F.col("of_spread"))
+    joined = pages.join(template.hint("shuffle_hash"), same, "left").select("page_id", "url", "html", "near", "shared")
+    return map_batches(joined, _extract, "page_id long, url string, text string, n_chars long, near_id long, n_lines long, n_shared long")

@@ -2,11 +2,13 @@
 
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import models, safe
 from tidewell.jobs import infer
+from tidewell.jobs.queries import ORACLE_SQL, QUERIES
 from tidewell.operators import collect, compare, dists, etl, metrics, posterior, ranks, series
 from tidewell.sources import reports, sinks
 
@@ -289,3 +291,19 @@ def test_shared_edges_and_grids(spark):
     counts = {(r.hue, r.model): (r.place, r.n) for r in compare.ordered_counts(rows, ["hue"], "model", ["m", "z"]).collect()}
     assert counts == {("x", "m"): (1, 2), ("x", "z"): (2, 0), ("y", "m"): (1, 2), ("y", "z"): (2, 0)}
     assert {r.variable: (r.min, r.max) for r in dists.extremes(rows, ["v"]).collect()} == {"v": (0.0, 10.0)}
+
+
+def test_two_level_mean_in_tasks_by_rows(spark, data, monkeypatch):
+    """The number of tasks goes with the rows, not with the session's partitions; a group of many samples is summed in parts."""
+    monkeypatch.setattr(etl, "TASK_ROWS", 5000, raising=False)
+    lines, orders = (spark.read.parquet(f"{data}/{name}.parquet").count() for name in ("lineitem", "orders"))
+    out = QUERIES["gene_time_mean"](spark, data)
+    assert out.rdd.getNumPartitions() == -(-(lines + orders) // 5000) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    con = duckdb.connect()
+    for name in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{data}/{name}.parquet')")
+    assert sorted(map(tuple, out.collect())) == sorted(con.execute(f"SELECT l_partkey, time, y FROM ({ORACLE_SQL['gene_time_mean']})").fetchall())
+    rows = [("a", i % 3000, float(i)) for i in range(6000)] + [("b", 1, None), ("b", 1, float("nan")), ("c", 1, 2.0), ("c", 2, 5.0), (None, 1, 1.0), ("c", None, 1.0)]
+    long = spark.createDataFrame(rows, "g string, sample long, v double")
+    plain, dealt = ({r.g: r.y for r in etl.two_level_mean(long, ["g"], "sample", "v", tasks=t).collect()} for t in (None, 7))
+    assert plain == dealt == {"a": 5999.0, "b": 0.0, "c": 3.5}

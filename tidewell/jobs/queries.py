@@ -47,8 +47,10 @@ start AS (SELECT *, z_ss0 * 0.1::DOUBLE + 1e-8::DOUBLE AS beta0, z_max0 * 0.1::D
 def gene_time_mean(spark: SparkSession, sf: str) -> DataFrame:
     """Two-level mean: sum by (month, part, order), then the mean over orders."""
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.month("o_orderdate").cast("long").alias("time"))
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(orders, "l_orderkey", "left")
-    return rounded(etl.two_level_mean(lines, ["time", "l_partkey"], "l_orderkey", "l_quantity").select("l_partkey", "time", "y"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    tasks = etl.tasks_for(lines.count() + orders.count(), spark)
+    lines = lines.repartition(tasks, "l_orderkey").join(orders.repartition(tasks, "l_orderkey"), "l_orderkey", "left")
+    return rounded(etl.two_level_mean(lines, ["time", "l_partkey"], "l_orderkey", "l_quantity", tasks=tasks).select("l_partkey", "time", "y"))
 
 
 @query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, measure, value FROM (UNPIVOT (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem) ON l_quantity, l_discount, l_tax INTO NAME measure VALUE value)")

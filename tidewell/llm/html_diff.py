@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections import Counter
 from collections.abc import Collection
 from os.path import commonprefix
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import list_array, map_batches, prepare
+from .common import list_array, map_batches, prepare, text_bytes
 from .host_reputation import url_parts
 
 #: All repetitions are possessive, so a tag is read in one pass. Without quotes is for what an unclosed quote has spoilt.
@@ -285,8 +286,15 @@ def template_lines(pages: DataFrame) -> DataFrame:
     return map_batches(both, _shared, "page_id long, near long, shared array<long>")
 
 
+def _packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Html compressed, as it crosses the shuffle."""
+    pages = pa.array([zlib.compress(page, 1) for page in text_bytes(batch.column(2))], pa.binary())
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pages, batch.column(3)], ["page_id", "url", "packed", "spread"])
+
+
 def _extract(batch: pa.RecordBatch) -> pa.RecordBatch:
-    found = [text_of(page, set(shared or ())) for page, shared in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+    pages = (zlib.decompress(page).decode() for page in batch.column(2).to_pylist())
+    found = [text_of(page, set(shared or ())) for page, shared in zip(pages, batch.column(4).to_pylist(), strict=True)]
     texts, lines, shared = ([f[i] for f in found] for i in range(3))
     longs = [pa.array(x, pa.int64()) for x in ([len(t) for t in texts], lines, shared)]
     columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), longs[0], batch.column(3), *longs[1:]]
@@ -302,7 +310,7 @@ def extract(pages: DataFrame) -> DataFrame:
     prepare(pages.sparkSession)
     template = template_lines(pages).select(F.col("page_id").alias("of_page"), "near", "shared", F.lit(0).cast("long").alias("of_spread"))
     spread = F.when(F.col("page_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0)).cast("long")
-    pages = pages.select("page_id", "url", "html", spread.alias("spread"))
+    pages = map_batches(pages.select("page_id", "url", "html", spread.alias("spread")), _packed, "page_id long, url string, packed binary, spread long")
     same = (F.col("page_id") == F.col("of_page")) & (F.col("spread") == F.col("of_spread"))
-    joined = pages.join(template.hint("shuffle_hash"), same, "left").select("page_id", "url", "html", "near", "shared")
+    joined = pages.join(template.hint("shuffle_hash"), same, "left").select("page_id", "url", "packed", "near", "shared")
     return map_batches(joined, _extract, "page_id long, url string, text string, n_chars long, near_id long, n_lines long, n_shared long")
